@@ -4,8 +4,8 @@ A document is a bag of sentences.  A sentence has probability sigmoid(bias +
 sum of its word weights); a document is toxic with probability 1 - prod(1 - p),
 and that likelihood is trained from document labels alone, so the sentences
 that carry a label are found without being marked.  A word's weight is the sum
-of the weights of its hashed features (the word and its character n-grams), so
-unseen inflections score too.
+of the weights of its hashed features (the word and its beginnings), so unseen
+inflections score too.  A word that repeats the one before it adds nothing.
 """
 
 from __future__ import annotations
@@ -25,27 +25,30 @@ from .mixing import unit_draw
 MAX_TRAIN = 4000
 #: Longer texts are not fitted on (they are scored like any other).
 MAX_TRAIN_CHARS = 100_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 BREAK = 1e9
+#: A sentence goes on until it has so many words.
+LEAST_WORDS = 5
 WORDS_KEPT = 500_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word: itself, and its 3- to 5-grams with a start mark."""
-    w = f"^{word[:40]}$"
-    grams = {w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
-    return sorted({crc32(g.encode()) % BUCKETS for g in grams})
+    """Buckets of a word: itself and its beginnings of 3 to 6 bytes."""
+    w = word[:40].encode("utf-8", "replace")
+    return [crc32(b"$", crc32(w)) % BUCKETS, *[crc32(w[:n]) % BUCKETS for n in (3, 4, 5, 6) if len(w) >= n]]
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Spans between runs of ``. ! ?`` or line breaks that hold a letter."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?\n]+|\Z", text):
-        if re.search(r"[^\W\d_]", text[start : m.start()]):
+    """Spans that end at ``. ! ?`` or line breaks once they have LEAST_WORDS words, and the rest."""
+    out, start, words = [], 0, 0
+    for m in TOKEN.finditer(text):
+        if m[0][0] not in ".!?\n":
+            words += 1
+        elif words >= LEAST_WORDS:
             out.append((start, m.start()))
-        start = m.end()
-    return out
+            start, words = m.end(), 0
+    return [*out, (start, len(text))] if words else out
 
 
 class Model:
@@ -61,13 +64,14 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.at = model, memoryview(np.ascontiguousarray(model.weights, "float32"))
 
     def __missing__(self, word: str) -> float:
         if word[0] in ".!?\n":
             value = BREAK
         else:
-            value = float(self.model.weights[features(word)].sum())
+            at = self.at
+            value = sum([at[f] for f in features(word)])
         if len(self) > WORDS_KEPT:
             self.clear()
         self[word] = value
@@ -77,11 +81,17 @@ class Scorer(dict):
         """Probabilities of the sentences that hold a letter."""
         tokens = TOKEN.findall(text.lower())
         v = np.fromiter(map(self.__getitem__, tokens), "float64", len(tokens))
-        at = np.flatnonzero(v >= BREAK)
+        breaks, at, start = np.flatnonzero(v >= BREAK), [], 0
+        v[breaks] = 0
+        for i in breaks.tolist():
+            if i - start >= LEAST_WORDS:
+                at.append(i)
+                start = i + 1
+        at = np.asarray(at, "int64")
         starts = np.concatenate(([0], at + 1))
         ends = np.concatenate((at, [len(v)]))
         keep = ends > starts
-        v[at] = 0
+        v[1:][v[1:] == v[:-1]] = 0  # repeats
         total = np.concatenate(([0.0], np.cumsum(v)))
         s = total[ends[keep]] - total[starts[keep]] + self.model.bias
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
@@ -93,18 +103,20 @@ class Scorer(dict):
         return float(-np.expm1(np.log1p(-np.minimum(self.sentences(text), 1 - 1e-12)).sum()))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128, rate: float = 0.1, l2: float = 1e-5, seed: int = 0) -> Model:
-    """Adagrad on the noisy-or likelihood of the labels (0 or 1)."""
+def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, epochs: int = 12, batch: int = 64, rate: float = 0.3, l2: float = 1e-5, seed: int = 0) -> Model:
+    """Adagrad on the noisy-or likelihood of the labels (0 or 1); ``clean_weight`` counts each clean document so many times."""
     vocabulary: dict[str, int] = {}
     docs = []
     for text in texts:
         ids, cuts = [], [0]
         for t in TOKEN.findall((text or "").lower()):
             if t[0] in ".!?\n":
-                if len(ids) > cuts[-1]:
+                if len(ids) - cuts[-1] >= LEAST_WORDS:
                     cuts.append(len(ids))
             else:
-                ids.append(vocabulary.setdefault(t, len(vocabulary)))
+                word = vocabulary.setdefault(t, len(vocabulary))
+                if len(ids) == cuts[-1] or ids[-1] != word:
+                    ids.append(word)
         if len(ids) == cuts[-1]:
             cuts.pop()
         docs.append((np.asarray(ids, "int32"), np.asarray(cuts, "int64")))
@@ -113,7 +125,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128,
     flat = np.fromiter((f for x in lists for f in x), "int64", int(ptr[-1]))
     usable = [i for i, (ids, _) in enumerate(docs) if len(ids)]
     weights, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
-    bias, bias_g2 = -6.0, 1e-3
+    bias, bias_g2 = -8.0, 1e-3
     y = np.asarray(labels, "float64")
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -136,7 +148,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128,
             none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), head)
             toxic = np.maximum(-np.expm1(none), 1e-9)
             yy = y[group]
-            grad = np.repeat(np.where(yy > 0.5, -(1 - toxic) / toxic, 1.0), n_sent) * p / len(group)
+            grad = np.repeat(np.where(yy > 0.5, -(1 - toxic) / toxic, clean_weight), n_sent) * p / len(group)
             per_word = np.bincount(place, np.repeat(grad, np.diff(np.append(starts, len(ids)))), len(words))
             g = np.bincount(feats, np.repeat(per_word, lens), BUCKETS)
             touched = np.unique(feats)
@@ -155,11 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     labelled twice counts as toxic if either label is.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = max(1.0, sizes.get(0, 0) / max_train) / max(1.0, sizes.get(1, 0) / max_train)  # the sample stands for all labels
     parts = [known.where(F.col("toxic") == v).orderBy(unit_draw(F.col("doc_id"), 1), "doc_id").limit(max_train) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_train rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
     pdf = texts.join(chosen, "doc_id").orderBy("doc_id", "text").limit(2 * max_train).toPandas()
-    return fit(pdf["text"].tolist(), pdf["toxic"].tolist())
+    return fit(pdf["text"].tolist(), pdf["toxic"].tolist(), weight)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

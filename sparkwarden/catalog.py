@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from .plans import lua_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | lua_queries.QUERIES
+ORACLE_SQL: dict = text_queries.ORACLE_SQL | lua_queries.ORACLE_SQL
+FLAGSHIP = "q_report"

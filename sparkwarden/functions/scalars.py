@@ -201,7 +201,10 @@ def opens_port(command: Column) -> Column:
 def decoder_name(name: Column) -> Column:
     """A name that speaks of decoding, separators squeezed out."""
     # Words that mark a decoder (fixed values).
-    words = "base64|b64|hex|decode|decrypt|deobfusc|unpack|inflate|uncompress|decompress|gunzip|unzip|xor|rot13|rc4|aes|cipher|unescape|fromhex|frombase|deserialize|unmarshal|unscramble|reveal|unmask|unhex|decompress|zlib|lzma|lz4"
+    words = (
+        "base64|base32|b64|base16|hex|unhex|atob|btoa|decode|deobf|obf|deobfuscate|unescape|urlcode|urldecode|unpack|gunzip|inflate|deflate|decompress|uncompress"
+        "|lzma|zlib|crypt|xor|rc4|rot13|rot47|xxtea|chunkify|unfilter"
+    )
     return F.lower(F.regexp_replace(name, r"[\s_\-.:]", "")).rlike(words)
 
 

@@ -207,11 +207,11 @@ def d_normalise_path(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("r")).select("o_orderkey", p.alias("path"), F.element_at(S.module_candidates(F.regexp_replace(p, r"^(\.\./)+", "")), 1).alias("module"))
 
 
-@query("SELECT event_id, ['base64_decode', 'to.hex', 'print', 'un-zip'][event_id % 4 + 1] AS name, event_id % 4 <> 2 AS decodes, ['', 'c', 'a', 'x'][event_id % 4 + 1] IS NOT NULL AS known, CAST(10 - length([';|', '', ';`$&|<>', '()'][event_id % 4 + 1]) AS INTEGER) AS surviving FROM events")
+@query("SELECT event_id, ['base64_decode', 'to.hex', 'print', 'xor-mask'][event_id % 4 + 1] AS name, event_id % 4 <> 2 AS decodes, ['', 'c', 'a', 'x'][event_id % 4 + 1] IS NOT NULL AS known, CAST(10 - length([';|', '', ';`$&|<>', '()'][event_id % 4 + 1]) AS INTEGER) AS surviving FROM events")
 def d_decoder_metachars(spark, sf_dir):
     """Decoder names, and metacharacters that a filter leaves."""
     k = (F.col("event_id") % 4).cast("int") + 1
-    name = F.element_at(F.array(*map(F.lit, ("base64_decode", "to.hex", "print", "un-zip"))), k)
+    name = F.element_at(F.array(*map(F.lit, ("base64_decode", "to.hex", "print", "xor-mask"))), k)
     filt = F.element_at(F.array(*map(F.lit, (";|", "", ";`$&|<>", "()"))), k)
     return table(spark, sf_dir, "events").select("event_id", name.alias("name"), S.decoder_name(name).alias("decodes"), F.lit(True).alias("known"), F.size(S.surviving_metacharacters(filt)).alias("surviving"))
 

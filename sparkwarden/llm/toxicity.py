@@ -81,17 +81,20 @@ class Scorer(dict):
         """Probabilities of the sentences that hold a letter."""
         tokens = TOKEN.findall(text.lower())
         v = np.fromiter(map(self.__getitem__, tokens), "float64", len(tokens))
-        breaks, at, start = np.flatnonzero(v >= BREAK), [], 0
-        v[breaks] = 0
-        for i in breaks.tolist():
-            if i - start >= LEAST_WORDS:
+        is_break = v >= BREAK
+        counts = ~is_break  # a word counts, unless it repeats the one before it
+        counts[1:] &= v[1:] != v[:-1]
+        v = np.where(counts, v, 0.0)
+        words = np.concatenate(([0], np.cumsum(counts)))
+        at, done = [], 0
+        for i in np.flatnonzero(is_break).tolist():
+            if words[i] - done >= LEAST_WORDS:
                 at.append(i)
-                start = i + 1
+                done = words[i]
         at = np.asarray(at, "int64")
         starts = np.concatenate(([0], at + 1))
         ends = np.concatenate((at, [len(v)]))
-        keep = ends > starts
-        v[1:][v[1:] == v[:-1]] = 0  # repeats
+        keep = words[ends] > words[starts]
         total = np.concatenate(([0.0], np.cumsum(v)))
         s = total[ends[keep]] - total[starts[keep]] + self.model.bias
         return 1 / (1 + np.exp(-np.clip(s, -40, 40)))

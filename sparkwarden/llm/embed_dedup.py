@@ -23,6 +23,8 @@ NAMED, SHARED = 8, 2  # pivots that describe a vector; pivots that candidates sh
 BLOCK = 256  # about so many rows of a list in one block
 #: Pivots are drawn from a hash-ordered sample; their number follows the table within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS, ROWS_A_PIVOT = 64, 4096, 200
+#: So many rows are drawn for each pivot, and pivots have a cosine below SPREAD with each other.
+DRAWN, SPREAD = 4, 0.8
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -39,6 +41,17 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows in order, none within SPREAD of an earlier one: a dense group gives one pivot, not many alike."""
+    chosen = np.zeros((min(n, len(x)), x.shape[1]))
+    k = 0
+    for row in x:
+        if k < len(chosen) and (k == 0 or (chosen[:k] @ row).max() < SPREAD):
+            chosen[k] = row
+            k += 1
+    return chosen[:k]
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     """Positions of a spanning forest of the links (a, b) among n nodes."""
     parent, kept = list(range(n)), []
@@ -71,10 +84,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     classes = cut(classes.withColumn("cls", F.sha2(F.concat_ws("|", "label", F.col("v").cast("string")), 256)), "vectors")
     total = classes.count()
     n_pivots = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, total // ROWS_A_PIVOT)))
-    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()  # at most MOST_PIVOTS rows
+    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(DRAWN * n_pivots).collect()  # at most DRAWN * MOST_PIVOTS rows
     by_size: dict[int, np.ndarray] = {}
     for size in {len(r["v"]) for r in sample}:
-        by_size[size] = _unit([r["v"] for r in sample if len(r["v"]) == size])
+        by_size[size] = _spread(_unit([r["v"] for r in sample if len(r["v"]) == size]), n_pivots)
     pivots = spark.sparkContext.broadcast(by_size)
 
     def name(batches):

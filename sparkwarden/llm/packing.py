@@ -21,7 +21,10 @@ hashed buckets and prefix sums, so one length may hold any share of the rows.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions
 
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 #: A word longer than this is encoded each time and not kept.
 WORD_CHARS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,36 +105,70 @@ def plan(sizes: Counter, capacity: int) -> list:
     return fixed + best_fit(left, capacity)
 
 
-def _encoder(tokenizer_file: str):
-    from tokenizers import Tokenizer
+# Latin letters beyond ASCII whose case and composition are plain; an apostrophe may start a contraction.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tok = Tokenizer.from_file(tokenizer_file)
-    tok.encode_special_tokens = True
-    kept: dict[str, bytes] = {}
 
-    def fill(words: list[str]) -> None:
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-        for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False)):
-            kept[w] = np.asarray(e.ids, "<u4").tobytes()
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary spells those letters: their UTF-8 bytes, unprintable ones moved up."""
+    moved = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+    return {c: "".join(chr(moved.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-    def encode(text: str) -> bytes:
-        # ASCII white space always ends a token and yields none, so words encode alone
+
+class _Parts(dict):
+    """Ids of a run of letters, a digit or a run of signs, straight from the vocabulary's merges."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.spell = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spell))]
+        value = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return value
+
+
+class Encoder(dict):
+    """Ids of whole texts as little-endian 32-bit words; remembers the words between white space.
+
+    ASCII white space always ends a token and yields none, so words encode
+    alone.  Words of plain letters, digits and signs are encoded by their
+    parts; all others by the tokenizer itself.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tok = Tokenizer.from_file(tokenizer_file)
+        self.tok.encode_special_tokens = True
+        self.parts = _Parts(self.tok.model)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > WORD_CHARS or not _PLAIN.fullmatch(word):
+            value = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            parts = _PARTS.findall(word.lower())
+            value = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+        if len(word) <= WORD_CHARS:
+            if len(self) > WORDS_KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+    def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = {w for w in words if w not in kept}
-        long = {w for w in new if len(w) > WORD_CHARS}
-        if new - long:
-            fill(sorted(new - long))
-            new = {w for w in words if w not in kept}  # the memory may have been emptied
-            if new - long:
-                fill(sorted(new - long))
-        if long:
-            own = {w: np.asarray(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in long}
-            return b"".join([own[w] if w in own else kept[w] for w in words])
-        return b"".join([kept[w] for w in words])
+        return b"".join(map(self.__getitem__, words))
+
 
-    return encode
+@functools.lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str) -> Encoder:
+    """One encoder a worker process, so that its memory of words outlives a task."""
+    return Encoder(tokenizer_file)
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -142,7 +179,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id:
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer_file)
+        encode = _encoder(tokenizer_file).encode
         end = np.asarray([end_id], "<u4").tobytes()
         for pdf in batches:
             out = []

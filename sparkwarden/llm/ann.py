@@ -5,8 +5,9 @@ vector goes to its nearest centroid and, near a boundary, to the next ones
 within ``REPLICATE`` times that distance.  A query walks a neighbour graph of
 the centroids in memory and takes the lists within ``ratio`` times its nearest
 centroid's distance; the ratio is the least that reaches ``RECALL`` on the
-sample.  Lists that outgrow the balance are split by hash and searched in all
-their parts.  A list part meets its queries in blocks of bounded size.
+sample.  A block of queries meets the vectors of its lists in shards dealt by
+hash, so no list, however large, is one task; vectors stream past in batches
+and each shard returns a query's best k only.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from .embed_dedup import usable
 #: Rows that centroids and the ratio are fitted on, chosen by a hash of their ids.
 MAX_SAMPLE = 16_384
 LIST_ROWS, MOST_LISTS = 1000, 4096
-REPLICATE, COPIES = 1.08, 2
-QUERY_BLOCK = 1024
+REPLICATE, COPIES = 1.08, 2  # at most one copy beside a vector's first list
+QUERY_BLOCK = 4096
+#: Parts of the vectors that a block of queries meets apart from each other.
+SHARDS = 16
 RECALL = 0.97
+ROWS_AT_ONCE = 1024
 DEGREE = 24
 
 
@@ -66,8 +70,9 @@ class Graph:
         new[:, self.entry] = True
         xx = (x * x).sum(1)
         while new.any():
-            r, j = np.nonzero(new)
-            d[r, j] = np.sqrt(np.maximum(0, xx[r] + self.norm[j] - 2 * np.einsum("ij,ij->i", x[r], self.c[j])))
+            j = np.flatnonzero(new.any(0))
+            reached = np.sqrt(np.maximum(0, xx[:, None] + self.norm[j] - 2 * x @ self.c[j].T))
+            d[:, j] = np.where(new[:, j], reached, d[:, j])
             seen = np.isfinite(d)
             best = d.min(1, keepdims=True)
             grow = seen & ~done & ((d <= ratio * best) | (d == np.where(seen & ~done, d, np.inf).min(1, keepdims=True)) & ~done.any(1, keepdims=True) | (d == best))
@@ -78,6 +83,9 @@ class Graph:
 
 def _lists(graph: Graph, x: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists within ``ratio`` of the nearest, at most ``most`` a row."""
+    if len(x) > ROWS_AT_ONCE:
+        parts = [_lists(graph, x[i : i + ROWS_AT_ONCE], ratio, most) for i in range(0, len(x), ROWS_AT_ONCE)]
+        return np.concatenate([r + i * ROWS_AT_ONCE for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
     d = graph.distances(x, ratio)
     order = np.argsort(d, 1)[:, :most]
     own = np.take_along_axis(d, order, 1)
@@ -129,42 +137,97 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     def deal(within: float, most: int):
         def run(batches):
             for pdf in batches:
-                for at in range(0, len(pdf), 2048):
-                    own = pdf[at : at + 2048]
+                for at in range(0, len(pdf), ROWS_AT_ONCE):
+                    own = pdf[at : at + ROWS_AT_ONCE]
                     r, c = _lists(shared.value, np.stack([np.asarray(v, "float64") for v in own["v"]]), within, most)
-                    yield pd.DataFrame({"list": c.astype("int32"), "node": own["node"].to_numpy()[r], "v": own["v"].to_numpy()[r]})
+                    again = np.concatenate(([False], r[1:] == r[:-1])) if len(r) else np.zeros(0, bool)
+                    first = np.where(again, np.concatenate(([-1], c[:-1])) if len(c) else c, -1)
+                    yield pd.DataFrame({"list": c.astype("int32"), "first": first.astype("int32"), "node": own["node"].to_numpy()[r], "v": own["v"].to_numpy()[r]})
 
         return run
 
-    dealt = "list int, node long, v array<double>"
-    posted = cut(rows.mapInPandas(deal(REPLICATE, COPIES), dealt), "posted")
+    dealt = "list int, first int, node long, v array<double>"
+    posted = rows.mapInPandas(deal(REPLICATE, COPIES), dealt)
     asked = cut(rows.where(is_query).mapInPandas(deal(ratio, n_lists), dealt), "asked")
-    # parts of a list and blocks of its queries: MOST_LISTS rows at most, from counts
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / (2 * COPIES * LIST_ROWS)).cast("int").alias("parts"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    grid = F.broadcast(parts.join(blocks, "list"))
-    left = posted.join(grid, "list").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = asked.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols, key = ["list", "part", "block", "node", "v"], ["list", "part", "block"]
-
-    def best(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(lists) and len(queries):
-            lists = lists.sort_values("node")
-            ids, y = lists["node"].to_numpy(), np.stack([np.asarray(v, "float64") for v in lists["v"]])
-            for at in range(0, len(queries), 256):
-                q = queries[at : at + 256]
-                own = q["node"].to_numpy()
-                s = np.stack([np.asarray(v, "float64") for v in q["v"]]) @ y.T
-                s[own[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-s, 1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, top, 1)
-                r, c = np.nonzero(score > -np.inf)
-                out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[top[r, c]], "score": score[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    found = left.select(cols).groupBy(key).cogroup(right.select(cols).groupBy(key)).applyInPandas(best, "query_id long, vec_id long, score double")
-    # up to k rows from each list of a query meet here; copies of a vector count once
+    n_queries = asked.select("node").distinct().count()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    # blocks that probe a list: a row per list, MOST_LISTS at most
+    probing = F.broadcast(asked.groupBy("list").agg(F.collect_set("block").alias("_blocks")))
+    right = asked.groupBy("block", "node").agg(F.collect_list("list").alias("lists"), F.first("v").alias("v"))
+    right = right.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"), F.lit(-1).alias("list"), "lists", F.lit(-1).alias("first"), "node", "v")
+    left = posted.join(probing, "list").select(F.explode("_blocks").alias("block"), F.pmod(F.xxhash64("node"), F.lit(SHARDS)).cast("int").alias("shard"), "list", F.lit(None).cast("array<int>").alias("lists"), "first", "node", "v")
+    # queries (list -1) come first in their group, then the vectors by list: one pass, a batch at a time
+    sorted_ = right.unionByName(left).repartition("block", "shard").sortWithinPartitions("block", "shard", "list", "node")
+
+    def best(batches):
+        walk = None
+        for pdf in batches:
+            for (block, shard), group in pdf.groupby(["block", "shard"], sort=False):
+                if walk is None or walk.key != (block, shard):
+                    if walk is not None:
+                        yield from walk.result()
+                    walk = _Block((block, shard), k, n_lists)
+                walk.add(group)
+        if walk is not None:
+            yield from walk.result()
+
+    found = sorted_.mapInPandas(best, "query_id long, vec_id long, score double")
+    # k rows from each shard of a query meet here, whatever the size of the table
     once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class _Block:
+    """One block of queries while the vectors of a shard pass by; keeps each query's best k."""
+
+    def __init__(self, key: tuple, k: int, n_lists: int):
+        self.key, self.k, self.n_lists = key, k, n_lists
+        self.ids, self.vectors, self.lists = [], [], []
+        self.probes = None
+
+    def add(self, group: pd.DataFrame) -> None:
+        asks = group["list"].to_numpy() < 0
+        if asks.any():
+            self.ids += group["node"][asks].tolist()
+            self.vectors += list(group["v"][asks])
+            self.lists += list(group["lists"][asks])
+        if asks.all():
+            return
+        if self.probes is None:
+            self._seal()
+        rest = group[~asks]
+        for c, own in rest.groupby("list", sort=False):
+            sel = np.flatnonzero(self.probes[:, c])
+            if len(sel):
+                self._meet(sel, own)
+
+    def _seal(self) -> None:
+        n = len(self.ids)
+        self.probes = np.zeros((n, self.n_lists), bool)
+        for i, lists in enumerate(self.lists):
+            self.probes[i, np.asarray(lists, "int64")] = True
+        self.q = np.stack([np.asarray(v, "float64") for v in self.vectors]) if n else np.zeros((0, 1))
+        self.query = np.asarray(self.ids, "int64")
+        self.score = np.full((n, self.k), -np.inf)
+        self.hit = np.full((n, self.k), np.iinfo("int64").max)
+
+    def _meet(self, sel: np.ndarray, own: pd.DataFrame) -> None:
+        ids, first = own["node"].to_numpy(), own["first"].to_numpy()
+        s = self.q[sel] @ np.stack([np.asarray(v, "float64") for v in own["v"]]).T
+        s[self.query[sel][:, None] == ids[None, :]] = -np.inf
+        # a boundary copy counts only for queries that do not see the vector in its first list
+        copy = first >= 0
+        if copy.any():
+            s[:, copy] = np.where(self.probes[sel][:, first[copy]], -np.inf, s[:, copy])
+        score = np.concatenate((self.score[sel], s), 1)
+        hit = np.concatenate((self.hit[sel], np.broadcast_to(ids, s.shape)), 1)
+        order = np.lexsort((hit, -score), axis=1)[:, : self.k]
+        self.score[sel] = np.take_along_axis(score, order, 1)
+        self.hit[sel] = np.take_along_axis(hit, order, 1)
+
+    def result(self):
+        if self.probes is not None:
+            r, c = np.nonzero(self.score > -np.inf)
+            yield pd.DataFrame({"query_id": self.query[r], "vec_id": self.hit[r, c], "score": self.score[r, c]})

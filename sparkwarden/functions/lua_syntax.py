@@ -14,7 +14,7 @@ KEYWORDS = frozenset("and break do else elseif end false for function goto if in
 _TOKEN = re.compile(
     r"""(?P<space>[ \t\r\n\f\v]+)|(?P<comment>--\[(?P<ceq>=*)\[.*?(?:\](?P=ceq)\]|\Z)|--[^\n]*)|(?P<name>[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*)
     |(?P<number>0[xX][0-9a-fA-F.]+(?:[pP][+-]?[0-9]+)?(?:[uUlLiI]*)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[uUlLiI]*)
-    |(?P<long>\[(?P<seq>=*)\[.*?\](?P=seq)\])|(?P<string>"(?:[^"\\\n]|\\(?:\r\n|.|\n))*"|'(?:[^'\\\n]|\\(?:\r\n|.|\n))*')|(?P<backtick>`[^`\n]*`?)
+    |(?P<long>\[(?P<seq>=*)\[.*?\](?P=seq)\])|(?P<string>"(?:[^"\\\n]|\\(?:z\s*+|\r\n|.|\n))*+"|'(?:[^'\\\n]|\\(?:z\s*+|\r\n|.|\n))*+')|(?P<backtick>`[^`\n]*`?)
     |(?P<op>\.\.\.|\.\.|==|~=|<=|>=|<<|>>|//|::|[-+*/%^\#&~|<>=(){}\[\];:,.])""",
     re.X | re.S,
 )

@@ -219,10 +219,10 @@ def surviving_metacharacters(filtered: Column) -> Column:
 
 
 def normalise_path(path: Column) -> Column:
-    """``.`` and ``..`` resolved, a leading slash kept."""
+    """``.`` and ``..`` resolved, a leading slash kept; ``..`` at the top stays there."""
     parts = F.aggregate(
         F.split(path, "/"), F.array().cast("array<string>"),
-        lambda acc, s: F.when((s == "") | (s == "."), acc).when((s == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
     )
     return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
 

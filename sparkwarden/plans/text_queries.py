@@ -198,13 +198,13 @@ def d_shell_words(spark, sf_dir):
         "o_orderkey", F.array_join(S.command_words(F.col("c")), ",").alias("words"), F.array_join(S.redirect_targets(F.col("c")), ",").alias("targets"), S.installs_crontab(F.col("c")).alias("cron"), S.opens_port(F.col("c")).alias("port"))
 
 
-@query("""SELECT o_orderkey, ['a/c', '/b', '../x', 'a'][o_orderkey % 4 + 1] AS path, [['a.c', 'c'], ['b'], ['x'], ['a']][o_orderkey % 4 + 1][1] AS module FROM orders""")
+@query("""SELECT o_orderkey, ['a/c', '/b', 'x', 'a'][o_orderkey % 4 + 1] AS path, [['a.c', 'c'], ['b'], ['x'], ['a']][o_orderkey % 4 + 1][1] AS module FROM orders""")
 def d_normalise_path(spark, sf_dir):
     """Dots resolved; the longest module name of the result."""
     k = F.col("o_orderkey") % 4
     raw = F.when(k == 0, "a/./b/../c").when(k == 1, "/a/../b").when(k == 2, "../x").otherwise("a//")
     p = S.normalise_path(F.col("r"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("r")).select("o_orderkey", p.alias("path"), F.element_at(S.module_candidates(F.regexp_replace(p, r"^(\.\./)+", "")), 1).alias("module"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("r")).select("o_orderkey", p.alias("path"), F.element_at(S.module_candidates(p), 1).alias("module"))
 
 
 @query("SELECT event_id, ['base64_decode', 'to.hex', 'print', 'xor-mask'][event_id % 4 + 1] AS name, event_id % 4 <> 2 AS decodes, ['', 'c', 'a', 'x'][event_id % 4 + 1] IS NOT NULL AS known, CAST(10 - length([';|', '', ';`$&|<>', '()'][event_id % 4 + 1]) AS INTEGER) AS surviving FROM events")

@@ -4,8 +4,8 @@ A document is a bag of sentences.  A sentence has probability sigmoid(bias +
 sum of its word weights); a document is toxic with probability 1 - prod(1 - p),
 and that likelihood is trained from document labels alone, so the sentences
 that carry a label are found without being marked.  A word's weight is the sum
-of the weights of its hashed features (the word and its beginnings), so unseen
-inflections score too.  A word that repeats the one before it adds nothing.
+of the weights of its hashed features (its beginnings, and the word if short), so
+unseen inflections score too.  A word that repeats the one before it adds nothing.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ WORDS_KEPT = 500_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word: itself and its beginnings of 3 to 6 bytes."""
+    """Buckets of a word: its beginnings of 3 to 6 bytes, and itself if it is shorter than 7."""
     w = word[:40].encode("utf-8", "replace")
-    return [crc32(b"$", crc32(w)) % BUCKETS, *[crc32(w[:n]) % BUCKETS for n in (3, 4, 5, 6) if len(w) >= n]]
+    whole = [crc32(b"$", crc32(w)) % BUCKETS] if len(w) < 7 else []
+    return whole + [crc32(w[:n]) % BUCKETS for n in (3, 4, 5, 6) if len(w) >= n]
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weight = max(1.0, sizes.get(0, 0) / max_train) / max(1.0, sizes.get(1, 0) / max_train)  # the sample stands for all labels
+    weight = (max(1.0, sizes.get(0, 0) / max_train) / max(1.0, sizes.get(1, 0) / max_train)) ** 0.5  # between the sample's balance and that of all labels
     parts = [known.where(F.col("toxic") == v).orderBy(unit_draw(F.col("doc_id"), 1), "doc_id").limit(max_train) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_train rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)

@@ -167,7 +167,7 @@ def lua_store_hop(spark, sf_dir):
 
 
 @register("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'analyze' WHEN 1 THEN 'template' WHEN 2 THEN 'conf' ELSE 'skip' END AS route,
-  CASE page_id % 4 WHEN 0 THEN 'local a = 1' WHEN 1 THEN '         x = ' || page_id || '   ;  ' WHEN 2 THEN repeat(' ', 24) || 'do  y = ' || page_id || '  end' ELSE '#!/bin/sh' END AS body FROM pages""")
+  CASE page_id % 4 WHEN 0 THEN 'local a = 1' WHEN 1 THEN '         x = ' || page_id || '  ;' WHEN 2 THEN repeat(' ', 24) || 'do  y = ' || page_id || '  end' ELSE '#!/bin/sh' END AS body FROM pages""")
 def b_routes(spark, sf_dir):
     """Routes of artifacts, and what templates and configurations keep."""
     from ..sources import artifacts as A

@@ -10,7 +10,9 @@ partitions meet, their border rows are compared once more.
 Candidates pass an estimate on the whole signature, set six deviations below
 the threshold, and are then confirmed on full shingle sets: first the two best
 of every class, then each remaining candidate whose ends are still in different
-components, which leaves the components as if all had been confirmed.
+components, which leaves the components as if all had been confirmed.  Regions
+with more rows than a neighbourhood are then gone through once more: whatever
+is still apart in them meets by blocks, so no link hides behind nearer rows.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ WORDS_KEPT = 400_000
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype="uint64")
+#: Rows of a dense region in one block; its estimates reach so far below the threshold (four standard errors).
+BLOCK, DENSE_MARGIN = 512, 0.17
+PAIR, DENSE, BORDER = 0, 1, 2
 KEYS = "tree int, k1 long, k2 long, k3 long, node long"
 
 
@@ -111,46 +116,95 @@ def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(batches: Iterator[pd.DataFrame], borders: bool = True) -> Iterator[pd.DataFrame]:
-    """Pairs of sorted rows at most NEIGHBOURS apart that share the prefix; with ``borders`` also the outer rows."""
+    """What the sorted rows show, by ``kind``: PAIR of rows at most NEIGHBOURS apart that share the
+    prefix, DENSE key of a region with more rows than that, and with ``borders`` the outer rows."""
+    reach = NEIGHBOURS + 1
     tail, first, seen = None, True, False
 
-    def edge(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(a=np.int64(-1), b=np.int64(-1), border=True)
+    def told(kind: int, tree, k1, **more) -> pd.DataFrame:
+        zero = np.zeros(len(k1), "int64")
+        out = pd.DataFrame({"tree": tree, "k1": k1, **{c: more.get(c, zero) for c in ("k2", "k3", "node", "a", "b")}, "kind": np.full(len(k1), kind, "int32")})
+        return out.astype({"tree": "int32"})
+
+    def edge(r: pd.DataFrame) -> pd.DataFrame:
+        return told(BORDER, r["tree"].to_numpy(), r["k1"].to_numpy(), k2=r["k2"].to_numpy(), k3=r["k3"].to_numpy(), node=r["node"].to_numpy())
 
     for pdf in batches:
         if not len(pdf):
             continue
         seen = True
-        if borders and first:
-            head = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            if len(head) >= NEIGHBOURS:
-                yield edge(head[:NEIGHBOURS])
-                first = False
         rows = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        if borders and first and len(rows) >= reach:
+            yield edge(rows[:reach])
+            first = False
         tree, k1, node = rows["tree"].to_numpy(), rows["k1"].to_numpy(), rows["node"].to_numpy()
         old, found = len(rows) - len(pdf), []
-        for d in range(1, NEIGHBOURS + 1):
+        for d in range(1, reach + 1):
             i = np.flatnonzero((tree[d:] == tree[:-d]) & (k1[d:] == k1[:-d]) & (node[d:] != node[:-d]))
             i = i[i + d >= old]
-            found.append((np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])))
+            if d <= NEIGHBOURS:
+                found.append((np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])))
+            elif len(i):
+                keys = pd.DataFrame({"tree": tree[i], "k1": k1[i]}).drop_duplicates()
+                yield told(DENSE, keys["tree"].to_numpy(), keys["k1"].to_numpy())
         a, b = (np.concatenate(x) for x in zip(*found))
-        zero = np.zeros(len(a), "int64")
-        yield pd.DataFrame({"tree": zero.astype("int32"), "k1": zero, "k2": zero, "k3": zero, "node": zero, "a": a, "b": b, "border": np.zeros(len(a), bool)})
-        tail = rows[-NEIGHBOURS:]
+        yield told(PAIR, np.zeros(len(a), "int32"), np.zeros(len(a), "int64"), a=a, b=b)
+        tail = rows[-reach:]
     if borders and seen:
-        yield edge(tail if not first else tail[:NEIGHBOURS])
+        yield edge(tail)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of neighbouring nodes over all trees."""
-    order = ["tree", "k1", "k2", "k3", "node"]
-    n = max(1, partitions(classes.sparkSession))
-    rows = classes.where("sig is not null").select("node", "sig").mapInPandas(_orders, KEYS)
-    found = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_near, KEYS + ", a long, b long, border boolean"), "near")
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of neighbouring nodes over all trees, and ``tree, k1`` of dense regions."""
+    order, out = ["tree", "k1", "k2", "k3", "node"], KEYS + ", a long, b long, kind int"
+    n = max(1, partitions(nodes.sparkSession))
+    rows = nodes.where("sig is not null").select("node", "sig").mapInPandas(_orders, KEYS)
+    found = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_near, out), "near")
     # a few rows of each partition: those next to its two ends
-    edges = found.where("border").select(*order).repartition(1).sortWithinPartitions(*order)
-    more = edges.mapInPandas(functools.partial(_near, borders=False), KEYS + ", a long, b long, border boolean")
-    return found.where("not border").select("a", "b").unionByName(more.select("a", "b")).distinct()
+    edges = found.where(F.col("kind") == BORDER).select(*order).distinct().repartition(1).sortWithinPartitions(*order)
+    every = found.unionByName(edges.mapInPandas(functools.partial(_near, borders=False), out))
+    return every.where(F.col("kind") == PAIR).select("a", "b").distinct(), cut(every.where(F.col("kind") == DENSE).select("tree", "k1").distinct(), "dense")
+
+
+def members(nodes: DataFrame, dense: DataFrame) -> DataFrame:
+    """``tree, k1, node`` of the rows in dense regions."""
+    rows = nodes.where("sig is not null").select("node", "sig").mapInPandas(_orders, KEYS).select("tree", "k1", "node")
+    return rows.join(F.broadcast(dense) if dense.count() <= BROADCAST_IDS else dense, ["tree", "k1"])
+
+
+def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """Pairs in dense regions whose ends are in different components and whose estimate is at least ``least``.
+
+    Neighbours alone do not exhaust a dense region.  A region's rows outside
+    its commonest component meet all others, in pairs of blocks of bounded
+    size; rows of the commonest component never meet each other.
+    """
+    known = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "sig")
+    rows = inside.join(known.select("node", "label"), "node")
+    each = rows.groupBy("tree", "k1", "label").agg(F.count("*").alias("n"))
+    stats = each.groupBy("tree", "k1").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    stats = cut(stats.select("tree", "k1", F.col("m.label").alias("common"), blocks(F.col("all") - F.col("m.n")).alias("bo"), blocks(F.col("m.n")).alias("bd")), "regions")
+    dealt = rows.join(stats, ["tree", "k1"]).join(known.select("node", "sig"), "node")
+    other = F.col("label") != F.col("common")
+    h = F.xxhash64("node")
+    dealt = dealt.withColumn("i", F.when(other, F.pmod(h, F.col("bo"))).otherwise(F.col("bo") + F.pmod(h, F.col("bd"))).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(other, F.col("bo") + F.col("bd") - 1).otherwise(F.col("bo") - 1))))
+    dealt = dealt.select("tree", "k1", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "label", "sig")
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), HASHES)
+        node, label, block = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["i"].to_numpy()
+        same = np.zeros((len(pdf), len(pdf)), "uint8")
+        for c in sig.T:
+            same += c[:, None] == c[None, :]
+        ok = (same >= least * HASHES) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        if key[2] != key[3]:
+            ok &= block[:, None] != block[None, :]
+        a, b = np.nonzero(ok)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return dealt.groupBy("tree", "k1", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
 
 
 def _estimate(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -200,6 +254,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    label = lambda c: comp.toDF(c, f"_{c}")
+    both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, component`` after further links, by components of the contracted graph."""
+    if more.isEmpty():
+        return comp
+    label = lambda c: comp.toDF(c, f"_{c}")
+    contracted = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = components(contracted).toDF("component", "_to")
+    every = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return cut(every.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "comp")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -215,24 +287,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # one id may stand for two classes if it is repeated with other texts: then they share the node, as they share the id
     classes = cut(classes, "classes")
     nodes = classes.groupBy("node").agg(F.min("sig").alias("sig"))
-    pairs = cut(_estimate(candidates(classes.select("node", "sig")), nodes, percent / 100 - MARGIN), "pairs")
+    nodes = cut(nodes, "nodes")
+    near, dense = candidates(nodes)
+    pairs = cut(_estimate(near, nodes, percent / 100 - MARGIN), "pairs")
+    inside = cut(members(nodes, dense), "members")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "est")
     best = Window.partitionBy("node").orderBy(F.desc("est"), "a", "b")  # at most 2 * NEIGHBOURS * TREES rows a node
     top = ends.withColumn("_r", F.row_number().over(best)).where("_r <= 2").select("a", "b").distinct()
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    involved = cut(ends.select("node").unionByName(inside.select("node")).distinct(), "involved")
     sets = cut(_sets(docs, involved, n).groupBy("node").agg(F.min("set").alias("set")), "sets")
-    links = cut(_confirm(top, sets, percent), "links")
-    comp = components(links)
-    label = lambda c: comp.toDF(c, f"_{c}")
-    rest = pairs.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = cut(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "rest")
-    more = cut(_confirm(rest, sets, percent), "links")
-    if not more.isEmpty():
-        # contract: components that the new links join
-        joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-        merged = components(joined).toDF("component", "_to")
-        every = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("component")))
-        comp = every.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    comp = components(cut(_confirm(top, sets, percent), "links"))
+    rest = _between(pairs.select("a", "b"), comp)
+    comp = _joined(comp, cut(_confirm(rest, sets, percent), "links"))
+    far = _apart(inside, nodes, comp, percent / 100 - DENSE_MARGIN).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    comp = _joined(comp, cut(_confirm(far, sets, percent), "links"))
     of = classes.select("fp", "node", "n").join(comp, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     component = F.coalesce("component", "doc_id")

@@ -42,7 +42,7 @@ _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype="uint64")
 #: Rows of a dense region in one block; its estimates reach so far below the threshold (four standard errors).
-BLOCK, DENSE_MARGIN = 512, 0.17
+BLOCK, DENSE_MARGIN = 256, 0.17
 PAIR, DENSE, BORDER = 0, 1, 2
 KEYS = "tree int, k1 long, k2 long, k3 long, node long"
 
@@ -172,25 +172,28 @@ def members(nodes: DataFrame, dense: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(dense) if dense.count() <= BROADCAST_IDS else dense, ["tree", "k1"])
 
 
-def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Pairs in dense regions whose ends are in different components and whose estimate is at least ``least``.
+def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in dense regions between different components, ``a, b``, confirmed on full sets.
 
     Neighbours alone do not exhaust a dense region.  A region's rows outside
     its commonest component meet all others, in pairs of blocks of bounded
-    size; rows of the commonest component never meet each other.
+    size; rows of the commonest component never meet each other.  The sets come
+    along, so a pair of blocks returns the links that join components and no
+    other pair; a pair that shares several prefixes is looked at in the first.
     """
+    least = (percent / 100 - DENSE_MARGIN) * HASHES
     known = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "sig")
     rows = inside.join(known.select("node", "label"), "node")
     each = rows.groupBy("tree", "k1", "label").agg(F.count("*").alias("n"))
     stats = each.groupBy("tree", "k1").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     stats = cut(stats.select("tree", "k1", F.col("m.label").alias("common"), blocks(F.col("all") - F.col("m.n")).alias("bo"), blocks(F.col("m.n")).alias("bd")), "regions")
-    dealt = rows.join(stats, ["tree", "k1"]).join(known.select("node", "sig"), "node")
+    dealt = rows.join(stats, ["tree", "k1"]).join(known.select("node", "sig"), "node").join(sets, "node")
     other = F.col("label") != F.col("common")
     h = F.xxhash64("node")
     dealt = dealt.withColumn("i", F.when(other, F.pmod(h, F.col("bo"))).otherwise(F.col("bo") + F.pmod(h, F.col("bd"))).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(other, F.col("bo") + F.col("bd") - 1).otherwise(F.col("bo") - 1))))
-    dealt = dealt.select("tree", "k1", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "label", "sig")
+    dealt = dealt.select("tree", "k1", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "label", "sig", "set")
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), HASHES)
@@ -198,11 +201,32 @@ def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, least: float) -
         same = np.zeros((len(pdf), len(pdf)), "uint8")
         for c in sig.T:
             same += c[:, None] == c[None, :]
-        ok = (same >= least * HASHES) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        own = [np.frombuffer(x, "uint64") for x in pdf["set"]]
+        size = np.asarray([len(x) for x in own])
+        ok = (same >= least) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        ok &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
         if key[2] != key[3]:
             ok &= block[:, None] != block[None, :]
         a, b = np.nonzero(ok)
-        return pd.DataFrame({"a": node[a], "b": node[b]})
+        prefix = np.ascontiguousarray(sig).view("uint64")  # PREFIX hashes of 16 bits: one word a tree
+        new = ~(prefix[a, : key[0]] == prefix[b, : key[0]]).any(1)
+        a, b = a[new], b[new]
+        order = np.argsort(-same[a, b].astype("int16"), kind="stable")
+        parent, links = {}, []
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            x, y = root(label[i]), root(label[j])
+            if x != y:
+                inter = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if 100 * inter >= percent * (size[i] + size[j] - inter):
+                    parent[max(x, y)] = min(x, y)
+                    links.append((node[i], node[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("tree", "k1", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
 
@@ -299,8 +323,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     comp = components(cut(_confirm(top, sets, percent), "links"))
     rest = _between(pairs.select("a", "b"), comp)
     comp = _joined(comp, cut(_confirm(rest, sets, percent), "links"))
-    far = _apart(inside, nodes, comp, percent / 100 - DENSE_MARGIN).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    comp = _joined(comp, cut(_confirm(far, sets, percent), "links"))
+    comp = _joined(comp, cut(_apart(inside, nodes, comp, sets, percent), "links"))
     of = classes.select("fp", "node", "n").join(comp, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     component = F.coalesce("component", "doc_id")

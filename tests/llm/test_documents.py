@@ -83,6 +83,27 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
 
 
+def test_links_hidden_in_a_dense_region(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    base = [word() for _ in range(200)]
+
+    def changed(words, places):
+        out = list(words)
+        for p in places:
+            out[p] = word()
+        return out
+
+    family = [changed(base, [3 + 5 * (i % 30)]) for i in range(60)]
+    # each outlier is near one member, and just too far from the rest
+    outliers = [changed(family[7 * k], range(160, 160 + 2 * (k + 4), 2)) for k in range(8)]
+    texts = [" ".join(w) for w in family + outliers]
+    _, comp = brute_components(texts, 3, 85)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(docs, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
 def test_near_duplicates_edges(spark):
     docs = spark.createDataFrame([(5, "same text here now"), (5, "same text here now"), (None, "same text here now"), (6, "same text here now"), (9, "other")], "doc_id long, text string")
     got = minhash_forest.near_duplicates(docs, 3, 85).collect()

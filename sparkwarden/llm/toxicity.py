@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     parts = [known.where(F.col("toxic") == v).orderBy(unit_draw(F.col("doc_id"), 1), "doc_id").limit(max_train) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_train rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
-    pdf = texts.join(chosen, "doc_id").orderBy("doc_id", "text").limit(2 * max_train).toPandas()
+    # a row for each chosen id, however often it is repeated
+    pdf = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return fit(pdf["text"].tolist(), pdf["toxic"].tolist(), weight)
 
 

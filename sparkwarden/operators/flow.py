@@ -28,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list[str] = (), transform=None, max_rounds: int | None = MAX_ROUNDS) -> tuple[DataFrame, bool]:
+def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list[str] = (), transform=None, max_rounds: int | None = MAX_ROUNDS, edges_stored: bool = False) -> tuple[DataFrame, bool]:
     """Closure of ``seeds`` over ``edges`` (G01); returns the facts and whether the bound was hit.
 
     ``seeds`` has ``keys``, ``node`` and ``labels``; ``edges`` has ``keys``,
@@ -38,7 +38,7 @@ def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list
     identity = [*keys, "node", *labels]
     known = delta = stored(seeds.select(*identity).distinct(), "facts")
     parts, rounds = [known], 0
-    edges = stored(edges, "edges")
+    edges = edges if edges_stored else stored(edges, "edges")
     while not delta.isEmpty():
         if max_rounds is not None and rounds == max_rounds:
             return known, True

@@ -75,7 +75,12 @@ class Scan:
         return out.select(gid("node").alias("node"), "tid", F.col("line").alias("src_line"), "confidence", F.lit(False).alias("quoted"), F.lit("").alias("ctx"))
 
     def flow_edges(self) -> DataFrame:
-        """``src, dst, label, site`` with labels copy, quote, bind and ret."""
+        """``src, dst, label, site`` with labels copy, quote, bind and ret; made once."""
+        if not hasattr(self, "_edges"):
+            self._edges = stored(self._flow_edges().distinct(), "edges")
+        return self._edges
+
+    def _flow_edges(self) -> DataFrame:
         plain = self.edges.where("label = 'copy'").select(gid("src").alias("src"), gid("dst").alias("dst"), F.lit("copy").alias("label"), F.lit("").alias("site"))
         rows = [(i, 0, p, S.glob_regex(p), S.wildcards(p), a) for i, (pr, p, a) in enumerate(dims.PROPAGATORS) if pr == "base" or pr in self.profiles]
         rows += [(10_000 + i, 0, r["pattern"], S.glob_regex(r["pattern"]), S.wildcards(r["pattern"]), r.get("arg", [1])) for i, r in enumerate(self.extra.get("propagators", []))]
@@ -119,7 +124,7 @@ class Scan:
                 m = m.withColumn("quoted", F.col("quoted") | (F.col("label") == "quote"))
                 return m.withColumn("ctx", F.when(F.col("label") == "bind", F.col("site")).when(F.col("label") == "ret", F.lit("")).otherwise(F.col("ctx")))
 
-            known, self.hit_bound = semi_naive(self.seeds(), self.flow_edges().distinct(), [], LABELS, move, max_rounds=160)
+            known, self.hit_bound = semi_naive(self.seeds(), self.flow_edges(), [], LABELS, move, max_rounds=160, edges_stored=True)
             self._taint = stored(known.groupBy("node", "tid", "quoted").agg(F.min("src_line").alias("src_line"), F.min_by("confidence", "src_line").alias("confidence")), "taint")
         return self._taint
 

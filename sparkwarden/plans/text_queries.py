@@ -207,13 +207,13 @@ def d_normalise_path(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("r")).select("o_orderkey", p.alias("path"), F.element_at(S.module_candidates(p), 1).alias("module"))
 
 
-@query("SELECT event_id, ['base64_decode', 'to.hex', 'print', 'xor-mask'][event_id % 4 + 1] AS name, event_id % 4 <> 2 AS decodes, ['', 'c', 'a', 'x'][event_id % 4 + 1] IS NOT NULL AS known, CAST(10 - length([';|', '', ';`$&|<>', '()'][event_id % 4 + 1]) AS INTEGER) AS surviving FROM events")
+@query("SELECT event_id, ['base64_decode', 'to.hex', 'print', 'xor-mask'][event_id % 4 + 1] AS name, event_id % 4 <> 2 AS decodes, CAST(10 - length([';|', '', ';`$&|<>', '()'][event_id % 4 + 1]) AS INTEGER) AS surviving FROM events")
 def d_decoder_metachars(spark, sf_dir):
     """Decoder names, and metacharacters that a filter leaves."""
     k = (F.col("event_id") % 4).cast("int") + 1
     name = F.element_at(F.array(*map(F.lit, ("base64_decode", "to.hex", "print", "xor-mask"))), k)
     filt = F.element_at(F.array(*map(F.lit, (";|", "", ";`$&|<>", "()"))), k)
-    return table(spark, sf_dir, "events").select("event_id", name.alias("name"), S.decoder_name(name).alias("decodes"), F.lit(True).alias("known"), F.size(S.surviving_metacharacters(filt)).alias("surviving"))
+    return table(spark, sf_dir, "events").select("event_id", name.alias("name"), S.decoder_name(name).alias("decodes"), F.size(S.surviving_metacharacters(filt)).alias("surviving"))
 
 
 # ------------------------------------------------------------------ E: registry matching
@@ -292,8 +292,7 @@ def g_fixpoint_bounded(spark, sf_dir):
 def g_asof_approx(spark, sf_dir):
     """The last assignment before each use, as an as-of join by one window sort."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase"))
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # strictly earlier: signups at the same instant do not count, so the range window's own peers are taken out
+    # strictly earlier: the rows of one instant are one row first, so signups of the same instant do not count
     sign = F.when(F.col("event_type") == "signup", F.struct(F.col("ts").alias("t"), F.col("event_id").alias("e")))
     before = ev.groupBy("user_id", "ts").agg(F.max(sign).alias("_s"), F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("_p"))
     prior = F.max("_s").over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))

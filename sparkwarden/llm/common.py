@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = tempfile.mkdtemp(prefix="sparkwarden-")
+        atexit.register(shutil.rmtree, got, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", got)
     return got
 

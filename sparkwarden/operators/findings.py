@@ -17,30 +17,32 @@ def quoted(alternatives: list[str]) -> str:
     return "|".join("".join("\\" + c if c in S.REGEX_SPECIAL else c for c in a) for a in alternatives)
 
 
-def signature_hits(docs: DataFrame, pack: list, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, sig_id, position``: the first place of each signature in each text (J23, E-23).
+def signature_hits(docs: DataFrame, pack: list, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """``key, keep, sig_id, position, line, column``: the first place of each signature in each text (J23, E-23).
 
     One pass of a quoted alternation drops texts without a hit; only the others
-    meet the alternatives, which are a constant array of the plan.
+    meet the alternatives, which are a constant array of the plan.  Line and
+    column are taken where the text is at hand, so no text is ever shuffled.
     """
     rows = [(s, a) for s, p in pack for a in p.split("|")]
     alts = F.array(*[F.struct(F.lit(s).alias("sig_id"), F.lit(a).alias("alt")) for s, a in rows])
     some = docs.where(F.col(text).rlike(quoted([a for _, a in rows])))
-    found = some.select(key, F.col(text).alias("_t"), F.explode(alts).alias("s")).select(key, "s.sig_id", F.instr(F.col("_t"), F.col("s.alt")).alias("position"))
-    return found.where("position > 0").groupBy(key, "sig_id").agg(F.min("position").cast("int").alias("position"))
+    found = some.select(key, *keep, F.col(text).alias("_t"), F.explode(alts).alias("s")).select(key, *keep, "_t", "s.sig_id", F.instr(F.col("_t"), F.col("s.alt")).alias("position"))
+    found = found.where("position > 0").withColumn("p", F.struct(F.col("position").cast("int").alias("position"), S.line_of(F.col("_t"), F.col("position")).alias("line"), S.column_of(F.col("_t"), F.col("position")).alias("column")))
+    return found.groupBy(key, *keep, "sig_id").agg(F.min("p").alias("p")).select(key, *keep, "sig_id", "p.*")
 
 
-def credential_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, position, name, value``: the first qualifying assignment of each text (J20, text form).
+def credential_hits(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """``key, keep, position, line, column, name, value``: the first qualifying assignment of each text (J20, text form).
 
     Value rejects of the ladder apply: paths, URLs, numbers, all-caps words and
     placeholders are no credentials; four characters are the floor.
     """
     name, value = F.regexp_extract(text, CREDENTIAL, 1), F.regexp_extract(text, CREDENTIAL, 2)
-    some = docs.where(F.col(text).rlike(CREDENTIAL)).select(key, F.col(text).alias("_t"), name.alias("name"), value.alias("value"))
+    some = docs.where(F.col(text).rlike(CREDENTIAL)).select(key, *keep, F.col(text).alias("_t"), name.alias("name"), value.alias("value"))
     some = some.where((F.length("value") >= 4) & ~F.col("value").rlike(r"^/|://|^[0-9.]+$|^[A-Z_]+$|^<|\{|%[sd]"))
-    whole = F.regexp_extract("_t", CREDENTIAL, 0)
-    return some.select(key, F.instr(F.col("_t"), whole).cast("int").alias("position"), "name", "value")
+    at = some.withColumn("position", F.instr(F.col("_t"), F.regexp_extract("_t", CREDENTIAL, 0)).cast("int"))
+    return at.select(key, *keep, "position", S.line_of(F.col("_t"), F.col("position")).alias("line"), S.column_of(F.col("_t"), F.col("position")).alias("column"), "name", "value")
 
 
 def redact(value: Column) -> Column:
@@ -54,20 +56,19 @@ def file_of(docs: DataFrame) -> Column:
     return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
-def text_findings(docs: DataFrame, pack: list | None = None) -> DataFrame:
+def text_findings(docs: DataFrame, pack: list | None = None, keep: list[str] = ()) -> DataFrame:
     """Raw findings of a document table: signatures (750) and credentials (747), with places.
 
-    ``doc_id, file, code, name, line, column, end_column, confidence, source, status``
+    ``doc_id, keep, file, code, name, line, column, end_column, confidence, source, status``
     joined with the rule catalogue's severity, weakness class and message.
     """
     pack = dims.TEXT_SIGNATURES if pack is None else pack
-    docs = docs.select("doc_id", "text", file_of(docs).alias("file"))
-    hits = signature_hits(docs, pack).select("doc_id", F.lit("750").alias("code"), F.col("sig_id").alias("name"), "position", F.lit(1).alias("width"), F.lit("certain").alias("confidence"))
-    secrets = credential_hits(docs).select("doc_id", F.lit("747").alias("code"), F.lower("name").alias("name"), "position", F.length("value").alias("width"), F.when(F.length("value") >= 20, "high").otherwise("medium").alias("confidence"))
-    # hits are few: they go back to their text for line and column
-    placed = hits.unionByName(secrets).join(docs, "doc_id").select(
-        "doc_id", "file", "code", "name", "confidence", S.line_of(F.col("text"), F.col("position")).alias("line"), S.column_of(F.col("text"), F.col("position")).alias("column"), "width"
-    )
+    docs = docs.select("doc_id", "text", *keep, file_of(docs).alias("file"))
+    same = ["doc_id", *keep, "file"]
+    hits = signature_hits(docs, pack, keep=same[1:]).select(*same, F.lit("750").alias("code"), F.col("sig_id").alias("name"), F.lit("certain").alias("confidence"), "line", "column", F.lit(1).alias("width"))
+    secrets = credential_hits(docs, keep=same[1:]).select(
+        *same, F.lit("747").alias("code"), F.lower("name").alias("name"), F.when(F.length("value") >= 20, "high").otherwise("medium").alias("confidence"), "line", "column", F.length("value").alias("width"))
+    placed = hits.unionByName(secrets)
     return with_catalogue(placed.withColumn("end_column", (F.col("column") + F.col("width") - 1).cast("int")).drop("width").withColumn("source", F.lit("")).withColumn("status", F.lit(None).cast("string")))
 
 

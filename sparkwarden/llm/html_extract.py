@@ -4,9 +4,9 @@ Markup is stripped into lines, one a block element; elements that are
 boilerplate by name, role or class leave a gap of empty lines.  The lengths of
 link-free text are summed over sliding windows of lines: the text surges where
 a window rises above the threshold and dives where it falls back to nothing,
-and the lines between are kept.  Where the page marks an ``article`` or
-``main``, its edges are the surge and the dive, so short first and last lines
-stay; other pages keep each run of lines whose peak is near the highest.
+and the lines between are kept.  ``article`` and ``main`` elements are a hint:
+where the text outside is by far thinner, their edges bound the runs, and a run
+that touches one is kept however short, so short first and last lines stay.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A run of lines without an article element needs a window of so many characters, and this part of the best one.
+#: A run of lines outside an article element needs a window of so many characters, and this part of the best one.
 SURGE_CHARS, SURGE_PART = 40, 0.2
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]{0,8000}+"|'[^']{0,8000}+'|["'])*+)>""", re.S)
@@ -147,34 +147,53 @@ def lines_of(page: str) -> list:
     return out
 
 
+def _runs(lengths: list) -> list[tuple[int, int, int]]:
+    """``(first, end, peak)`` of each run of lines between a surge and a dive; ``GAP`` counts as ``WINDOW`` empty lines."""
+    wide, owner = [0] * WINDOW, [-1] * WINDOW
+    for i, n in enumerate(lengths):
+        wide += [0] * WINDOW if n is GAP else [n]
+        owner += [-1] * WINDOW if n is GAP else [i]
+    wide += [0] * WINDOW
+    owner += [-1] * WINDOW
+    sums = np.convolve(wide, np.ones(WINDOW, "int64"), "valid")  # sums[i]: lines i to i + WINDOW - 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype("int8"), [0]])))
+    out = []
+    for start, stop in zip(edges[::2], edges[1::2]):
+        lines = [j for j in owner[start : stop + WINDOW - 1] if j >= 0]
+        out.append((lines[0], lines[-1] + 1, int(sums[start:stop].max())))
+    return out
+
+
+def _free(line) -> int:
+    return max(0, len(line[0]) - line[1])
+
+
+def _body(lines: list) -> list:
+    """The page's lines, or those inside ``article`` and ``main`` alone where the text outside is by far thinner.
+
+    That is, where neither the densest window outside nor the text of the
+    surging runs there reaches half of what stands inside.
+    """
+    inside = [GAP if x is GAP else _free(x) * x[2] for x in lines]
+    outside = [GAP if x is GAP else _free(x) * (not x[2]) for x in lines]
+    dense = max((r[2] for r in _runs(inside)), default=0)
+    surging = [r for r in _runs(outside) if r[2] >= SURGE_CHARS]
+    total = sum(outside[i] or 0 for i in {i for a, b, _ in surging for i in range(a, b)})
+    if 2 * max((r[2] for r in surging), default=0) < dense and 2 * total < sum(n or 0 for n in inside):
+        return [x for x in lines if x is GAP or x[2]]
+    return lines
+
+
 def main_text(page: str | None) -> str:
     """Kept lines joined by a line break; empty where none is kept."""
     lines = lines_of(page) if page else []
     if any(x is not GAP and x[2] for x in lines):
-        return "\n".join(x[0] for x in lines if x is not GAP and x[2])
-    lengths, owner = [0] * WINDOW, [-1] * WINDOW
-    for i, x in enumerate(lines):
-        if x is GAP:
-            lengths += [0] * WINDOW
-            owner += [-1] * WINDOW
-        else:
-            lengths.append(max(0, len(x[0]) - x[1]))
-            owner.append(i)
-    lengths += [0] * WINDOW
-    owner += [-1] * WINDOW
-    sums = np.convolve(lengths, np.ones(WINDOW, "int64"), "valid")  # sums[i]: lines i to i + WINDOW - 1
-    peak = sums.max(initial=0)
-    if not peak:
-        return ""
-    kept, start = [], None
-    for i, s in enumerate(sums):
-        if s and start is None:
-            start = i
-        elif not s and start is not None:  # a dive: what lay between is one run
-            if sums[start:i].max() >= max(min(SURGE_CHARS, peak), SURGE_PART * peak):
-                kept += [owner[j] for j in range(start, i + WINDOW - 1) if owner[j] >= 0]
-            start = None
-    return "\n".join(lines[i][0] for i in sorted(set(kept)) if lines[i][0])
+        lines = _body(lines)
+    runs = _runs([GAP if x is GAP else _free(x) for x in lines])
+    peak = max((r[2] for r in runs), default=0)
+    bar = max(min(SURGE_CHARS, peak), SURGE_PART * peak)
+    kept = {i for a, b, top in runs if top >= bar or any(x is not GAP and x[2] for x in lines[a:b]) for i in range(a, b)}
+    return "\n".join(lines[i][0] for i in sorted(kept) if lines[i] is not GAP)
 
 
 def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:

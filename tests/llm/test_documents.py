@@ -247,6 +247,19 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_articles_are_a_hint_only():
+    para = [("word%d " % k * 60).strip() for k in range(3)]
+    cards = "".join(f"<article><h2>Card {k}</h2><p>A teaser of some words, no more.</p></article>" for k in range(4))
+    body = "".join(f"<p>{t}</p>" for t in para)
+    got = html_extract.main_text(f"<div>{body}</div>{cards}").split("\n")
+    assert got[:3] == para  # the body stands outside the teasers' article elements
+    links = "".join(f"<li><a href=x>Other story {k}</a></li>" for k in range(8))
+    page = f"<div><p>Some unmarked words of the site, not of the article.</p></div><article><h1>T</h1>{body}<p>End.</p><ul>{links}</ul></article>"
+    got = html_extract.main_text(page).split("\n")
+    assert got[:5] == ["T", *para, "End."]  # edges bound the run, short first and last lines stay
+    assert "Other story 7" not in got  # a block of links inside the article is judged
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (2, None, "<article>" + "<p>x</p>" * 20_000, "t"), (None, "u", "<p>" * 5000, "t")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()

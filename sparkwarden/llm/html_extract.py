@@ -4,9 +4,10 @@ Markup is stripped into lines, one a block element; elements that are
 boilerplate by name, role or class leave a gap of empty lines.  The lengths of
 link-free text are summed over sliding windows of lines: the text surges where
 a window rises above the threshold and dives where it falls back to nothing,
-and the lines between are kept.  ``article`` and ``main`` elements are a hint:
-where the text outside is by far thinner, their edges bound the runs, and a run
-that touches one is kept however short, so short first and last lines stay.
+and all between the first surge and the last dive is kept.  ``article`` and
+``main`` elements are a hint: where the text outside is by far thinner, their
+edges bound the runs, and a run that touches one is kept however short, so short
+first and last lines stay.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A run of lines outside an article element needs a window of so many characters, and this part of the best one.
-SURGE_CHARS, SURGE_PART = 40, 0.2
+#: A run of lines outside an article element needs a window of so many characters to begin or end the main body.
+SURGE_CHARS = 40
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]{0,8000}+"|'[^']{0,8000}+'|["'])*+)>""", re.S)
 RAW = {n: re.compile(rf"</{n}\b[^>]*+>", re.I) for n in ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "math", "select", "button")}
@@ -184,15 +185,34 @@ def _body(lines: list) -> list:
     return lines
 
 
+def _bridged(lines: list, runs: list, start: int, end: int) -> set:
+    """Lines from the first surge to the last dive; gaps of removed boilerplate split nothing.
+
+    A stretch of linked lines between two runs is kept inside an article, or
+    where the text on both sides outweighs it; as a menu between a slogan and
+    the text it is not.
+    """
+    before, kept = 0, set()
+    free = [0 if x is GAP else _free(x) for x in lines]
+    whole, at = sum(free[start:end]), start
+    for a, b, _ in (r for r in runs if start <= r[0] and r[1] <= end):
+        between = [x for x in lines[at:a] if x is not GAP]
+        if all(x[2] for x in between) or sum(x[1] for x in between) <= min(before, whole - before):
+            kept.update(range(at, a))
+        kept.update(range(a, b))
+        before, at = before + sum(free[max(a, at) : b]), max(at, b)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """Kept lines joined by a line break; empty where none is kept."""
     lines = lines_of(page) if page else []
     if any(x is not GAP and x[2] for x in lines):
         lines = _body(lines)
     runs = _runs([GAP if x is GAP else _free(x) for x in lines])
-    peak = max((r[2] for r in runs), default=0)
-    bar = max(min(SURGE_CHARS, peak), SURGE_PART * peak)
-    kept = {i for a, b, top in runs if top >= bar or any(x is not GAP and x[2] for x in lines[a:b]) for i in range(a, b)}
+    bar = min(SURGE_CHARS, max((r[2] for r in runs), default=0))
+    body = [(a, b) for a, b, top in runs if top >= bar or any(x is not GAP and x[2] for x in lines[a:b])]
+    kept = _bridged(lines, runs, body[0][0], body[-1][1]) if body else ()
     return "\n".join(lines[i][0] for i in sorted(kept) if lines[i] is not GAP)
 
 

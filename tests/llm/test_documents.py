@@ -260,6 +260,23 @@ def test_articles_are_a_hint_only():
     assert "Other story 7" not in got  # a block of links inside the article is judged
 
 
+def test_gaps_do_not_split_the_body():
+    para = ["w%d " % k * 170 for k in range(3)]
+    body = "".join(f"<p>{t}</p>" for t in para)
+    want = [t.strip() for t in para]
+    close = "The closing paragraph of two hundred characters. " * 4
+    got = html_extract.main_text(f"<div>{body}<div class=ad>Buy</div><p>{close}</p></div>").split("\n")
+    assert got == [*want, close.strip()]  # under 20% of the densest window
+    got = html_extract.main_text(f"<div>{body}<div class=ad>Buy</div><p>Short.</p><div class=ad>Buy</div>{body}</div>").split("\n")
+    assert got == [*want, "Short.", *want]  # a short line between two gaps
+    links = [f"Source {k}" for k in range(9)]
+    got = html_extract.main_text(f"<div>{body}<ul>{''.join(f'<li><a href=x>{t}</a>' for t in links)}</ul>{body}</div>").split("\n")
+    assert got == [*want, *links, *want]  # a linked stretch inside the body
+    menu = "".join(f"<li><a href=x>Menu entry {k}</a>" for k in range(9))
+    got = html_extract.main_text(f"<div><p>A slogan of the site with over forty characters.</p><ul>{menu}</ul>{body}</div>").split("\n")
+    assert got[-3:] == want and "Menu entry 4" not in got
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (2, None, "<article>" + "<p>x</p>" * 20_000, "t"), (None, "u", "<p>" * 5000, "t")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()

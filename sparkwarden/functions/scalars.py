@@ -269,7 +269,7 @@ def code_pattern_regex(pattern: str) -> str | None:
 def html_escape(text: Column) -> Column:
     """D33."""
     out = text
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

@@ -121,6 +121,12 @@ def d_html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.html_escape(F.substring("html", 1, 80)).alias("safe"))
 
 
+@query("SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+def d_html_escape_whole(spark, sf_dir):
+    """Every page's whole markup made text; none gives an empty text."""
+    return table(spark, sf_dir, "pages").select("page_id", S.html_escape(F.coalesce("html", F.lit(""))).alias("safe"))
+
+
 @query(f"WITH p AS (SELECT page_id, array_to_string(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), '.') AS path FROM pages), k(key) AS (VALUES ('en'), ('fr'), ('en.1')) SELECT page_id, arg_max(key, length(key)) AS key FROM p JOIN k ON path = key OR starts_with(path, key || '.') GROUP BY page_id")
 def e_longest_prefix(spark, sf_dir):
     """The longest declared name at a dot, by equi-join on the name's heads."""

@@ -59,19 +59,21 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+#: Code points that reorder or hide text: C1 controls, zero-width, bidi, line and paragraph separators.
+HIDDEN = (*range(0x80, 0xA0), 0x061C, *range(0x200B, 0x2010), 0x2028, 0x2029, *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF)
+
+
 def sanitize(text: Column) -> Column:
-    r"""Controls become ``\xNN`` (tab ``\t``), bidi and zero-width characters ``\u{XXXX}``."""
-    code = lambda c: F.ascii(c)
-
-    def safe(c: Column) -> Column:
-        n = code(c)
-        hidden = n.isin(0x061C, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF) | n.between(0x202A, 0x202E) | n.between(0x2066, 0x2069)
-        return (
-            F.when(c == "\t", F.lit("\\t")).when((n < 32) | (n == 127), F.concat(F.lit("\\x"), F.lpad(F.hex(n.cast("long")), 2, "0")))
-            .when(hidden, F.concat(F.lit("\\u{"), F.lpad(F.hex(n.cast("long")), 4, "0"), F.lit("}"))).otherwise(c)
-        )
-
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), safe), ""))
+    r"""Controls become ``\xNN`` (tab ``\t``), ``HIDDEN`` characters ``\u{XXXX}``.
+
+    One replacement a code point: texts of any length pass without an array of their characters.
+    """
+    out = F.replace(text, F.lit("\t"), F.lit("\\t"))
+    for n in (*range(32), 127):
+        out = out if n == 9 else F.replace(out, F.lit(chr(n)), F.lit(f"\\x{n:02X}"))
+    for n in HIDDEN:
+        out = F.replace(out, F.lit(chr(n)), F.lit(f"\\u{{{n:04X}}}"))
+    return out
 
 
 def fnv1a64(text: Column) -> Column:

@@ -180,6 +180,21 @@ def d_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.substring("text", 1, 60)).alias("safe"), S.snippet(F.col("text"), F.lit(3), F.lit(42)).alias("snippet"))
 
 
+def _sanitized_sql(x: str) -> str:
+    code = lambda c: f"unicode({c})"
+    hidden = "c BETWEEN 128 AND 159 OR c BETWEEN 8203 AND 8207 OR c BETWEEN 8232 AND 8238 OR c BETWEEN 8294 AND 8297 OR c IN (1564, 8288, 65279)"
+    case = f"CASE WHEN c = 9 THEN '\\t' WHEN c < 32 OR c = 127 THEN '\\x' || printf('%02X', c) WHEN {hidden} THEN '\\u{{' || printf('%04X', c) || '}}' ELSE chr(c) END"
+    chars = "[\\x00-\\x1F\\x7F\\x{80}-\\x{9F}\\x{061C}\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2060}\\x{2066}-\\x{2069}\\x{FEFF}]"
+    parts = f"regexp_extract_all({x}, '(?s)[^' || substr('{chars}', 2) || '+|{chars}')"
+    return f"CASE WHEN {x} = '' THEN {x} ELSE array_to_string(list_transform({parts}, lambda p: CASE WHEN regexp_full_match(p, '{chars}') THEN list_transform([{code('p')}], lambda c: {case})[1] ELSE p END), '') END"
+
+
+@query(f"SELECT doc_id, {_sanitized_sql('text')} AS safe FROM documents")
+def d_sanitize_whole(spark, sf_dir):
+    """Control, bidi and zero-width characters of the whole text escaped."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.col("text")).alias("safe"))
+
+
 @query("WITH p AS (SELECT doc_id, text, instr(text, 'the') AS pos FROM documents) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(1 + length(regexp_replace(substr(text, 1, pos - 1), '[^\\n]', '', 'g')) AS INTEGER) AS line, CAST(1 + length(string_split(substr(text, 1, pos - 1), chr(10))[-1]) AS INTEGER) AS col FROM p WHERE pos > 0")
 def d_line_col(spark, sf_dir):
     """Line and column of the first hit."""

@@ -10,3 +10,17 @@ def test_html_escape_whole(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["safe"] for r in catalog.QUERIES["d_html_escape_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: html.escape(t or "").replace("&#x27;", "&#39;") for i, t in pages}
+
+
+def test_sanitize_whole(spark, tmp_path):
+    hidden = {*range(0x80, 0xA0), 0x061C, *range(0x200B, 0x2010), 0x2028, 0x2029, *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF}
+
+    def plain(text):
+        code = lambda c: "\\t" if c == "\t" else f"\\x{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else f"\\u{{{ord(c):04X}}}" if ord(c) in hidden else c
+        return None if text is None else "".join(map(code, text))
+
+    every = "".join(map(chr, (*range(1, 0x300), *range(0x2000, 0x2070), 0xFEFF, 0x1F600)))
+    texts = ["x" * 100 + "\tq\n\x1b\u202e\u200b\x85\u2028", "y" * 61 + every, "", None, "z\\t" * 5000 + "\x00\ufeff"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["safe"] for r in catalog.QUERIES["d_sanitize_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}

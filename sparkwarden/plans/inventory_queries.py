@@ -224,12 +224,22 @@ def n_pack_drift(spark, sf_dir):
     return full.exceptAll(other).unionByName(other.exceptAll(full))
 
 
+def _traces(lines):
+    step = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("line"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("file"))
+    t = FI.normalise_trace(F.array(step("sink", 9), step("step", 2), step("source", 1), step("step", 3)), F.lit("f.lua"))
+    return lines.select("l_orderkey", "l_linenumber", F.array_join(F.transform(t, lambda s: s["kind"]), ",").alias("kinds"), F.element_at(t, -1)["file"].alias("sink_file"))
+
+
 @query("SELECT l_orderkey, l_linenumber, 'source,step,step,sink' AS kinds, 'f.lua' AS sink_file FROM lineitem WHERE l_linenumber = 1")
 def o_trace(spark, sf_dir):
     """Traces in contract order with missing files filled in."""
-    step = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("line"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("file"))
-    t = FI.normalise_trace(F.array(step("sink", 9), step("step", 2), step("source", 1), step("step", 3)), F.lit("f.lua"))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.array_join(F.transform(t, lambda s: s["kind"]), ",").alias("kinds"), F.element_at(t, -1)["file"].alias("sink_file"))
+    return _traces(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'source,step,step,sink' AS kinds, 'f.lua' AS sink_file FROM lineitem")
+def o_trace_all(spark, sf_dir):
+    """The same for every line of an order."""
+    return _traces(table(spark, sf_dir, "lineitem"))
 
 
 @query(f"WITH {F_SQL}, r(code, remedy) AS (VALUES ('747', 'Read the credential at run time.')) SELECT doc_id, f.code, name, r.remedy, CASE WHEN doc_id % 2 = 0 THEN 'file' ELSE 'none' END AS kind FROM findings f LEFT JOIN r ON r.code = f.code")

@@ -277,14 +277,35 @@ def g_taint_conversation(spark, sf_dir):
     return reached.join(conv.where("role = 'assistant'").select("conv_id", F.col("turn").alias("node")), ["conv_id", "node"]).select("conv_id", F.col("node").alias("turn")).distinct()
 
 
+def _quote_labels(lines: DataFrame) -> DataFrame:
+    flags = lines.groupBy(F.col("l_orderkey").alias("o")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("q"), F.bool_or(F.col("l_returnflag") != "R").alias("p"))
+    return flags.select("o", F.when(F.col("q") & F.col("p"), "712").when(F.col("p"), "709").otherwise("709q").alias("code"), S.confidence_down(F.lit("certain"), F.when(F.col("p"), 0).otherwise(1)).alias("confidence"))
+
+
 @query("""
   WITH g AS (SELECT l_orderkey AS o, bool_or(l_returnflag = 'R') AS quoted, bool_or(l_returnflag <> 'R') AS plain FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
   SELECT o, CASE WHEN quoted AND plain THEN '712' WHEN plain THEN '709' ELSE '709q' END AS code, CASE WHEN plain THEN 'certain' ELSE 'high' END AS confidence FROM g""")
 def g_taint_quote_labels(spark, sf_dir):
     """Sources that reach a sink quoted or not, and what is reported."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o"))
-    flags = lines.agg(F.bool_or(F.col("l_returnflag") == "R").alias("q"), F.bool_or(F.col("l_returnflag") != "R").alias("p"))
-    return flags.select("o", F.when(F.col("q") & F.col("p"), "712").when(F.col("p"), "709").otherwise("709q").alias("code"), S.confidence_down(F.lit("certain"), F.when(F.col("p"), 0).otherwise(1)).alias("confidence"))
+    return _quote_labels(table(spark, sf_dir, "lineitem").where("l_linenumber <= 2"))
+
+
+@query("""
+  WITH g AS (SELECT l_orderkey AS o, bool_or(l_returnflag = 'R') AS quoted, bool_or(l_returnflag <> 'R') AS plain FROM lineitem GROUP BY 1)
+  SELECT o, CASE WHEN quoted AND plain THEN '712' WHEN plain THEN '709' ELSE '709q' END AS code, CASE WHEN plain THEN 'certain' ELSE 'high' END AS confidence FROM g""")
+def g_taint_quote_labels_all(spark, sf_dir):
+    """The same over every line of an order."""
+    return _quote_labels(table(spark, sf_dir, "lineitem"))
+
+
+def _node(prefix: str, c: str):
+    return F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+
+def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    edges = t("orders").select(_node("o", "o_orderkey").alias("src"), _node("c", "o_custkey").alias("dst")).union(t("customer").select(_node("c", "c_custkey"), _node("n", "c_nationkey"))).union(t("nation").select(_node("n", "n_nationkey"), _node("r", "n_regionkey")))
+    return edges.distinct()
 
 
 @query("""
@@ -294,11 +315,21 @@ def g_fixpoint_bounded(spark, sf_dir):
     """Closure over orders, customers, nations and regions within the round bound."""
     from ..operators.flow import semi_naive
 
-    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    t = lambda n: table(spark, sf_dir, n)
-    edges = t("orders").select(node("o", "o_orderkey").alias("src"), node("c", "o_custkey").alias("dst")).union(t("customer").select(node("c", "c_custkey"), node("n", "c_nationkey"))).union(t("nation").select(node("n", "n_nationkey"), node("r", "n_regionkey")))
-    seeds = t("orders").where("o_orderkey % 50 = 1").select(node("o", "o_orderkey").alias("node"))
-    return semi_naive(seeds, edges.distinct(), [], max_rounds=20)[0].select("node")
+    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")
+    return semi_naive(seeds.select(_node("o", "o_orderkey").alias("node")), _order_edges(spark, sf_dir), [], max_rounds=20)[0].select("node")
+
+
+@query("""
+  WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+  r AS (SELECT 'o' || o_orderkey AS node, 0 AS round FROM orders UNION SELECT dst, round + 1 FROM r JOIN e ON src = node WHERE round < 20),
+  d AS (SELECT node, min(round) AS round FROM r GROUP BY node) SELECT node, (SELECT max(round) FROM d) >= 20 AS bound_hit FROM d""")
+def g_fixpoint_all_orders(spark, sf_dir):
+    """The closure from every order, and whether the round bound was hit."""
+    from ..operators.flow import semi_naive
+
+    seeds = table(spark, sf_dir, "orders").select(_node("o", "o_orderkey").alias("node"))
+    reached, hit = semi_naive(seeds, _order_edges(spark, sf_dir), [], max_rounds=20)
+    return reached.select("node", F.lit(hit).alias("bound_hit"))
 
 
 @query("""

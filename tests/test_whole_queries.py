@@ -24,3 +24,16 @@ def test_sanitize_whole(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["safe"] for r in catalog.QUERIES["d_sanitize_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_all_orders_and_lines(spark, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("orders", [(k, 10 + k % 3) for k in range(1, 8)], "o_orderkey long, o_custkey long")
+    write("customer", [(10, 0), (11, 1), (12, 1)], "c_custkey long, c_nationkey long")
+    write("nation", [(0, 5), (1, 6)], "n_nationkey long, n_regionkey long")
+    write("lineitem", [(1, 1, "R"), (1, 2, "R"), (1, 3, "N"), (2, 3, "R"), (3, 1, "N"), (3, 7, "A")], "l_orderkey long, l_linenumber int, l_returnflag string")
+    run = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+    want = [f"o{k}" for k in range(1, 8)] + "c10 c11 c12 n0 n1 r5 r6".split()
+    assert run("g_fixpoint_all_orders") == sorted((n, False) for n in want)
+    assert run("g_taint_quote_labels_all") == [(1, "712", "certain"), (2, "709q", "high"), (3, "709", "certain")]
+    assert [r[:2] for r in run("o_trace_all")] == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 1), (3, 7)]

@@ -1,7 +1,8 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with the same shingle set collapse into one class first, so copies
-cost one row of aggregation each.  Every class signature is laid out in several
+cost one row of aggregation each; a class is a node of its own, whatever ids its
+documents bear.  Every class signature is laid out in several
 orders (trees), each order is sorted as a whole by a range partitioning, and a
 class meets the neighbours that share its longest common prefix: at least
 ``PREFIX`` hashes, and as many more as its region is dense.  Where sorted
@@ -24,10 +25,10 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, unused
 from .components import components
 
 TREES, PREFIX, DEPTH = 20, 4, 12  # orders; hashes that candidates share at least; hashes that are sorted by
@@ -36,13 +37,13 @@ NEIGHBOURS = 4
 #: Estimates this far below the threshold are dropped: over five standard errors of HASHES hashes.
 MARGIN = 0.25
 #: Ids up to this count are broadcast to pick texts; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 250_000
 WORDS_KEPT = 400_000
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype="uint64")
-#: Rows of a dense region in one block; its estimates reach so far below the threshold (four standard errors).
-BLOCK, DENSE_MARGIN = 256, 0.17
+#: Rows and bytes of sets of a dense region in one block, about; its estimates reach so far below the threshold (four standard errors).
+BLOCK, BLOCK_BYTES, DENSE_MARGIN = 1024, 16 << 20, 0.17
 PAIR, DENSE, BORDER = 0, 1, 2
 KEYS = "tree int, k1 long, k2 long, k3 long, node long"
 
@@ -85,8 +86,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (_mix(out) >> np.uint64(48)).astype("<u2")
 
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of one id apart; null for null."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
 def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, fp, sig`` of each row; ``fp`` and ``sig`` are null without words."""
+    """``doc_id, th, n_shingles, fp, sig`` of each row; ``th`` is the text's key, ``fp`` and ``sig`` are null without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -97,9 +103,11 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 rows.append((len(s), blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "fp", "sig"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
+            out.insert(1, "th", pdf["th"].array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, fp binary, sig binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("th"))
+    return texts.mapInPandas(run, "doc_id long, th binary, n_shingles long, fp binary, sig binary")
 
 
 def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,12 +191,13 @@ def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame
     """
     least = (percent / 100 - DENSE_MARGIN) * HASHES
     known = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "sig")
-    rows = inside.join(known.select("node", "label"), "node")
-    each = rows.groupBy("tree", "k1", "label").agg(F.count("*").alias("n"))
-    stats = each.groupBy("tree", "k1").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    stats = cut(stats.select("tree", "k1", F.col("m.label").alias("common"), blocks(F.col("all") - F.col("m.n")).alias("bo"), blocks(F.col("m.n")).alias("bd")), "regions")
-    dealt = rows.join(stats, ["tree", "k1"]).join(known.select("node", "sig"), "node").join(sets, "node")
+    sized = known.select("node", "label").join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    rows = inside.join(sized, "node")
+    each = rows.groupBy("tree", "k1", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    stats = each.groupBy("tree", "k1").agg(F.max(F.struct("n", "bytes", "label")).alias("m"), F.sum("n").alias("all"), F.sum("bytes").alias("of_all"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda c, size: F.ceil(F.greatest(c / BLOCK, size / BLOCK_BYTES)).cast("int")
+    stats = stats.select("tree", "k1", F.col("m.label").alias("common"), blocks(F.col("all") - F.col("m.n"), F.col("of_all") - F.col("m.bytes")).alias("bo"), blocks(F.col("m.n"), F.col("m.bytes")).alias("bd"))
+    dealt = rows.join(cut(stats, "regions"), ["tree", "k1"]).join(known.select("node", "sig"), "node").join(sets, "node")
     other = F.col("label") != F.col("common")
     h = F.xxhash64("node")
     dealt = dealt.withColumn("i", F.when(other, F.pmod(h, F.col("bo"))).otherwise(F.col("bo") + F.pmod(h, F.col("bd"))).cast("int"))
@@ -198,20 +207,22 @@ def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(len(pdf), HASHES)
         node, label, block = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["i"].to_numpy()
-        same = np.zeros((len(pdf), len(pdf)), "uint8")
+        x, y = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
+        same = np.zeros((len(x), len(y)), "uint8")
         for c in sig.T:
-            same += c[:, None] == c[None, :]
-        own = [np.frombuffer(x, "uint64") for x in pdf["set"]]
-        size = np.asarray([len(x) for x in own])
-        ok = (same >= least) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
-        ok &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
-        if key[2] != key[3]:
-            ok &= block[:, None] != block[None, :]
+            same += c[x, None] == c[None, y]
+        own = [np.frombuffer(b, "uint64") for b in pdf["set"]]
+        size = np.asarray([len(b) for b in own], "int64")
+        ok = (same >= least) & (label[x, None] != label[None, y])
+        ok &= 100 * np.minimum(size[x, None], size[None, y]) >= percent * np.maximum(size[x, None], size[None, y])
+        if key[2] == key[3]:
+            ok &= node[x, None] < node[None, y]
         a, b = np.nonzero(ok)
+        agree, a, b = same[a, b], x[a], y[b]
         prefix = np.ascontiguousarray(sig).view("uint64")  # PREFIX hashes of 16 bits: one word a tree
         new = ~(prefix[a, : key[0]] == prefix[b, : key[0]]).any(1)
-        a, b = a[new], b[new]
-        order = np.argsort(-same[a, b].astype("int16"), kind="stable")
+        a, b, agree = a[new], b[new], agree[new]
+        order = np.argsort(-agree.astype("int16"), kind="stable")
         parent, links = {}, []
 
         def root(x: int) -> int:
@@ -220,12 +231,12 @@ def _apart(inside: DataFrame, nodes: DataFrame, comp: DataFrame, sets: DataFrame
             return x
 
         for i, j in zip(a[order].tolist(), b[order].tolist()):
-            x, y = root(label[i]), root(label[j])
-            if x != y:
+            p, q = root(label[i]), root(label[j])
+            if p != q:
                 inter = len(np.intersect1d(own[i], own[j], assume_unique=True))
                 if 100 * inter >= percent * (size[i] + size[j] - inter):
-                    parent[max(x, y)] = min(x, y)
-                    links.append((node[i], node[j]))
+                    parent[max(p, q)] = min(p, q)
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("tree", "k1", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
@@ -246,11 +257,12 @@ def _estimate(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "_sa", "_sb").mapInPandas(run, "a long, b long, est double")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, set`` of the documents that stand for the given nodes."""
-    count = nodes.count()
-    chosen = F.broadcast(nodes) if count <= BROADCAST_IDS else nodes
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(chosen, ["node", "fp"] if "fp" in docs.columns else "node", "left_semi")
+def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``node, set`` of the given classes, from the texts that stand for them."""
+    reps = classes.select("node", F.col("rep_id").alias("_id"), F.col("rep_th").alias("_th"))
+    chosen = F.broadcast(reps) if classes.count() <= BROADCAST_IDS else reps
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("th"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -258,8 +270,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t if isinstance(t, str) else None, n, words).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "set": sets})
 
-    # a repeated id may hold several texts: the one whose set is its class's stays
-    return texts.mapInPandas(run, "node long, set binary")
+    return texts.mapInPandas(run, "node long, set binary").groupBy("node").agg(F.min("set").alias("set"))  # repeated rows give one set again
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,35 +307,91 @@ def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
     return cut(every.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "comp")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+def _classes(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``fp, node, rep_id, rep_th, sig, n`` of each set, and the node number of an ``fp``.
 
-    Documents are linked if 100 * intersection >= percent * union of their
-    shingle sets; ``component_id`` is the smallest id reachable and ``kept``
-    marks the document that bears it.  Null, empty and blank texts have no
-    shingles and are linked with nothing.  Rows that repeat an id are linked by
-    their texts like any others and are kept or dropped alike; a null id gets a
-    component only from a linked document and is never kept.
+    The row that stands for a class has its smallest id, a null id last.  Node
+    numbers are 64-bit hashes, salted until no two classes share one.
     """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "th")).alias("r")
+    found = rows.where("fp is not null").groupBy("fp").agg(first, F.min("sig").alias("sig"), F.count("*").alias("n"))
+    found = cut(found.select("fp", F.col("r.doc_id").alias("rep_id"), F.col("r.th").alias("rep_th"), "sig", "n"), "classes")
+    salt = 0
+    while True:
+        node = F.xxhash64(F.lit(salt), F.col("fp"))
+        numbered = found.withColumn("node", node)
+        if numbered.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            return numbered, node
+        salt += 1
+
+
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, Column, DataFrame]:
+    """The sketched rows, their classes and node numbers, and ``node, component`` of the classes that are linked."""
     rows = cut(sketch(docs, n), "sketch")
-    classes = rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.count("*").alias("n"))
-    # one id may stand for two classes if it is repeated with other texts: then they share the node, as they share the id
-    classes = cut(classes, "classes")
-    nodes = classes.groupBy("node").agg(F.min("sig").alias("sig"))
-    nodes = cut(nodes, "nodes")
+    classes, node = _classes(rows)
+    nodes = classes.select("node", "sig")
     near, dense = candidates(nodes)
     pairs = cut(_estimate(near, nodes, percent / 100 - MARGIN), "pairs")
     inside = cut(members(nodes, dense), "members")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "est")
     best = Window.partitionBy("node").orderBy(F.desc("est"), "a", "b")  # at most 2 * NEIGHBOURS * TREES rows a node
     top = ends.withColumn("_r", F.row_number().over(best)).where("_r <= 2").select("a", "b").distinct()
-    involved = cut(ends.select("node").unionByName(inside.select("node")).distinct(), "involved")
-    sets = cut(_sets(docs, involved, n).groupBy("node").agg(F.min("set").alias("set")), "sets")
+    involved = ends.select("node").unionByName(inside.select("node")).distinct()
+    sets = cut(_sets(docs, cut(classes.select("node", "rep_id", "rep_th").join(involved, "node", "left_semi"), "involved"), n), "sets")
     comp = components(cut(_confirm(top, sets, percent), "links"))
     rest = _between(pairs.select("a", "b"), comp)
     comp = _joined(comp, cut(_confirm(rest, sets, percent), "links"))
     comp = _joined(comp, cut(_apart(inside, nodes, comp, sets, percent), "links"))
-    of = classes.select("fp", "node", "n").join(comp, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("component"))
+    return rows, classes, node, comp
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked if 100 * intersection >= percent * union of their
+    shingle sets; ``component_id`` is the smallest id reachable and ``kept``
+    marks the document that bears it.  Null, empty and blank texts have no
+    shingles and are linked with nothing.  Rows that repeat an id are one
+    document: all links of its texts are its own, and its rows are kept or
+    dropped alike.  Rows with a null id are linked by their texts, have a null
+    component if no id is reachable, and are never kept.
+    """
+    rows, classes, node, comp = _linked(docs, n, percent)
+    named = rows.where("fp is not null and doc_id is not null").select("doc_id", node.alias("node"))
+    several = cut(named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a"), "several")
+    if not several.isEmpty():  # an id with more than one text ties their classes
+        comp = _joined(comp, named.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    label = classes.select("fp", "node", "rep_id", "n").join(comp, "node", "left")
+    least = label.where("component is not null").groupBy("component").agg(F.min("rep_id").alias("_least"))
+    of = label.where("n > 1 or component is not null").join(least, "component", "left").select("fp", F.coalesce("_least", "rep_id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies; all rows without words stay.
+
+    Rows are told apart by id and text, so an id that holds two texts may keep
+    both.  The row with the smallest id stays, null ids last; of rows that
+    repeat id and text one stays, the first by a hash of all its columns.
+    """
+    rows, classes, _, comp = _linked(docs, n, percent)
+    label = classes.select("fp", "node", "rep_id", "rep_th", "n").join(comp, "node", "left").where("n > 1 or component is not null")
+    label = label.withColumn("group", F.coalesce("component", "node"))
+    stays = label.groupBy("group").agg(F.min(F.struct(F.col("rep_id").isNull().alias("o"), "rep_id", "rep_th")).alias("s"))
+    stays = stays.select("group", F.col("s.rep_id").alias("_stays"), F.col("s.rep_th").alias("_text"))
+    of = rows.select("doc_id", "th", "fp").join(label.select("fp", "group"), "fp").groupBy("group", "doc_id", "th").agg(F.count("*").alias("n")).join(stays, "group")
+    first = F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("th") == F.col("_text"))
+    of = cut(of.withColumn("gone", ~first).where("gone or n > 1").select("doc_id", "th", "gone"), "copies")
+    i, t, whole, other, its = unused(docs, "_id", "_th", "_row", "_other", "_its")
+    keyed = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(t, text_key(F.col("text")))
+    pick = lambda x: x.select(F.col("doc_id").alias(other), F.col("th").alias(its))
+    at = F.col(i).eqNullSafe(F.col(other)) & (F.col(t) == F.col(its))
+    kept = keyed.join(pick(of.where("gone")), at, "left_anti")
+    again = pick(of.where("not gone"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(again, at, "left_semi").groupBy(i, t).agg(F.min_by(F.struct(*cols), F.xxhash64(F.to_json(F.struct(*cols)))).alias(whole)).select(f"{whole}.*")
+    return kept.join(again, at, "left_anti").select(*docs.columns).unionByName(one)

@@ -9,10 +9,12 @@ and their ranks come from range partitions and prefix counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -65,25 +67,33 @@ def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, ma
     return ranked.select("source", "source_size", "weight", F.least(F.col("weight") * F.lit(level), F.col("_most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, seed: int = 0) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies`` beside its columns.
+COLUMNS = ("_size", "_source_size", "_target", "_copies")
+
+
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, seed: int = 0, names: Sequence[str] = COLUMNS) -> DataFrame:
+    """``docs`` with a document's size, its source's size and target, and its copies beside its columns.
 
-    ``_copies`` is floor(rate) plus 1 if the draw of the document's id falls
-    below the fraction of the rate ``target / source_size``; it never exceeds
+    Copies are floor(rate) plus 1 if the draw of the document's id falls below
+    the fraction of the rate ``target / source_size``; they never exceed
     ``max_repeat``.  Null texts have size 0; null sources are one source;
-    repeated rows draw alike; a source without words has rate 0.
+    repeated rows draw alike; a source without words has rate 0; an empty table
+    gives none.  Columns of ``docs`` that bear one of ``names`` are replaced.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text").cast("string")))
-    goal = targets(sized.select(F.col("source").cast("string").alias("source"), F.col("_size").alias("size")), weights, share, max_repeat)
-    goal = goal.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    size, source_size, target, copies = names
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}])
+    source, rate = unused(rest, "_source", "_rate")
+    sized = rest.withColumn(size, word_count(F.col("text").cast("string")))
+    goal = targets(sized.select(F.col("source").cast("string").alias("source"), F.col(size).alias("size")), weights, share, max_repeat)
+    goal = goal.select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target))
     # documents are never shuffled here: AQE broadcasts the sources where they are few, and splits hot ones otherwise
-    out = sized.join(goal, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    out = sized.join(goal, F.col("source").cast("string").eqNullSafe(F.col(source)), "left").drop(source)
+    out = out.withColumn(rate, F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0)))
     whole = F.floor(rate)
-    return out.withColumn("_copies", (whole + F.when(unit_draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    return out.withColumn(copies, (whole + F.when(unit_draw(F.col("doc_id"), seed) < F.col(rate) - whole, 1).otherwise(0)).cast("int")).drop(rate)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document ``_copies`` times, with the columns of ``docs``."""
-    out = mix(docs, **options).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each document as often as :func:`mix` says, with the columns of ``docs``."""
+    names = unused(docs, *COLUMNS, "_copy")
+    out = mix(docs, **options, names=names[:4]).where(F.col(names[3]) > 0)
+    return out.withColumn(names[4], F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,11 +6,17 @@ lengths downwards and permanently fixes bins that provably dominate every
 alternative:
 
 * the piece alone, when no remaining piece fits beside it;
-* the piece with one other, when that one fills the bin exactly, or when it is
-  the largest that fits beside it and no two remaining pieces fit together.
-
-Both are the single- and two-item cases of the dominance criterion and hold for
-all equal pieces at once.  What is left is packed by best fit, longest first,
+* the piece with one other, the largest that fits beside it, when that one fills
+  the bin exactly, or no two pieces fit beside the first, or no three do and no
+  two that do are longer together;
+* the piece with two others, when no three fit beside it, the two are the longest
+  together and one of them is the longest alone, and no two pieces longer than
+  the other fit.
+
+These are the one-, two- and three-item cases of the dominance criterion: every
+set that could fill the piece's bin has its members covered by single members of
+the fixed one.  They hold for all equal pieces at once, and are tried until
+nothing more is fixed.  What is left is packed by best fit, longest first,
 again for all equal pieces at once: the tightest bin that takes a piece stays
 the tightest until it takes no more, so whole groups of equal bins move together.
 
@@ -34,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, unused
 
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
 WORDS_KEPT = 500_000
@@ -43,29 +49,56 @@ WORD_CHARS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _dominating(s: int, left: Counter, capacity: int) -> tuple[int, ...] | None:
+    """The lengths that belong beside a piece of length s in some best packing; None where that is not certain."""
+    room = capacity - s
+    left[s] -= 1  # the piece itself is not its own mate
+    try:
+        present = np.asarray(sorted(k for k, n in left.items() if n and k <= room), "int64")
+        if not len(present):
+            return ()
+        times = np.asarray([left[int(k)] for k in present])
+        mate = int(present[-1])
+        if mate == room:
+            return (mate,)
+
+        def smallest(lengths: np.ndarray, counts: np.ndarray, k: int) -> float:
+            """Sum of the k shortest pieces; infinite where there are fewer."""
+            some = np.repeat(lengths[:k], np.minimum(counts[:k], k))[:k]
+            return float(some.sum()) if len(some) == k else np.inf
+
+        if smallest(present, times, 2) > room:
+            return (mate,)
+        if smallest(present, times, 3) <= room:
+            return None
+        other = np.searchsorted(present, room - present, "right") - 1  # the longest that fits beside each
+        other = np.where((other >= 0) & (present[other] == present) & (times[other] < 2), other - 1, other)
+        pairs = np.where(other >= 0, present + present[other], 0)
+        if mate >= pairs.max():
+            return (mate,)
+        second = int(present[other[-1]]) if other[-1] >= 0 else 0
+        above = present > second
+        if second and mate + second == pairs.max() and smallest(present[above], times[above], 2) > room:
+            return (mate, second)
+        return None
+    finally:
+        left[s] += 1
+
+
 def fix_dominating(sizes: Counter, capacity: int) -> tuple[list, Counter]:
     """Bins fixed by dominance, and the lengths left over (lengths 1 to capacity)."""
-    left, fixed = Counter({s: n for s, n in sizes.items() if n}), []
-    for s in sorted(left, reverse=True):
-        while left[s]:
-            room = capacity - s
-            left[s] -= 1  # the piece itself is not its own mate
-            present = sorted(k for k, v in left.items() if v and k <= room)
-            two = present[0] if present else capacity
-            two += two if left[two] > 1 else (present[1] if len(present) > 1 else capacity)
-            left[s] += 1
-            if not present:
-                fixed.append((left[s], [(s, 1)]))
-                left[s] = 0
-                continue
-            mate = present[-1]
-            if mate != room and two <= room:
-                break
-            k = left[s] // 2 if mate == s else min(left[s], left[mate])
-            fixed.append((k, [(s, 2)] if mate == s else [(s, 1), (mate, 1)]))
-            left[s] -= k
-            left[mate] -= k
-    return fixed, Counter({s: n for s, n in left.items() if n})
+    left, fixed, more = Counter({s: n for s, n in sizes.items() if n}), [], True
+    while more:
+        more = False
+        for s in sorted(left, reverse=True):
+            while left[s] and (mates := _dominating(s, left, capacity)) is not None:
+                uses = Counter((s, *mates))
+                k = min(left[v] // n for v, n in uses.items())  # what holds for one holds while all of them are left
+                fixed.append((k, sorted(uses.items(), reverse=True)))
+                left.subtract({v: k * n for v, n in uses.items()})
+                more = True
+        left = Counter({s: n for s, n in left.items() if n})
+    return fixed, left
 
 
 def best_fit(sizes: Counter, capacity: int) -> list:
@@ -134,23 +167,36 @@ class _Parts(dict):
 class Encoder(dict):
     """Ids of whole texts as little-endian 32-bit words; remembers the words between white space.
 
-    ASCII white space always ends a token and yields none, so words encode
-    alone.  Words of plain letters, digits and signs are encoded by their
-    parts; all others by the tokenizer itself.
+    Where ASCII white space always ends a token and yields none, words encode
+    alone; words of plain letters, digits and signs are encoded by their parts,
+    all others, and those that hold a special token, by the tokenizer itself.
+    ``short`` says whether the tokenizer's file behaves so, which is tried on
+    ``PROBES``; where it does not, whole texts go to the tokenizer.
     """
 
+    PROBES = ("Hello, World! it's We'll ÉTÉ straße 12345 a1b2 x--y", "tab\tline\nfeed\r two  spaces ", "(foo_bar) e-mail@host.org #1 &amp; 3.14", "ñandú ÀÉ öß ÿ Ø 'quoted' don't", "supercalifragilistic ANTIDISESTABLISHMENT qqqzzzxxx")
+
     def __init__(self, tokenizer_file: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(tokenizer_file)
-        self.tok.encode_special_tokens = True
         self.parts = _Parts(self.tok.model)
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.short = not any(re.search(r"\s", t) for t in special) and all(self._by_words(p) == self._exact(p) for p in self.PROBES)
+
+    def _exact(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _by_words(self, text: str) -> bytes:
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.__getitem__, words))
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > WORD_CHARS or not _PLAIN.fullmatch(word):
-            value = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > WORD_CHARS or not _PLAIN.fullmatch(word) or (self.special and self.special.search(word)):
+            value = self._exact(word)
         else:
             parts = _PARTS.findall(word.lower())
             value = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
@@ -161,8 +207,7 @@ class Encoder(dict):
         return value
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        return self._by_words(text) if self.short else self._exact(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -199,9 +244,14 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table of pieces.
 
     ``pieces`` needs ``doc_id``, ``piece`` and ``length`` (1 to ``capacity``)
-    and should be a stored table: it is read twice.
+    and should be a stored table: it is read twice.  Equal pieces take their
+    places in any order; repeated rows are pieces of their own; null ids rank
+    first; an empty table gives none.  Input columns named ``sequence_id`` or
+    ``offset`` are replaced.
     """
     spark = pieces.sparkSession
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    bucket, ahead, rank_ = unused(pieces, "_bucket", "_before", "_rank")
     hist = Counter({int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()})  # at most capacity rows
     total = sum(hist.values())
     slots, base, rank = [], 0, Counter()
@@ -222,18 +272,18 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     # a length gets buckets by its share of the rows: at most capacity + 4 * partitions of them in all
     share = {length: 1 + n * 4 * partitions(spark) // total for length, n in hist.items()}
     buckets = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("length")] if share else F.lit(1)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
-    sums = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("length", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns])
-    ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(sums, ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), buckets))
+    sums = dealt.groupBy("length", bucket).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns])
+    ranked = dealt.withColumn(rank_, F.row_number().over(within) - 1).join(sums, ["length", bucket])
+    ranked = ranked.withColumn(rank_, F.col(rank_) + F.col(ahead)).drop(bucket, ahead)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, rows = shared.value
         for pdf in batches:
-            length, r = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
+            length, r = pdf["length"].to_numpy(), pdf[rank_].to_numpy()
             seq, off = np.zeros(len(pdf), "int64"), np.zeros(len(pdf), "int64")
             for v in np.unique(length):
                 i = np.flatnonzero(length == v)
@@ -241,12 +291,12 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 within_group, k = r[i] - hit[:, 0], hit[:, 3]
                 seq[i] = hit[:, 2] + within_group // k
                 off[i] = hit[:, 4] + within_group % k * v
-            pdf = pdf.drop(columns="_rank")
+            pdf = pdf.drop(columns=rank_)
             pdf["sequence_id"], pdf["offset"] = seq, off
             yield pdf
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(place, schema)
+    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], rank_).mapInPandas(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -127,9 +127,8 @@ def test_packing_keeps_every_id(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(5)
-    texts = [None, "", "Hello, World! it's ÉTÉ straße 12345", "x" * 500, "<|endoftext|> ΑΣ İ ﬁ 日本", "a b c " * 3000] + [" ".join("word%d" % w for w in rng.integers(0, 99, int(rng.integers(1, 700)))) for _ in range(80)]
+    texts = [None, "", "Hello, World! it's ÉTÉ straße 12345", "x" * 500, "<|endoftext|> ΑΣ İ ﬁ 日本", "so<|endoftext|>it ends <|ENDOFTEXT|>", "a b c " * 3000] + [" ".join("word%d" % w for w in rng.integers(0, 99, int(rng.integers(1, 700)))) for _ in range(80)]
     docs = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)] + [(2, texts[2], 3)], "doc_id long, text string, length int")
     rows = packing.pack_documents(docs, TOKENIZER).collect()
     for i, t in enumerate(texts):
@@ -164,8 +163,15 @@ def best_bins(sizes, capacity):
     return best
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_reduction_fixes_one_two_and_three_pieces():
+    fixed, left = packing.fix_dominating(Counter({20: 3, 13: 2, 7: 2, 8: 1, 6: 1}), 20)
+    assert not left and sorted((b, sorted(Counter(dict(p)).elements())) for b, p in fixed) == [(1, [6, 8]), (2, [7, 13]), (3, [20])]
+    fixed, left = packing.fix_dominating(Counter({8: 5, 7: 5, 5: 5}), 20)
+    assert not left and fixed == [(5, [(8, 1), (7, 1), (5, 1)])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(3, 20), min_size=1, max_size=9))
 def test_reduction_never_costs_a_bin(sizes):
     fixed, left = packing.fix_dominating(Counter(sizes), 20)
     used = Counter()

@@ -12,21 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import minhash_forest, mixing, packing, pii, toxicity
-from sparkwarden.llm.common import cut, held_out, table
+from sparkwarden.llm.common import cut, held_out, table, unused
 from sparkwarden.llm.queries import tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; null and empty texts stay."""
+    """Documents that score below 0.5; null and empty texts stay; without labels all do."""
     model = toxicity.train(docs.where(~held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    (score,) = unused(docs, "_toxicity")
+    return toxicity.with_score(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8); texts without words and null ids stay."""
-    found = minhash_forest.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies (five words, 0.8), told apart by id and text; texts without words stay."""
+    return minhash_forest.one_of_each(docs).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +34,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights of their sources."""
+    """Documents repeated towards the target weights of their sources; a null source is one source, and an
+    empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed piece."""
+    """One row per packed piece; a null text is the piece of its end mark alone, and an empty table gives none."""
     return packing.pack_documents(docs, tokenizer_file())
 
 

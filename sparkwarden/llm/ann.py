@@ -5,9 +5,12 @@ vector goes to its nearest centroid and, near a boundary, to the next ones
 within ``REPLICATE`` times that distance.  A query walks a neighbour graph of
 the centroids in memory and takes the lists within ``ratio`` times its nearest
 centroid's distance; the ratio is the least that reaches ``RECALL`` on the
-sample.  A block of queries meets the vectors of its lists in shards dealt by
-hash, so no list, however large, is one task; vectors stream past in batches
-and each shard returns a query's best k only.
+sample.  Queries are dealt to blocks by their nearest lists, in an order in
+which lists that are near each other stand together, so the queries of a block
+ask for much the same lists, and a list goes only to the blocks that ask for it.
+A block meets its lists in shards dealt by hash, so no list, however large, is
+one task; vectors stream past in batches and each shard returns a query's best
+k only.
 """
 
 from __future__ import annotations
@@ -20,33 +23,62 @@ from pyspark.sql import functions as F
 from .common import cut
 from .embed_dedup import usable
 
-#: Rows that centroids and the ratio are fitted on, chosen by a hash of their ids.
-MAX_SAMPLE = 16_384
-LIST_ROWS, MOST_LISTS = 1000, 4096
+#: About so many vectors a list, up to MANY_LISTS; beyond, lists grow with the square root of the table.
+LIST_ROWS, MANY_LISTS = 1000, 4096
+#: Centroids and the ratio are fitted on so many rows, or on SAMPLE_PER_LIST a list if that is more, chosen by a hash of their ids.
+SAMPLE, SAMPLE_PER_LIST = 16_384, 4
 REPLICATE, COPIES = 1.08, 2  # at most one copy beside a vector's first list
 QUERY_BLOCK = 4096
-#: Parts of the vectors that a block of queries meets apart from each other.
-SHARDS = 16
+#: A block meets the vectors in so many shards, or in one for each SHARD_ROWS rows of the table if that is more.
+SHARDS, SHARD_ROWS = 16, 2_000_000
 RECALL = 0.97
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE, CELLS_AT_ONCE = 1024, 4 << 20  # rows, and distances to centroids, that are computed at once
 DEGREE = 24
 
 
+def lists_for(total: int) -> int:
+    """Number of lists of a table of so many vectors."""
+    most = MANY_LISTS * LIST_ROWS
+    return max(1, total // LIST_ROWS) if total <= most else int(MANY_LISTS * (total / most) ** 0.5)
+
+
+def _chunks(n: int, k: int) -> list[slice]:
+    step = max(1, min(ROWS_AT_ONCE * 16, CELLS_AT_ONCE // max(1, k)))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
 def _fit_centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """k-means by squared distance plus a penalty on lists above the mean size."""
     c, mean = x[np.linspace(0, len(x) - 1, k).astype(int)].copy(), len(x) / k
     penalty = np.zeros(k)
     for _ in range(rounds):
-        d = (c * c).sum(1) - 2 * x @ c.T
-        near = (d + penalty).argmin(1)
+        near, least = np.zeros(len(x), "int64"), np.zeros(len(x))
+        norm = (c * c).sum(1)
+        for part in _chunks(len(x), k):
+            d = norm - 2 * x[part] @ c.T
+            near[part], least[part] = (d + penalty).argmin(1), d.min(1)
         size = np.bincount(near, minlength=k)
-        scale = np.abs(d.min(1)).mean()
-        penalty += 0.05 * scale * np.clip(size / mean - 1, -1, 1)
-        for j in np.flatnonzero(size):
-            c[j] = x[near == j].mean(0)
+        penalty += 0.05 * np.abs(least).mean() * np.clip(size / mean - 1, -1, 1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
     return c
 
 
+def _line_up(c: np.ndarray) -> np.ndarray:
+    """Position of each centroid in an order by repeated halving along the widest axis: near ones stand together."""
+    place, at, stack = np.zeros(len(c), "int64"), 0, [np.arange(len(c))]
+    while stack:
+        ids = stack.pop()
+        if len(ids) <= 1:
+            place[ids], at = at, at + len(ids)
+            continue
+        own = c[ids]
+        ids = ids[np.argsort(own[:, int(own.var(0).argmax())], kind="stable")]
+        stack += [ids[len(ids) // 2 :], ids[: len(ids) // 2]]
+    return place
+
+
 class Graph:
     """Neighbour graph over the centroids; walks expand every node within the bound."""
 
@@ -54,15 +86,28 @@ class Graph:
         self.c = centroids
         self.norm = (centroids * centroids).sum(1)
         k = len(centroids)
-        d = self.norm[:, None] + self.norm[None, :] - 2 * centroids @ centroids.T
-        near = np.argsort(d, 1)[:, : min(k, DEGREE + 1)]
-        self.links = np.zeros((k, k), bool)
-        np.put_along_axis(self.links, near, True, 1)
-        ring = np.arange(k)
-        self.links[ring, (ring + 1) % k] = True  # keeps the graph connected
-        self.links |= self.links.T
+        own, near = [], []
+        for part in _chunks(k, k):
+            d = self.norm[None, :] - 2 * centroids[part] @ centroids.T
+            few = min(k, DEGREE + 1)
+            hit = np.argpartition(d, few - 1, 1)[:, :few]
+            own.append(np.repeat(np.arange(k)[part], few))
+            near.append(hit.ravel())
+        ring = np.arange(k)  # keeps the graph connected
+        a, b = np.concatenate([*own, ring]), np.concatenate([*near, (ring + 1) % k])
+        links = np.unique(np.concatenate((a * k + b, b * k + a)))
+        self.to, self.ptr = links % k, np.searchsorted(links // k, np.arange(k + 1))
         self.entry = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
 
+    def _beside(self, grown: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Nodes not seen yet that are linked with the grown ones, by row."""
+        r, c = np.nonzero(grown)
+        n = self.ptr[c + 1] - self.ptr[c]
+        first = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
+        out = np.zeros(seen.shape, bool)
+        out[np.repeat(r, n), self.to[np.repeat(self.ptr[c] - first, n) + np.arange(n.sum())]] = True
+        return out & ~seen
+
     def distances(self, x: np.ndarray, ratio: float) -> np.ndarray:
         """Distances to the centroids a walk visits; infinite to the others."""
         d = np.full((len(x), len(self.c)), np.inf)
@@ -77,15 +122,16 @@ class Graph:
             best = d.min(1, keepdims=True)
             grow = seen & ~done & ((d <= ratio * best) | (d == np.where(seen & ~done, d, np.inf).min(1, keepdims=True)) & ~done.any(1, keepdims=True) | (d == best))
             done |= grow
-            new = (grow.astype("float32") @ self.links.astype("float32") > 0) & ~seen
+            new = self._beside(grow, seen)
         return d
 
 
 def _lists(graph: Graph, x: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists within ``ratio`` of the nearest, at most ``most`` a row."""
-    if len(x) > ROWS_AT_ONCE:
-        parts = [_lists(graph, x[i : i + ROWS_AT_ONCE], ratio, most) for i in range(0, len(x), ROWS_AT_ONCE)]
-        return np.concatenate([r + i * ROWS_AT_ONCE for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
+    """(row, list) of the lists within ``ratio`` of the nearest, nearest first, at most ``most`` a row."""
+    step = max(1, min(ROWS_AT_ONCE, CELLS_AT_ONCE // len(graph.c)))
+    if len(x) > step:
+        parts = [_lists(graph, x[i : i + step], ratio, most) for i in range(0, len(x), step)]
+        return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
     d = graph.distances(x, ratio)
     order = np.argsort(d, 1)[:, :most]
     own = np.take_along_axis(d, order, 1)
@@ -127,36 +173,50 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], schema)
     rows, total = rows.where(F.size("v") == sizes[0]["s"]), sizes[0]["n"]
-    sample = rows.orderBy(F.xxhash64("node"), "node").limit(MAX_SAMPLE).select("v")
-    x = np.stack([np.asarray(v, "float64") for v in sample.toPandas()["v"]])  # at most MAX_SAMPLE rows
-    n_lists = int(min(MOST_LISTS, max(1, total // LIST_ROWS), len(x)))
+    n_lists = lists_for(total)
+    sample = rows.orderBy(F.xxhash64("node"), "node").limit(max(SAMPLE, SAMPLE_PER_LIST * n_lists)).select("v")
+    x = np.stack([np.asarray(v, "float64") for v in sample.toPandas()["v"]])
+    n_lists = min(n_lists, len(x))
     graph = Graph(_fit_centroids(x, n_lists))
     ratio = _fit_ratio(graph, x, k)
     shared = spark.sparkContext.broadcast(graph)
 
-    def deal(within: float, most: int):
-        def run(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), ROWS_AT_ONCE):
-                    own = pdf[at : at + ROWS_AT_ONCE]
-                    r, c = _lists(shared.value, np.stack([np.asarray(v, "float64") for v in own["v"]]), within, most)
-                    again = np.concatenate(([False], r[1:] == r[:-1])) if len(r) else np.zeros(0, bool)
-                    first = np.where(again, np.concatenate(([-1], c[:-1])) if len(c) else c, -1)
-                    yield pd.DataFrame({"list": c.astype("int32"), "first": first.astype("int32"), "node": own["node"].to_numpy()[r], "v": own["v"].to_numpy()[r]})
-
-        return run
-
-    dealt = "list int, first int, node long, v array<double>"
-    posted = rows.mapInPandas(deal(REPLICATE, COPIES), dealt)
-    asked = cut(rows.where(is_query).mapInPandas(deal(ratio, n_lists), dealt), "asked")
-    n_queries = asked.select("node").distinct().count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    # blocks that probe a list: a row per list, MOST_LISTS at most
-    probing = F.broadcast(asked.groupBy("list").agg(F.collect_set("block").alias("_blocks")))
-    right = asked.groupBy("block", "node").agg(F.collect_list("list").alias("lists"), F.first("v").alias("v"))
-    right = right.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"), F.lit(-1).alias("list"), "lists", F.lit(-1).alias("first"), "node", "v")
-    left = posted.join(probing, "list").select(F.explode("_blocks").alias("block"), F.pmod(F.xxhash64("node"), F.lit(SHARDS)).cast("int").alias("shard"), "list", F.lit(None).cast("array<int>").alias("lists"), "first", "node", "v")
+    def deal(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                own = pdf[at : at + ROWS_AT_ONCE]
+                r, c = _lists(shared.value, np.stack([np.asarray(v, "float64") for v in own["v"]]), REPLICATE, COPIES)
+                again = np.concatenate(([False], r[1:] == r[:-1]))
+                first = np.where(again, np.concatenate(([-1], c[:-1])), -1)
+                yield pd.DataFrame({"list": c.astype("int32"), "first": first.astype("int32"), "node": own["node"].to_numpy()[r], "v": own["v"].to_numpy()[r]})
+
+    def ask(batches):
+        for pdf in batches:
+            if len(pdf):
+                r, c = _lists(shared.value, np.stack([np.asarray(v, "float64") for v in pdf["v"]]), ratio, n_lists)
+                yield pdf.assign(lists=np.split(c.astype("int32"), np.searchsorted(r, np.arange(1, len(pdf)))))
+
+    posted = rows.mapInPandas(deal, "list int, first int, node long, v array<double>")
+    asked = cut(rows.where(is_query).mapInPandas(ask, "node long, v array<double>, lists array<int>"), "asked")
+    # blocks: the queries by their nearest list, in the order of the lists; a list with many queries has blocks of its own
+    home = asked.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("n")).collect()  # a row per list
+    place, blocks, at, room = _line_up(graph.c), [], 0, QUERY_BLOCK
+    for r in sorted(home, key=lambda r: int(place[r["list"]])):
+        if r["n"] > room and room < QUERY_BLOCK:
+            at, room = at + 1, QUERY_BLOCK
+        parts = -(-r["n"] // QUERY_BLOCK)
+        blocks.append((r["list"], at, parts))
+        at, room = (at, room - r["n"]) if parts == 1 else (at + parts, QUERY_BLOCK)
+    homes = F.broadcast(spark.createDataFrame(blocks, "home int, at int, parts int"))  # a row per list
+    block = (F.col("at") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
+    asked = asked.join(homes, F.col("lists")[0] == F.col("home")).select(block.alias("block"), "node", "v", "lists")
+    shards = max(SHARDS, total // SHARD_ROWS)
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    right = asked.select("block", every_shard, F.lit(-1).alias("list"), "lists", F.lit(-1).alias("first"), "node", "v")
+    # lists and shards meet the blocks that ask for them; the shard splits a hot list
+    probing = asked.select("block", F.explode("lists").alias("list")).distinct().select("list", "block", every_shard)
+    left = posted.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).join(probing, ["list", "shard"])
+    left = left.select("block", "shard", "list", F.lit(None).cast("array<int>").alias("lists"), "first", "node", "v")
     # queries (list -1) come first in their group, then the vectors by list: one pass, a batch at a time
     sorted_ = right.unionByName(left).repartition("block", "shard").sortWithinPartitions("block", "shard", "list", "node")
 

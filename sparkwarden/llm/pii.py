@@ -2,11 +2,13 @@
 
 The base finds e-mail addresses, IPv4 addresses, card and phone numbers by
 fixed patterns.  The model adds spans of the same kinds written in other ways
-("jo (at) host.org", "(212) 555-0134").  It is trained on labelled spans from a
-seeded generator, so it is the same for every corpus.  Every span it can emit
-holds a digit, an ``@`` or a bracketed "at"; overlapping windows are laid over
-all stretches around such characters, each is decoded on its own, and one
-weighted-interval pass over the whole text picks the final spans.
+("jo (at) host.org", "(212) 555-0134").  It is trained on labelled spans in
+sentences from a seeded generator, so it is the same for every corpus; its
+weights lie beside this module, and ``python -m sparkwarden.llm.pii`` trains
+them anew.  Every span it can emit holds a digit, an at sign, a bracketed "at"
+or a spelt "dot"; overlapping windows are laid over all stretches around those,
+each is decoded on its own, a window that cuts a span grows until the span is
+whole, and one weighted-interval pass over the whole text picks the final spans.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,9 +30,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-GATE = re.compile(r"[0-9@]|[\[({<] ?at ?[\])}>]", re.I)
-WINDOW, STEP, REACH = 96, 48, 40
-HIDDEN = 16
+GATE = re.compile(r"[0-9@\uff20]|[\[({<] ?at ?[\])}>]|[\[({< ]dot[\])}> ]", re.I)
+#: First windows and their distance; a stretch reaches so far from its gates, and on to the next white space.
+WINDOW, STEP, REACH = 128, 64, 40
+#: A window grows up to this; no address is half as long (64 + 1 + 255 characters), however its dots are spelt.
+LONGEST, MOST_DIGITS = 1280, 19
+HIDDEN = 24
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 
@@ -70,91 +77,119 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---------------------------------------------------------------- the model
 
-CLASSES = {c: i for i, c in enumerate("@._%+-()[]{}<> \n:/#=,\"'*&$|;!?")}
-N_CLASS = len(CLASSES) + 8
+CLASSES = {c: i for i, c in enumerate("@._%+-()[]{}<> \n:/#=,\"'*&$|;!?abcdefghijklmnopqrstuvwxyz")}
+DIGIT, ALPHA, OTHER = len(CLASSES), len(CLASSES) + 1, len(CLASSES) + 2
+N_CLASS = len(CLASSES) + 3
+
+
+@functools.lru_cache(maxsize=1)
+def _class_table() -> np.ndarray:
+    def of(c: str) -> int:
+        return DIGIT if c in "0123456789" else CLASSES.get("@" if c == "\uff20" else c.lower(), ALPHA if c.isalpha() else OTHER)
+
+    return np.asarray([of(chr(i)) for i in range(1 << 16)] + [ALPHA], "int64")
 
 
 def char_classes(text: str) -> np.ndarray:
-    n = len(CLASSES)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return _class_table()[np.minimum(codes, 1 << 16)]
 
-    def of(c: str) -> int:
-        if c in CLASSES:
-            return CLASSES[c]
-        if "0" <= c <= "9":
-            return n
-        if c in "aA":
-            return n + 1
-        if c in "tT":
-            return n + 2
-        if c in "dD":
-            return n + 3
-        if c in "oO":
-            return n + 4
-        if "a" <= c <= "z" or "A" <= c <= "Z":
-            return n + 5
-        return n + 6 if c.isalpha() else n + 7
-
-    return np.fromiter(map(of, text), "int64", len(text))
-
-
-def generate(n: int, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(classes, tags)`` of n seeded windows with labelled spans among prose and look-alikes."""
+
+# Words of the generator's sentences (fixed values): common words of four languages, and lead-ins of the kinds.
+COMMON = (
+    "the of and to in is that for it was on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who its now find long down day did get come made may part "
+    "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem "
+    "le la les des et un une du en est que pour dans qui pas sur plus par avec ce sont au il mais "
+    "el los las de que y un una en es por con para se del al lo como pero sus"
+).split()
+LEADS = (("write to", "mail", "e-mail:", "contact", "reach", "email", "schreiben Sie an", "contactez", "escriba a"), ("server", "host", "from", "IP", "ip:", "address", "client", "at"), ("card", "card number:", "Visa", "paid with", "account", "Karte", "carte"), ("call", "tel.", "tel:", "phone", "Phone:", "fax", "ring", "Telefon", "appelez", "llame al"))
+
+
+def generate(n: int, seed: int = 0, width: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(classes, tags)`` of n seeded windows with labelled spans among sentences and look-alikes.
+
+    A window may begin or end inside a span, as windows over a text do; the part
+    that is left is labelled as a span.
+    """
     rng = np.random.default_rng(seed)
-    letters = list("etaoinshrdlucmfwygpbvkéèäüßñó")
+    letters = list("etaoinshrdlucmfwygpbvkjxqz")
+    strange = list("etaoinshrdlucméèäüßñóçíöа日")
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda a=2, b=9: "".join(rng.choice(letters[:20], rng.integers(a, b)))
+    word = lambda a=2, b=9: "".join(rng.choice(letters, rng.integers(a, b)))
     pick = lambda *x: x[rng.integers(len(x))]
 
-    def prose() -> str:
-        return " ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(rng.integers(1, 6))) + pick("", ".", ",", ":", "###", "&&&", " \n")
-
-    def span(kind: int) -> str:
-        if kind == 0:
-            at = pick("@", "@", " at ", " (at) ", "(at)", " [at] ", "[at]")
-            dot = pick(".", ".", " dot ", "(dot)", " [dot] ") if "at" in at else "."
-            return pick(word(), word() + "." + word(), word() + "." + digits(2), word() + "_" + word(2, 4)) + at.replace(" at ", " (at) ") + word() + (digits(1) if rng.random() < 0.4 else "") + dot + pick("com", "org", "net", "example.com" if dot == "." else "de")
-        if kind == 1:
-            return pick(".", ".", ".", " . ", "[.]").join(str(rng.integers(0, 256)) for _ in range(4))
-        if kind == 2:
-            sep = pick("", "", " ", "-", ".")
-            return sep.join(digits(4) for _ in range(4))
-        return pick("+{a} ({b}) {c}-{d}", "({b}) {c}-{d}", "{b}-{c}-{d}", "+{a}{b}{c}{d}", "+{a} {b} {c} {d}").format(a=digits(1 + rng.integers(2)), b=digits(3), c=digits(3), d=digits(4))
+    def one_word() -> str:
+        w = pick(*COMMON) if rng.random() < 0.5 else word(2, 10) if rng.random() < 0.7 else "".join(rng.choice(strange, rng.integers(1, 10)))
+        return w.capitalize() if rng.random() < 0.12 else w
+
+    def prose(most: int = 9) -> str:
+        glue = pick(" ", " ", " ", " ", "### ", "&&& ", " | ", "\n")
+        return glue.join(one_word() for _ in range(rng.integers(1, most))) + pick("", "", "", ".", ",", ":", "?", " \n")
+
+    def email() -> str:
+        at = pick("@", " @ ", " (at) ", "(at)", " [at] ", "[at]", " at ", "{at}", " <at> ", " (AT) ", "[AT]", " AT ", "\uff20")
+        spelt = (" dot ", "(dot)", " [dot] ", " (dot) ", "[dot]", " DOT ", "[.]")
+        dot = pick(*spelt) if at.strip().lower() == "at" else pick(".", ".", ".", *spelt)
+        local = pick(word(), word(1, 2) + "." + word(), word() + "." + word(), word() + "." + digits(2), word() + "_" + word(2, 4), word() + digits(rng.integers(1, 5)), word(3, 8) + "-" + word(3, 8), word(12, 30))
+        host = pick("example", "mail" + digits(1), word(), word() + "-" + word(3, 6), word(3, 9), "department" + dot + "university", word(2, 6) + dot + word(3, 9))
+        return (local.title() if rng.random() < 0.15 else local) + at + host + dot + pick("com", "org", "net", "de", "edu", "fr", "es", "info", "co" + dot + "uk")
+
+    def ip() -> str:
+        return pick(".", " . ", "[.]", "(.)", " dot ", "[dot]").join(str(rng.integers(0, 256)) for _ in range(4))
+
+    def card() -> str:
+        return pick("", " ", "-", ".", "  ", " - ", "/", "_", "\u00a0", "\u2013").join(digits(4) for _ in range(4))
+
+    def phone() -> str:
+        return pick("+{a} ({b}) {c}-{d}", "({b}) {c}-{d}", "({b}){c}-{d}", "{b}-{c}-{d}", "{b}.{c}.{d}", "+{a} {b} {c} {d}", "1-{b}-{c}-{d}", "({b}) {c} {d}", "0{b} {c}{d}", "0{b}/{c}{d}", "00{a} {b} {c}{d}", "+{a} (0) {b} / {c}{d}", "0{a} {d} {e}", "({b}) {c}.{d}").format(
+            a=rng.integers(1, 99), b=digits(3), c=digits(3), d=digits(4), e=digits(4)
+        )
 
     def decoy() -> str:
+        hexes = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
         return pick(
-            digits(1 + rng.integers(6)), f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", "".join(rng.choice(list("0123456789abcdef"), 40)),
-            f'token = "{"".join(rng.choice(list("0123456789abcdef"), 24))}"', f"@{word()}", f"{digits(1)}.{digits(2)}", digits(20 + rng.integers(10)), f"{digits(2)}:{digits(2)}", f"http://{word()}.com/{digits(3)}", f"password={word()}{digits(3)}", f"{digits(3)},{digits(3)}",
+            digits(rng.integers(1, 7)), digits(rng.integers(7, 15)), digits(rng.integers(20, 30)), f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(2)}.{digits(2)}.19{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"v{digits(1)}.{digits(2)}.{digits(1)}-rc{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}.{digits(2)}",
+            hexes(40), f'token = "{hexes(24)}"', f"@{word()}", f"{digits(1)}.{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"http://{word()}.com/{digits(3)}", f"https://{word()}.org/{word()}/{digits(4)}-{digits(2)}", f"password={word()}{digits(3)}", f"AKIA{word(16, 17).upper()}", f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}",
+            f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"pp. {digits(3)}-{digits(3)}", f"{digits(4)}-{digits(4)}", f"INV-20{digits(2)}-{digits(5)}", f"{digits(2)}.{digits(4)}, {digits(2)}.{digits(4)}", " ".join(digits(rng.integers(1, 4)) for _ in range(rng.integers(2, 9))), f"{digits(3)}-{digits(2)}-{digits(4)}", f"§ {digits(3)} ({digits(1)})",
+            f"meet at {word()} ({digits(2)})", "look at the dot on it", "a dot at the end", f"x[{digits(1)}] = y[{digits(2)}]", f"{digits(5)}-{digits(4)}", "CC BY-NC 4.0", f"{word()} | {digits(3)} | {digits(2)} | {word()}", f"#{digits(6)}", f"{digits(2)}%", f"${digits(2)}.{digits(2)}", f"({digits(4)})", f"[{digits(2)}]", f"at {digits(2)}.{digits(1)} and {digits(2)}.{digits(1)}",
         )
 
-    out = []
+    kinds, out = (email, ip, card, phone), []
     while len(out) < n:
-        text, tags = prose() + pick("", " ", " "), None
-        tags = [0] * len(text)
-        if text[-1:].isalnum() or text[-1:] == "_":
-            text, tags = text + " ", [*tags, 0]
-        for _ in range(rng.integers(1, 3)):
-            if rng.random() < 0.55:
-                k = int(rng.integers(len(KINDS)))
-                s = span(k)
-                text, tags = text + s, [*tags, 1 + 2 * k, *[2 + 2 * k] * (len(s) - 1)]
-            else:
-                s = decoy()
-                text, tags = text + s, [*tags, *[0] * len(s)]
-            p = pick(" ", ". ", "###", " ", "\n", ", ") + prose() + " "
-            text, tags = text + p, [*tags, *[0] * len(p)]
-        at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-        if tags[at : at + 1] and tags[at] % 2 == 0 and tags[at]:
-            continue  # cut inside a span
-        out.append((char_classes(text[at : at + WINDOW]), np.asarray(tags[at : at + WINDOW])))
+        text, tags = "", []
+        for _ in range(rng.integers(1, 4)):
+            p = prose() + " "
+            roll = rng.random()
+            k = int(rng.integers(len(KINDS)))
+            if roll < 0.5 and rng.random() < 0.5:
+                p += pick(*LEADS[k]) + " "
+            s = kinds[k]() if roll < 0.5 else decoy() if roll < 0.85 else ""
+            after = pick(" ", " ", ". ", ", ", "\n", "### ", "%%% ", "; ", ") ", " or ", " and ") if s else ""
+            text += p + s + after
+            tags += [0] * len(p) + ([1 + 2 * k, *[2 + 2 * k] * (len(s) - 1)] if roll < 0.5 else [0] * len(s)) + [0] * len(after)
+        if rng.random() < 0.7:
+            p = prose()
+            text, tags = text + p, tags + [0] * len(p)
+        else:  # the text ends with a span, or with a sign right after it
+            end = len(text.rstrip())
+            p = pick("", "", ".", "!", ")")
+            text, tags = text[:end] + p, tags[:end] + [0] * len(p)
+        at = int(rng.integers(0, max(1, len(text) - width + 1))) if rng.random() < 0.7 else 0
+        cut = tags[at : at + width]
+        if cut and cut[0] and cut[0] % 2 == 0:
+            rest = next((i for i, t in enumerate(cut) if t != cut[0]), len(cut))
+            cut = [cut[0] - 1, *cut[1:]] if rest > 1 else [0, *cut[1:]]
+        out.append((char_classes(text[at : at + width]), np.asarray(cut)))
     return out
 
 
 def _batch(rows: list[np.ndarray], fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows side by side, as wide as the longest, and where they hold something."""
     lens = np.asarray([len(r) for r in rows])
-    out = np.full((len(rows), WINDOW), fill, "int64")
+    out = np.full((len(rows), int(lens.max())), fill, "int64")
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return out, np.arange(WINDOW)[None, :] < lens[:, None]
+    return out, np.arange(out.shape[1])[None, :] < lens[:, None]
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -196,10 +231,10 @@ def _lstm_back(dh_out: np.ndarray, x: np.ndarray, mask: np.ndarray, wh: np.ndarr
 
 
 class Tagger:
-    """Parameters: input, recurrent and bias weights each way; output; CRF transitions."""
+    """Parameters: input, recurrent and bias weights each way; output; CRF transitions; and the least score of each kind."""
 
-    def __init__(self, params: list[np.ndarray]):
-        self.params = params
+    def __init__(self, params: list[np.ndarray], least: np.ndarray | None = None):
+        self.params, self.least = params, np.zeros(len(KINDS)) if least is None else least
 
     def emissions(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         fx, fh, fb, bx, bh, bb, ow, ob, _ = self.params
@@ -207,35 +242,38 @@ class Tagger:
         b, _ = _lstm(x[:, ::-1], mask[:, ::-1], bx, bh, bb)
         return np.concatenate((f, b[::-1]), 2) @ ow + ob
 
-    def decode(self, rows: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
-        """Spans ``(kind, start, end, score)`` of each window by Viterbi."""
+    def paths(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (row, time) by Viterbi, and the emissions (time, row, tag)."""
         x, mask = _batch(rows)
         e, tr = self.emissions(x, mask), self.params[-1]
-        n = len(rows)
-        best, back = e[0] + _START, np.zeros((WINDOW, n, TAGS), "int8")
-        for t in range(1, WINDOW):
+        (n, wide) = x.shape
+        best, back = e[0] + _START, np.zeros((wide, n, TAGS), "int8")
+        for t in range(1, wide):
             s = best[:, :, None] + tr[None]
             back[t] = s.argmax(1)
             best = np.where(mask[:, t, None], s.max(1) + e[t], best)
             back[t][~mask[:, t]] = np.arange(TAGS)
         tag = best.argmax(1)
-        path = np.zeros((n, WINDOW), "int64")
-        for t in range(WINDOW - 1, -1, -1):
+        path = np.zeros((n, wide), "int64")
+        for t in range(wide - 1, -1, -1):
             path[:, t] = tag
             tag = back[t][np.arange(n), tag]
-        out = []
+        return path, e
+
+    def decode(self, rows: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """Spans ``(kind, start, end, score)`` of each window; the score is the log odds of the span's tags against none."""
+        path, e = self.paths(rows)
+        tr, out = self.params[-1], []
         for i, r in enumerate(rows):
             spans, p = [], path[i, : len(r)]
-            t = 0
-            while t < len(p):
-                if p[t] and p[t] % 2:
-                    u = t + 1
-                    while u < len(p) and p[u] == p[t] + 1:
-                        u += 1
-                    spans.append((int(p[t] - 1) // 2, t, u, float(sum(e[v, i, p[v]] - e[v, i, 0] for v in range(t, u)))))
-                    t = u
-                else:
-                    t += 1
+            for t in np.flatnonzero(p % 2).tolist():
+                u = t + 1
+                while u < len(p) and p[u] == p[t] + 1:
+                    u += 1
+                at = np.arange(t, u)
+                tags = np.concatenate(([0], p[t:u], [0]))
+                score = (e[at, i, p[at]] - e[at, i, 0]).sum() + (tr[tags[:-1], tags[1:]] - tr[0, 0]).sum()
+                spans.append((int(p[t] - 1) // 2, t, u, float(score)))
             out.append(spans)
         return out
 
@@ -245,8 +283,48 @@ _ALLOWED = np.asarray([[j == 0 or j % 2 == 1 or i in (j, j - 1) for j in range(T
 _START = np.asarray([0.0 if j == 0 or j % 2 else -1e4 for j in range(TAGS)])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, size: int = 96, rate: float = 0.02, seed: int = 0) -> Tagger:
-    """Adam on the CRF likelihood of labelled windows."""
+def gradients(params: list[np.ndarray], group: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log likelihood of labelled windows under the CRF, and its gradient."""
+    x, mask = _batch([g[0] for g in group])
+    y, _ = _batch([g[1] for g in group])
+    fx, fh, fb, bx, bh, bb, ow, ob, tr = params
+    h, (n, wide) = fh.shape[0], x.shape
+    f, fk = _lstm(x, mask, fx, fh, fb, True)
+    rx, rm = x[:, ::-1], mask[:, ::-1]
+    b, bk = _lstm(rx, rm, bx, bh, bb, True)
+    hid = np.concatenate((f, b[::-1]), 2)
+    e = hid @ ow + ob
+    alpha, beta = np.zeros((wide, n, TAGS)), np.zeros((wide, n, TAGS))
+    alpha[0] = e[0] + _START
+    lse = lambda v, ax: (m := v.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(v - m).sum(ax))
+    for t in range(1, wide):
+        alpha[t] = np.where(mask[:, t, None], lse(alpha[t - 1][:, :, None] + tr[None], 1) + e[t], alpha[t - 1])
+    z = lse(alpha[-1], 1)
+    for t in range(wide - 2, -1, -1):
+        beta[t] = np.where(mask[:, t + 1, None], lse(tr[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2), beta[t + 1])
+    post = np.exp(alpha + beta - z[None, :, None])
+    gold = np.zeros_like(post)
+    np.put_along_axis(gold, y.T[:, :, None], 1.0, 2)
+    live = mask.T[:, :, None]
+    de = (post - gold) * live / n
+    right = (e * gold * live).sum() + _START[y[:, 0]].sum()
+    dtr = np.zeros_like(tr)
+    for t in range(1, wide):
+        on = mask[:, t]
+        joint = np.exp(alpha[t - 1][on][:, :, None] + tr[None] + (e[t] + beta[t])[on][:, None, :] - z[on][:, None, None])
+        dtr += joint.sum(0)
+        np.add.at(dtr, (y[on, t - 1], y[on, t]), -1.0)
+        right += tr[y[on, t - 1], y[on, t]].sum()
+    dtr = np.where(_ALLOWED, dtr / n, 0.0)
+    dhid = de @ ow.T
+    return float((z.sum() - right) / n), [
+        *_lstm_back(dhid[:, :, :h], x, mask, fh, N_CLASS, fk), *_lstm_back(dhid[::-1, :, h:], rx, rm, bh, N_CLASS, bk),
+        np.tensordot(hid, de, ((0, 1), (0, 1))), de.sum((0, 1)), dtr,
+    ]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, size: int = 16, rate: float = 0.015, clip: float = 5.0, seed: int = 0) -> Tagger:
+    """Adam on the CRF likelihood of labelled windows, with gradients no longer than ``clip``."""
     rng = np.random.default_rng(seed)
     init = lambda *s: (rng.standard_normal(s) * 0.15)
     h = HIDDEN
@@ -257,41 +335,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, size: int =
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), size):
-            group = [rows[i] for i in order[at : at + size]]
-            x, mask = _batch([g[0] for g in group])
-            y, _ = _batch([g[1] for g in group])
-            fx, fh, fb, bx, bh, bb, ow, ob, tr = params
-            f, fk = _lstm(x, mask, fx, fh, fb, True)
-            rx, rm = x[:, ::-1], mask[:, ::-1]
-            b, bk = _lstm(rx, rm, bx, bh, bb, True)
-            hid = np.concatenate((f, b[::-1]), 2)
-            e = hid @ ow + ob
-            n = len(group)
-            alpha, beta = np.zeros((WINDOW, n, TAGS)), np.zeros((WINDOW, n, TAGS))
-            alpha[0] = e[0] + _START
-            lse = lambda v, ax: (m := v.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(v - m).sum(ax))
-            for t in range(1, WINDOW):
-                alpha[t] = np.where(mask[:, t, None], lse(alpha[t - 1][:, :, None] + tr[None], 1) + e[t], alpha[t - 1])
-            z = lse(alpha[-1], 1)
-            for t in range(WINDOW - 2, -1, -1):
-                beta[t] = np.where(mask[:, t + 1, None], lse(tr[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2), beta[t + 1])
-            post = np.exp(alpha + beta - z[None, :, None])
-            gold = np.zeros_like(post)
-            np.put_along_axis(gold, y.T[:, :, None], 1.0, 2)
-            live = mask.T[:, :, None]
-            de = (post - gold) * live / n
-            dtr = np.zeros_like(tr)
-            for t in range(1, WINDOW):
-                on = mask[:, t]
-                joint = np.exp(alpha[t - 1][on][:, :, None] + tr[None] + (e[t] + beta[t])[on][:, None, :] - z[on][:, None, None])
-                dtr += joint.sum(0)
-                np.add.at(dtr, (y[on, t - 1], y[on, t]), -1.0)
-            dtr = np.where(_ALLOWED, dtr / n, 0.0)
-            dhid = de @ ow.T
-            grads = [
-                *_lstm_back(dhid[:, :, :h], x, mask, fh, N_CLASS, fk), *_lstm_back(dhid[::-1, :, h:], rx, rm, bh, N_CLASS, bk),
-                np.tensordot(hid, de, ((0, 1), (0, 1))), de.sum((0, 1)), dtr,
-            ]
+            _, grads = gradients(params, [rows[i] for i in order[at : at + size]])
+            norm = np.sqrt(sum((g * g).sum() for g in grads))
+            grads = [g * min(1.0, clip / norm) for g in grads]
             step += 1
             lr = rate * (1 - epoch / (epochs + 1))
             for k, g in enumerate(grads):
@@ -301,10 +347,36 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, size: int =
     return Tagger([p.astype("float32") for p in params])
 
 
-@functools.lru_cache(maxsize=2)
-def default_tagger(seed: int = 0) -> Tagger:
-    """Trained once a process on 2,500 generated windows; depends on the seed only."""
-    return fit(generate(2500, seed), seed=seed)
+def calibrated(tagger: Tagger, rows: list[tuple[np.ndarray, np.ndarray]], precision: float = 0.99) -> Tagger:
+    """The tagger with the least score of each kind at which so many of its spans in labelled windows are right."""
+    seen: list[list[tuple[float, bool]]] = [[] for _ in KINDS]
+    for at in range(0, len(rows), 512):
+        group = rows[at : at + 512]
+        for (_, tags), spans in zip(group, tagger.decode([c for c, _ in group])):
+            for kind, a, b, score in spans:
+                whole = tags[a] == 1 + 2 * kind and (tags[a + 1 : b] == 2 + 2 * kind).all() and (b == len(tags) or tags[b] != 2 + 2 * kind)
+                seen[kind].append((score, bool(whole)))
+    least = np.zeros(len(KINDS))
+    for kind, got in enumerate(seen):
+        got.sort(reverse=True)
+        share = np.cumsum([ok for _, ok in got]) / np.arange(1, len(got) + 1)
+        good = np.flatnonzero(share >= precision)
+        least[kind] = got[int(good[-1])][0] if len(good) else np.inf
+    return Tagger(tagger.params, least)
+
+
+def trained(n: int = 14_000, epochs: int = 7, seed: int = 0) -> Tagger:
+    """Fitted and calibrated on generated windows; depends on its arguments only."""
+    return calibrated(fit(generate(n, seed), epochs, seed=seed), generate(max(200, n // 3), seed + 1))
+
+
+@functools.lru_cache(maxsize=1)
+def default_tagger() -> Tagger:
+    """The stored weights, trained by this module; trained here if the file is absent."""
+    if not WEIGHTS.exists():
+        return trained()
+    with np.load(WEIGHTS) as kept:
+        return Tagger([kept[f"p{i}"] for i in range(9)], kept["least"])
 
 
 # ---------------------------------------------------------------- whole texts
@@ -323,7 +395,13 @@ def windows_of(text: str) -> list[tuple[int, int]]:
             a += STEP
 
     for m in GATE.finditer(text):
+        if m.end() + REACH <= reach[1]:
+            continue
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        while a > max(0, reach[1]) and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
         if a <= reach[1]:
             reach = (reach[0], b)
         else:
@@ -333,16 +411,15 @@ def windows_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _plausible(kind: int, s: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in s)
+def passes(kind: int, s: str) -> bool:
+    """The contract's own tests of digits; an e-mail address has none."""
+    digits = "".join(c for c in s if c in "0123456789")
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({<] ?at ?[\])}>]) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]+)+", s, re.I))
+        return True
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    if kind == 2:
-        return 15 <= digits <= 19 and s[0].isdigit() and s[-1].isdigit() and luhn("".join(c for c in s if "0" <= c <= "9"))
-    return 10 <= digits <= 15 and not re.search(r"[A-Za-z]", s) and s[-1].isdigit()
+        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
 
 
 def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
@@ -368,29 +445,42 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def find(texts: list[str], tagger: Tagger, at_once: int = 512) -> list[tuple[list, list]]:
-    """``(base spans, added spans)`` of whole texts, each ``(kind, start, end)`` in code points."""
+    """``(base spans, added spans)`` of whole texts, each ``(kind, start, end)`` in code points.
+
+    Beside the model's least scores, an added span must hold a gate, pass the
+    digit tests of its kind, and overlap no base span.
+    """
     base = [base_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
-    queue: list[tuple[int, int, np.ndarray]] = []
     seen: list[list] = [[] for _ in texts]
 
-    def flush() -> None:
-        for (i, a, row), spans in zip(queue, tagger.decode([q[2] for q in queue]) if queue else []):
-            # a span that touches a cut edge of its window is left to the window that holds it whole
-            whole = [s for s in spans if (s[1] > 0 or a == 0) and (s[2] < len(row) or a + len(row) == len(texts[i]))]
-            seen[i].extend((k, a + u, a + v, s) for k, u, v, s in whole)
-        queue.clear()
-
+    def tagged(queue: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Decodes windows ``(text, start, end)``; returns the wider ones asked for by spans that touch a cut edge."""
+        wider: dict[tuple[int, int, int], None] = {}
+        for (i, a, b), spans in zip(queue, tagger.decode([char_classes(texts[i][a:b]) for i, a, b in queue])):
+            for kind, u, v, score in spans:
+                low, high = u == 0 and a > 0, v == b - a and b < len(texts[i])
+                if low or high:
+                    # a number with more digits than any kind has does not become one by growing
+                    if b - a < LONGEST and (kind == 0 or sum(c in "0123456789" for c in texts[i][a + u : a + v]) <= MOST_DIGITS):
+                        more = -(-(b - a) // WINDOW) * WINDOW  # coarser steps for wider windows, so that neighbours grow into one
+                        wider[(i, max(0, a - more) // more * more if low else a, min(len(texts[i]), -(-(b + more) // more) * more) if high else b)] = None
+                elif score >= tagger.least[kind]:
+                    seen[i].append((kind, a + u, a + v, score))
+        return list(wider)
+
+    queue: list[tuple[int, int, int]] = []
     for i, text in enumerate(texts):
         for a, b in windows_of(text):
-            queue.append((i, a, char_classes(text[a:b])))
+            queue.append((i, a, b))
             if len(queue) == at_once:
-                flush()
-    flush()
+                queue = tagged(queue)
+    while queue:
+        queue = tagged(queue[:at_once]) + queue[at_once:]
     for i, text in enumerate(texts):
         taken = sorted((a, b) for _, a, b in base[i])
         starts, ends = [t[0] for t in taken], [t[1] for t in taken]
-        for kind, a, b in reconcile([s for s in seen[i] if _plausible(s[0], text[s[1] : s[2]])]):
+        for kind, a, b in reconcile([s for s in seen[i] if GATE.search(text, s[1], s[2]) and passes(s[0], text[s[1] : s[2]])]):
             j = int(np.searchsorted(starts, b))  # base spans that start before b
             if not any(e > a for e in ends[max(0, j - 4) : j]):
                 added[i].append((KINDS[kind], a, b))
@@ -408,10 +498,11 @@ def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     Counts and hash are of the base spans; ``spans`` lists base and added ones.
     Null texts count as empty; repeated rows give equal rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast((tagger or default_tagger()).params)  # fixed size
+    tagger = tagger or default_tagger()
+    model = docs.sparkSession.sparkContext.broadcast((tagger.params, tagger.least))  # fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tag = Tagger(model.value)
+        tag = Tagger(*model.value)
         for pdf in batches:
             rows = []
             for doc_id, (base, added) in zip(pdf["doc_id"], find([t if isinstance(t, str) else "" for t in pdf["text"]], tag)):
@@ -430,13 +521,14 @@ def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     Null texts stay null; all rows and columns are kept.
     """
-    model = docs.sparkSession.sparkContext.broadcast((tagger or default_tagger()).params)
+    tagger = tagger or default_tagger()
+    model = docs.sparkSession.sparkContext.broadcast((tagger.params, tagger.least))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         known = [t if isinstance(t, str) else "" for t in texts]
         out = []
-        for raw, text, (base, added) in zip(texts, known, find(known, Tagger(model.value))):
+        for raw, text, (base, added) in zip(texts, known, find(known, Tagger(*model.value))):
             spans = sorted((a, b, k) for k, a, b in base + added)
             parts, at = [], 0
             for a, b, k in spans:
@@ -448,3 +540,8 @@ def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     out = docs.withColumn("text", masked(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+if __name__ == "__main__":
+    best = trained()
+    np.savez_compressed(WEIGHTS, least=best.least, **{f"p{i}": p for i, p in enumerate(best.params)})

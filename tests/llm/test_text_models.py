@@ -1,6 +1,7 @@
 """Toxicity, language and personal data on small fixtures and against brute force."""
 
 import hashlib
+import itertools
 import re
 import time
 
@@ -113,18 +114,91 @@ def tagger():
     return pii.default_tagger()
 
 
-def test_model_adds_spans_and_leaves_clean_text(tagger):
-    (_, added), = pii.find(["please call (212) 555-0134 today"], tagger)
-    assert added == [("phone", 12, 26)]
-    clean = ["on 2023-01-02 version 1.2.3 costs 45", "no digits at all", "page 12 of 340", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
-    assert all(b == [] and a == [] for b, a in pii.find(clean, tagger))
-    held = pii.generate(400, seed=99)
-    right = total = 0
-    for (classes, tags), spans in zip(held, tagger.decode([c for c, _ in held])):
-        want = {(int(tags[i] - 1) // 2, i) for i in range(len(tags)) if tags[i] % 2}
-        right += len(want & {(k, a) for k, a, _, _ in spans})
-        total += len(want)
-    assert right / total > 0.85
+# Written by hand, in none of the generator's words or forms as a whole: a line and what is to be found in it.
+LINES = [
+    ("write to jo.smith (at) example.org today", ["jo.smith (at) example.org"]), ("please mail anna [at] uni-koeln [dot] de for details", ["anna [at] uni-koeln [dot] de"]),
+    ("please call (212) 555-0134 today", ["(212) 555-0134"]), ("ring 212-555-0134 after six.", ["212-555-0134"]), ("My number is 212.555.0134, thanks", ["212.555.0134"]),
+    ("the server 10 . 0 . 0 . 7 is down", ["10 . 0 . 0 . 7"]), ("block 192[.]168[.]2[.]44 now", ["192[.]168[.]2[.]44"]), ("card 4111.1111.1111.1111 was charged", ["4111.1111.1111.1111"]),
+    ("paid with 4111/1111/1111/1111 on Monday", ["4111/1111/1111/1111"]), ("reach me at bob at example dot com please", ["bob at example dot com"]),
+    ("Kontakt: max.muster (at) firma.de, Tel. 030/1234567", ["max.muster (at) firma.de", "030/1234567"]), ("escriba a juan.perez@ejemplo (dot) es hoy", ["juan.perez@ejemplo (dot) es"]),
+    ("call 0171 2345678 or 0044 20 7946 0958 tomorrow", ["0171 2345678", "0044 20 7946 0958"]), ("email: maria_l {at} mail dot example dot org.", ["maria_l {at} mail dot example dot org"]),
+    ("+1 (826) 555-4081 190.137.223.20 is what the log says", ["+1 (826) 555-4081", "190.137.223.20"]), ("write to a.longer.name.than.most (at) department.of.history.university (dot) example (dot) edu soon", ["a.longer.name.than.most (at) department.of.history.university (dot) example (dot) edu"]),
+]
+CLEAN = [
+    "on 2023-01-02 version 1.2.3 costs 45", "no digits at all", "page 12 of 340", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "ISBN 978-3-16-148410-0 was printed in 1999", "We met at the dot on the map at 10:30.",
+    "Room 212, floor 5 (55 people), 0134 ids", "coordinates 52.5200, 13.4050 at 12.5", "from 1990-1995 and 2001-2005 it was 12345-6789", "section 3.2.1 of RFC 2822 at 3.30", "12 34 56 78 90 12", "SSN 078-05-1120 is well known",
+]
+
+
+def test_model_finds_hand_written_spans_and_leaves_clean_lines(tagger):
+    right = found = total = 0
+    for line, want in LINES:
+        (base, added), = pii.find([line], tagger)
+        got = {line[a:b] for _, a, b in base + added}
+        right, found, total = right + len(got & set(want)), found + len(got), total + len(want)
+    assert right / total >= 0.85 and right / found >= 0.85  # 0.90 and 0.90 as stored
+    assert pii.find(["write to jo.smith (at) example.org today"], tagger)[0][1] == [("email", 9, 34)]
+    assert pii.find(["please call (212) 555-0134 today"], tagger)[0][1] == [("phone", 12, 26)]
+    assert all(b == [] and a == [] for b, a in pii.find(CLEAN, tagger))
+
+
+def test_held_out_windows(tagger):
+    right = found = total = 0
+    held = pii.generate(600, seed=99)
+    for (_, tags), spans in zip(held, tagger.decode([c for c, _ in held])):
+        want = {((tags[i] - 1) // 2, i, next((j for j in range(i + 1, len(tags)) if tags[j] != tags[i] + 1), len(tags))) for i in range(len(tags)) if tags[i] % 2}
+        got = {(k, a, b) for k, a, b, score in spans if score >= tagger.least[k]}
+        right, found, total = right + len(want & got), found + len(got), total + len(want)
+    assert right / total > 0.95 and right / found > 0.97
+
+
+def test_planted_spans_are_added(spark, tagger):
+    rng = np.random.default_rng(12)
+    words = "a river ran through the old town where people met in the morning and talked about the weather before work".split()
+    plant = ["kim (at) example (dot) org", "(415) 555-0199", "10[.]1[.]2[.]3", "5500.0000.0000.0004", "lee [at] mail.example.net", "030/7654321"]
+    rows, want = [], {}
+    for i in range(240):
+        body = [str(w) for w in rng.choice(words, int(rng.integers(20, 200)))]
+        if i % 2:
+            body.insert(int(rng.integers(2, len(body))), plant[i // 2 % len(plant)])
+            want[i] = plant[i // 2 % len(plant)]
+        rows.append((i, " ".join(body)))
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    text = dict(rows)
+    cut = lambda i: {text[i][int(a) : int(b)] for _, a, b in (s.split(":") for s in got[i].split(",") if s)}
+    assert sum(want[i] in cut(i) for i in want) / len(want) >= 0.95
+    assert sum(bool(got[i]) for i in text if i not in want) == 0
+
+
+def test_viterbi_equals_exhaustive_search():
+    rng = np.random.default_rng(3)
+    small = pii.fit(pii.generate(40, 1, 24), 1)
+    for n in (1, 2, 3, 4):
+        x = rng.integers(0, pii.N_CLASS, n)
+        (path,), e = small.paths([x])
+        tr = small.params[-1]
+        score = lambda p: pii._START[p[0]] + sum(e[t, 0, p[t]] for t in range(n)) + sum(tr[p[t], p[t + 1]] for t in range(n - 1))
+        best = max(itertools.product(range(pii.TAGS), repeat=n), key=score)
+        assert abs(score(best) - score(path)) < 1e-4
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    rows = pii.generate(3, 2, 10)
+    h = 3
+    params = [rng.standard_normal(s) * 0.3 for s in ((pii.N_CLASS, 4 * h), (h, 4 * h), 4 * h, (pii.N_CLASS, 4 * h), (h, 4 * h), 4 * h, (2 * h, pii.TAGS), pii.TAGS)] + [np.where(pii._ALLOWED, 0.0, -1e4)]
+    _, grads = pii.gradients(params, rows)
+    for k in range(9):
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in params[k].shape)
+            if k == 8 and not pii._ALLOWED[at]:
+                continue
+            kept, side = params[k][at], []
+            for step in (1e-2, -1e-2):
+                params[k][at] = kept + step
+                side.append(pii.gradients(params, rows)[0])
+            params[k][at] = kept
+            assert abs((side[0] - side[1]) / 2e-2 - grads[k][at]) < 2e-2, (k, at)
 
 
 def test_windows_cover_every_gate_and_reconcile_is_global(tagger):
@@ -132,12 +206,31 @@ def test_windows_cover_every_gate_and_reconcile_is_global(tagger):
     windows = pii.windows_of(text)
     for m in pii.GATE.finditer(text):
         assert any(a <= m.start() and m.end() <= b for a, b in windows)
+    assert windows[0][0] == 0  # a stretch goes on to the next white space
     assert pii.reconcile([(0, 0, 5, 2.0), (1, 4, 9, 3.0), (2, 9, 12, 1.0), (0, 0, 5, 4.0)]) == [(0, 0, 5), (2, 9, 12)] or pii.reconcile([(0, 0, 5, 2.0), (1, 4, 9, 3.0)]) == [(1, 4, 9)]
     long = "word " * 3000 + "jo@example.org " + "word " * 3000
     (base, _), = pii.find([long], tagger)
     assert [long[a:b] for _, a, b in base] == ["jo@example.org"]
 
 
+def test_spans_wider_than_a_window_are_found_at_any_offset(tagger):
+    span = "a.very.long.local.part.of.a.person (at) department.of.history.and.letters (dot) university.of.the.north (dot) example (dot) org"
+    assert len(span) > pii.STEP
+    hits = sum(any(t[a:b] == span for _, a, b in pii.find([t], tagger)[0][1]) for t in ("12 words 7 " * k + "x" * (5 * k % 64) + " write to " + span + " today 3 times" for k in range(24)))
+    assert hits >= 20, hits
+
+
+@pytest.mark.parametrize("text", ["1 ", "1", "a@", "(at)"])
+def test_long_texts_stay_linear(tagger, text):
+    def seconds(n):
+        began = time.process_time()
+        pii.find([text * n], tagger)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(12_000) < 8 * max(seconds(3000), 0.1)
+
+
 def test_pii_detect_and_mask(spark, tagger):
     rows = [(1, None, "x", 0), (2, "", "x", 0), (3, "a@b.org and a@b.org", "x", 19), (3, "a@b.org and a@b.org", "x", 19), (4, "nothing", "x", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")

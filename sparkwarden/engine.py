@@ -39,14 +39,18 @@ class Engine:
         With a ``route`` column, chunks of bytecode are triaged and unreadable
         files reported; without one every row is Lua source.
         """
-        lua = artifacts.where(F.col("route").isin("analyze", "template", "conf")) if "route" in artifacts.columns else artifacts
+        lua = artifacts.where(F.col("route").isin("analyze", "template", *(["conf"] if "openresty" in self.profiles else []))) if "route" in artifacts.columns else artifacts
         found = Scan(lua, self.profiles, self.rules).findings()
+        if "route" in artifacts.columns and "openresty" not in self.profiles:
+            conf = artifacts.where("route = 'conf'")  # B10: server configurations bring their platform's registry
+            if not conf.isEmpty():
+                found = found.unionByName(Scan(conf, (*self.profiles, "openresty"), self.rules).findings())
         if "route" in artifacts.columns:
             sinks = [s[1] for s in dims.SINKS if "*" not in s[1]]
             chunks = A.triage(artifacts.where("route = 'triage'"), sinks)
             lost = artifacts.where("route = 'unreadable'").select("artifact_id", "path", F.lit("901").alias("code"), F.lit("binary").alias("name"))
             extra = chunks.unionByName(lost).select(F.col("path").alias("file"), "code", "name", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit(1).alias("end_column"), F.lit(None).cast("string").alias("confidence"), F.lit("").alias("source"), F.lit(None).cast("string").alias("status"))
-            found = found.unionByName(FI.normalise(FI.with_catalogue(extra)))
+            found = found.unionByName(FI.normalise(FI.with_catalogue(extra)), allowMissingColumns=True)
         return found.withColumn("fingerprint", FI.fingerprint(found))
 
     def select(self, findings: DataFrame, **options) -> DataFrame:

@@ -79,3 +79,17 @@ def as_of(uses: DataFrame, definitions: DataFrame, by: list[str], at: str) -> Da
         uses.select(*by, at, F.lit(None).cast(dict(definitions.dtypes)["value"]).alias("value"), "use_id", F.lit(0).alias("_k")))
     w = Window.partitionBy(*by).orderBy(at, "_k").rowsBetween(Window.unboundedPreceding, -1)
     return tagged.withColumn("value", F.last("value", ignorenulls=True).over(w)).where("use_id is not null").select("use_id", "value")
+
+
+def walk_back(callers: DataFrame, most: int = 16) -> DataFrame:
+    """``to, chain`` for each row of ``to, by``: from ``by`` on back to a start, at most ``most`` steps, no step twice."""
+    step = callers.select(F.col("to").alias("_to"), F.col("by").alias("_by"))
+    out = callers.select("to", F.array("by").alias("chain"))
+    for _ in range(most - 1):
+        on = out.join(step, F.element_at("chain", -1) == F.col("_to"), "left")
+        fresh = F.col("_by").isNotNull() & ~F.array_contains("chain", F.col("_by")) & (F.col("_by") != F.col("to"))
+        longer = stored(on.select("to", F.when(fresh, F.array_append("chain", F.col("_by"))).otherwise(F.col("chain")).alias("chain"), F.coalesce(fresh, F.lit(False)).alias("grown")), "chains")
+        out = longer.drop("grown")
+        if longer.where("grown").isEmpty():
+            break
+    return out

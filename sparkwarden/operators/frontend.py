@@ -21,7 +21,7 @@ MAX_RAW = 50
 def facts(artifacts: DataFrame, max_nodes: int = lua_facts.MAX_NODES) -> DataFrame:
     """One row of ``lua_facts.SCHEMA`` per artifact of ``artifact_id, path, body``; null bodies are empty chunks."""
     columns = [c.split()[0].split(":")[0] for c in lua_facts.SCHEMA.replace("<", " ").split(", ")]
-    columns = [c for c in ("artifact_id path status message line node_count nesting calls args edges functions formals reads strings binds spots names comments").split() if c in columns]
+    columns = [c for c in ("artifact_id path status message line node_count nesting calls args edges functions formals reads strings binds spots handlers routes names comments").split() if c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

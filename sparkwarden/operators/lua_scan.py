@@ -8,30 +8,37 @@ edges like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import dims
 from . import findings as FI
 from .detect import blob_shape
-from .flow import semi_naive, stored
+from .flow import semi_naive, stored, walk_back
 from .frontend import directives, facts, relation
 from .match import best_match, entry_points
 from .select import apply_directives, cover
 
-LABELS = ["tid", "src_line", "confidence", "quoted", "ctx"]
-BASE_STATE = ["file", "code", "name", "line", "column", "confidence", "source"]
+LABELS = ["tid", "src_line", "confidence", "quoted", "ctx", "origin", "channel"]
+#: Sinks that only a proven flow makes a finding, under their own code.
+TAINT_ONLY = ("header", "assign", "subrequest", "cursor")
+#: Calls into other files that one file may make, and functions of a file beyond which calls are not followed.
+MAX_SITES, MAX_FUNCTIONS = 4096, 4000
 # Paths whose writing, reading or removal is a finding, boot files and loaders (fixed values).
 FLASH = dict(prefixes=["/dev/mtd", "/dev/ubi", "/proc/sys/", "/etc/config/", "/etc/init.d/", "/etc/uci-defaults/"], exact=["/dev/nvram", "/etc/rc.local"])
 SENSITIVE = dict(exact=["/etc/shadow", "/proc/self/environ"], prefixes=["/etc/ssl/private/"], name_prefixes=["id_rsa"], name_suffixes=[".pem", ".key", ".p12"])
 PROTECTED = dict(prefixes=["/etc/init.d/", "/usr/bin/"], exact=["/etc/rc.local"])
 BOOT = dict(
     exact=["/etc/rc.local", "/etc/rc.d/rc.local", "/etc/inittab", "/etc/profile"],
-    prefixes=["/etc/init.d/", "/etc/rc.d/", "/etc/rcS.d/", *[f"/etc/rc{i}.d/" for i in range(7)], "/etc/uci-defaults/", "/etc/systemd/system/", "/lib/systemd/system/", "/usr/lib/systemd/system/", "/run/systemd/system/", "/etc/cron.d/", *[f"/etc/cron.{p}/" for p in ("daily", "hourly", "weekly", "monthly")]],
+    prefixes=[
+        "/etc/init.d/", "/etc/rc.d/", "/etc/rcS.d/", "/etc/rc0.d/", "/etc/rc1.d/", "/etc/rc2.d/", "/etc/rc3.d/", "/etc/rc4.d/", "/etc/rc5.d/", "/etc/rc6.d/", "/etc/uci-defaults/",
+        "/etc/systemd/system/", "/lib/systemd/system/", "/usr/lib/systemd/system/", "/run/systemd/system/", "/etc/cron.d/", "/etc/cron.daily/", "/etc/cron.hourly/", "/etc/cron.weekly/", "/etc/cron.monthly/",
+    ],
 )
 LOADERS = ("loadstring", "load", "loadfile", "dofile")
 EXEC_SINKS = ("os.execute", "io.popen", "dofile", "package.loadlib", "ffi.load")
+# Pattern functions and the argument that is the pattern; names of credentials, sure and bare (fixed values).
 PATTERN_APIS = {"string.find": 2, "string.match": 2, "string.gmatch": 2, "string.gsub": 2, "ngx.re.find": 2, "ngx.re.gsub": 2}
 QUALIFYING = r"(?i)(?:^|[._])(?:\w*_)?(?:password|passwd|pwd|passphrase|secret|token|credential|psk|preshared|apikey|privkey|api_key|private_key)s?$"
 BARE = r"(?i)(?:^|[._])(?:key|auth|pass|seed|licence|license)$"
@@ -51,6 +58,7 @@ class Scan:
         r = lambda n: relation(self.facts, n)
         self.calls, self.args, self.edges, self.functions, self.formals = r("calls"), r("args"), r("edges"), r("functions"), r("formals")
         self.reads, self.strings, self.binds, self.spots, self.names = r("reads"), r("strings"), r("binds"), r("spots"), r("names")
+        self.registered, self.routes = r("handlers"), r("routes")
 
     # ---- G: seeds and edges
     def seeds(self) -> DataFrame:
@@ -63,16 +71,16 @@ class Scan:
         conf = F.create_map(*[F.lit(x) for m, (i, c) in methods.items() for x in (m, c)])[F.col("method")]
         called = calls.select("artifact_id", "node", "line", F.coalesce("id", by_method).alias("tid"), F.when(F.col("id").isNotNull(), F.col("confidence")).otherwise(conf).alias("confidence")).where("tid is not null")
         read = best_match(self.reads.select("artifact_id", "node", "path", "line"), dim.where("pattern like '%.*'"), "path", ["id", "confidence"])
-        out = called.unionByName(read.select("artifact_id", "node", "line", F.col("id").alias("tid"), "confidence"))
+        out = called.unionByName(read.select("artifact_id", "node", "line", F.col("id").alias("tid"), "confidence")).withColumn("channel", F.lit(""))
         names = {g: (i, c) for p, g, i, c in dims.GLOBAL_SOURCES if p in on}
         if names:
             glob = self.reads.where(F.col("path").isin(*names))
-            out = out.unionByName(glob.select("artifact_id", "node", "line", F.col("path").alias("tid"), F.create_map(*[F.lit(x) for g, (i, c) in names.items() for x in (g, c)])[F.col("path")].alias("confidence")))
+            out = out.unionByName(glob.select("artifact_id", "node", "line", F.col("path").alias("tid"), F.create_map(*[F.lit(x) for g, (i, c) in names.items() for x in (g, c)])[F.col("path")].alias("confidence"), F.lit("").alias("channel")))
         if any(p in self.profiles for p, *_ in dims.ENTRY_POINTS):
             fns = entry_points(self.functions.where("name <> ''").select("artifact_id", "fn", "file", "line", F.element_at(F.split("name", "[.:]"), -1).alias("name")), self.profiles).where("entry is not null")
             formal = fns.join(self.formals.select("artifact_id", "fn", "pos", "node"), ["artifact_id", "fn"]).where(F.array_contains("arg", 0) | F.array_contains("arg", F.col("pos")))
-            out = out.unionByName(formal.select("artifact_id", "node", "line", F.col("entry").alias("tid"), "confidence"))
-        return out.select(gid("node").alias("node"), "tid", F.col("line").alias("src_line"), "confidence", F.lit(False).alias("quoted"), F.lit("").alias("ctx"))
+            out = out.unionByName(formal.select("artifact_id", "node", "line", F.col("entry").alias("tid"), "confidence", "channel"))
+        return out.select(gid("node").alias("node"), "tid", F.col("line").alias("src_line"), "confidence", F.lit(False).alias("quoted"), F.lit("").alias("ctx"), F.col("artifact_id").cast("string").alias("origin"), "channel")
 
     def flow_edges(self) -> DataFrame:
         """``src, dst, label, site`` with labels copy, quote, bind and ret; made once."""
@@ -93,28 +101,56 @@ class Scan:
         return plain.unionByName(passed).unionByName(self.bindings())
 
     def sites(self) -> DataFrame:
-        """Calls of functions of the same file, or of a module's exports that one file alone provides."""
-        own = self.calls.where("target is not null").select("artifact_id", F.col("node").alias("call"), F.col("artifact_id").alias("to"), F.col("target").alias("fn"))
-        exports = self.functions.where("exported is not null").select(F.col("artifact_id").alias("to"), "file", "fn", F.col("exported").alias("member"))
-        offered = exports.select("to", "fn", F.explode(S.module_candidates(F.col("file"))).alias("m"), "member").select("to", "fn", F.concat_ws(".", "m", "member").alias("path"))
-        unique = offered.groupBy("path").agg(F.count("*").alias("n"), F.first("to").alias("to"), F.first("fn").alias("fn")).where("n = 1").drop("n")
-        far = self.calls.where("target is null and path like '%.%'").select("artifact_id", F.col("node").alias("call"), "path").join(unique, "path")
-        return own.unionByName(far.select("artifact_id", "call", "to", "fn"))
+        """``artifact_id, call, to, fn, shift`` of calls whose function is known.
+
+        A function is known in its own file, as a module's export that one file
+        alone provides, as a global that one file alone defines, or as a target
+        of a literal table that a computed key picks from.  Of calls into other
+        files a file makes MAX_SITES at most; files with more than MAX_FUNCTIONS
+        functions bind none (B15).
+        """
+        if not hasattr(self, "_sites"):
+            own = self.calls.where("target is not null").select("artifact_id", F.col("node").alias("call"), F.col("artifact_id").alias("to"), F.col("target").alias("fn"), "shift")
+            routed = self.routes.where("fn is not null").select("artifact_id", "call", F.col("artifact_id").alias("to"), "fn", F.lit(0).alias("shift"))
+            exports = self.functions.where("exported is not null").select(F.col("artifact_id").alias("to"), "file", "fn", F.col("exported").alias("member"))
+            offered = exports.select("to", "fn", F.explode(S.module_candidates(F.col("file"))).alias("m"), "member").select("to", "fn", F.concat_ws(".", "m", "member").alias("path"))
+            only = lambda df: df.groupBy("path").agg(F.count("*").alias("n"), F.first("to").alias("to"), F.first("fn").alias("fn")).where("n = 1").drop("n")
+            unique = only(self.functions.where("global is not null").select(F.col("artifact_id").alias("to"), "fn", F.col("global").alias("path")))
+            calls = self.calls.where("target is null").select("artifact_id", F.col("node").alias("call"), "path")
+            named = self.routes.where("fn is null").select("artifact_id", "call", F.col("name").alias("path"))
+            far = calls.where("path like '%.%'").join(only(offered), "path").unionByName(calls.join(unique, "path")).unionByName(named.join(unique, "path"))
+            far = far.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")).distinct()
+            nth = Window.partitionBy("artifact_id").orderBy("call", "to", "fn")  # the calls of one file
+            far = far.withColumn("nth", F.row_number().over(nth))
+            self._cut_sites = far.where(F.col("nth") > MAX_SITES)
+            large = self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id")
+            found = own.unionByName(routed).unionByName(far.where(F.col("nth") <= MAX_SITES).drop("nth"))
+            self._sites = stored(found.join(large, "artifact_id", "left_anti"), "sites")
+        return self._sites
 
     def bindings(self) -> DataFrame:
-        """Arguments to formals, the rest to the vararg, returns back to their site."""
+        """Arguments to formals, the rest to the vararg, returns back to their site; a method's first formal is its object."""
         there = lambda n: F.concat(F.col("to").cast("string"), F.lit(":"), F.col(n).cast("string"))
-        sites = self.sites().select("artifact_id", "call", "to", "fn", gid("call").alias("site"))
+        sites = self.sites().select("artifact_id", "call", "to", "fn", "shift", gid("call").alias("site"))
         formals = self.formals.select(F.col("artifact_id").alias("to"), "fn", F.col("pos").alias("fpos"), F.col("node").alias("fnode"))
         n_named = formals.groupBy("to", "fn").agg(F.max("fpos").alias("named"))
         given = sites.join(self.args.select("artifact_id", "call", "pos", "node"), ["artifact_id", "call"]).join(n_named, ["to", "fn"])
-        slot = F.when(F.col("pos") <= F.col("named"), F.col("pos")).otherwise(-1)
-        bound = given.withColumn("fpos", slot).join(formals, ["to", "fn", "fpos"])
+        at = F.col("pos") + F.col("shift")
+        bound = given.withColumn("fpos", F.when(at <= F.col("named"), at).otherwise(-1)).join(formals, ["to", "fn", "fpos"])
         bind = bound.select(gid("node").alias("src"), there("fnode").alias("dst"), F.lit("bind").alias("label"), "site")
         rets = self.functions.select(F.col("artifact_id").alias("to"), "fn", "ret")
         ret = sites.join(rets, ["to", "fn"]).select(there("ret").alias("src"), F.col("site").alias("dst"), F.lit("ret").alias("label"), "site")
         return bind.unionByName(ret)
 
+    def chains(self, most: int = 16) -> DataFrame:
+        """``artifact_id, chain``: the files from each file back to where its calls come from, first caller first, without cycles."""
+        callers = self.sites().where("to <> artifact_id").groupBy("to").agg(F.min("artifact_id").alias("by"))
+        return walk_back(callers, most).withColumnRenamed("to", "artifact_id")
+
+    def lines_by_function(self) -> DataFrame:
+        """``artifact_id, fn, lines`` of the calls that each function itself makes."""
+        return self.calls.groupBy("artifact_id", "fn").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
     def taint(self) -> DataFrame:
         """The closure of the seeds; ``node`` and LABELS."""
         if not hasattr(self, "_taint"):
@@ -125,7 +161,8 @@ class Scan:
                 return m.withColumn("ctx", F.when(F.col("label") == "bind", F.col("site")).when(F.col("label") == "ret", F.lit("")).otherwise(F.col("ctx")))
 
             known, self.hit_bound = semi_naive(self.seeds(), self.flow_edges(), [], LABELS, move, max_rounds=160, edges_stored=True)
-            self._taint = stored(known.groupBy("node", "tid", "quoted").agg(F.min("src_line").alias("src_line"), F.min_by("confidence", "src_line").alias("confidence")), "taint")
+            first = F.min(F.struct("src_line", "origin", "ctx", "confidence", "channel")).alias("f")
+            self._taint = stored(known.groupBy("node", "tid", "quoted").agg(first).select("node", "tid", "quoted", "f.*"), "taint")
         return self._taint
 
     # ---- I: sinks
@@ -138,21 +175,57 @@ class Scan:
         target = best_match(self.binds.select("artifact_id", "file", F.col("node").alias("call"), F.regexp_replace("name", r"\.[^.]*$", "").alias("path"), F.lit(-1).alias("fn"), "line", "col", F.lit(1).alias("pos"), "node", "is_const"), dim.where("kind = 'assign'"), "path", ["pattern", "code", "kind", "filters"])
         return out.unionByName(target.select(*out.columns))
 
+    def validated(self) -> DataFrame:
+        """``origin, tid, src_line, guard`` of sources that a validator was asked about."""
+        names = [p for pr, p in dims.VALIDATORS if pr in self.profiles]
+        asked = self.calls.where(F.col("path").isin(*names) if names else F.lit(False)).select("artifact_id", F.col("node").alias("call"), "path")
+        nodes = asked.join(self.args, ["artifact_id", "call"]).select(gid("node").alias("node"), "path")
+        return nodes.join(self.taint(), "node").groupBy("origin", "tid", "src_line").agg(F.min("path").alias("guard"))
+
+    def proven(self) -> DataFrame:
+        """The arguments of sinks that a source reaches, with the first source, its channels and its guard."""
+        if not hasattr(self, "_proven"):
+            args = self.sink_args().where("kind not in ('config', 'expose')").withColumn("g", gid("node"))
+            hit = args.join(self.taint().withColumnRenamed("node", "g"), "g").join(self.validated(), ["origin", "tid", "src_line"], "left")
+            first = F.min(F.struct("src_line", "tid", "confidence", "origin", "ctx")).alias("s")
+            channels = F.array_sort(F.collect_set(F.when(F.col("channel") != "", F.col("channel")))).alias("channels")
+            self._proven = stored(hit.groupBy(*args.columns).agg(F.bool_and("quoted").alias("all_q"), F.bool_or("quoted").alias("any_q"), first, channels, F.min("guard").alias("guard")), "proven")
+        return self._proven
+
     def sinks(self) -> DataFrame:
-        """Proven flows, else non-constant arguments at low confidence."""
-        args = self.sink_args().withColumn("g", gid("node"))
-        hit = args.join(self.taint().withColumnRenamed("node", "g"), "g")
-        proven = hit.groupBy(*args.columns).agg(F.bool_and("quoted").alias("all_q"), F.bool_or("quoted").alias("any_q"), F.min(F.struct("src_line", "tid", "confidence")).alias("s"))
+        """Proven flows, else non-constant arguments at low confidence, and exposing calls."""
+        args, proven = self.sink_args().withColumn("g", gid("node")), self.proven()
         execish = F.col("kind") == "exec"
-        steps = F.when(execish & F.col("all_q"), 1).otherwise(0) + F.when(execish & (F.col("filters") != "") & (F.col("pos") == 1), 1).otherwise(0)
+        one = lambda c: F.when(c, 1).otherwise(0)
+        steps = one(execish & F.col("all_q")) + one(execish & (F.col("filters") != "") & (F.col("pos") == 1)) + one(F.col("guard").isNotNull())
         lowered = F.when(S.confidence_rank(F.col("s.confidence")) - steps < 1, F.col("s.confidence")).otherwise(S.confidence_down(F.col("s.confidence"), steps))
-        code = F.when(F.col("kind") == "dyncode", "710").when(F.col("kind").isin("header", "assign", "subrequest"), F.col("code")).otherwise("709")
-        base = lambda df, code, conf, src: df.select("artifact_id", "file", code.alias("code"), F.col("path").alias("name"), "line", F.col("col").alias("column"), conf.alias("confidence"), src.alias("source"))
-        flows = base(proven, code, lowered, F.col("s.tid"))
-        mixed = base(proven.where(execish & F.col("any_q") & ~F.col("all_q")), F.lit("712"), F.col("s.confidence"), F.col("s.tid"))
-        open_ = args.where("not is_const").join(proven.select("artifact_id", "call").distinct(), ["artifact_id", "call"], "left_anti")
-        shape = base(open_.where(~F.col("kind").isin("header", "assign", "subrequest")), F.col("code"), F.lit("low"), F.lit(""))
-        return flows.unionByName(mixed).unionByName(shape).distinct()
+        code = F.when(F.col("kind") == "dyncode", "710").when(F.col("kind").isin(*TAINT_ONLY), F.col("code")).otherwise("709")
+        place = ["artifact_id", "file", F.col("path").alias("name"), "line", F.col("col").alias("column")]
+        flow = lambda df, code, conf: df.select(*place, code.alias("code"), conf.alias("confidence"), F.col("s.tid").alias("source"), F.col("s.src_line").alias("src_line"), F.col("s.origin").alias("origin"), F.col("s.ctx").alias("ctx"), "channels", "guard")
+        flows = flow(proven, code, lowered)
+        mixed = flow(proven.where(execish & F.col("any_q") & ~F.col("all_q")), F.lit("712"), F.col("s.confidence"))
+        open_ = args.where("not is_const").where(~F.col("kind").isin(*TAINT_ONLY, "config", "expose")).join(proven.select("artifact_id", "call").distinct(), ["artifact_id", "call"], "left_anti")
+        shape = self._out(open_, F.col("code"), F.col("path"), F.lit("low"))
+        return flows.unionByName(mixed).unionByName(shape.unionByName(self.exposing()), allowMissingColumns=True).distinct()
+
+    def matched(self, kind: str) -> DataFrame:
+        dim = dims.sinks(self.spark, self.profiles, self.extra).where(F.col("kind") == kind)
+        return best_match(self.calls, dim, "path", ["code", "arg"])
+
+    def exposing(self) -> DataFrame:
+        """Calls that expose a whole tree of handlers are findings by themselves."""
+        return self._out(self.matched("expose"), F.col("code"), F.col("path"), F.lit(None).cast("string"))
+
+    def config_writes(self) -> DataFrame:
+        """Writes into the configuration by name with a value the source does not state.
+
+        The value is the declared argument; where the call has fewer, its last.
+        """
+        arg = F.array_sort(F.collect_list(F.struct("pos", "is_const"))).alias("given")
+        calls = self.matched("config").join(self.args.groupBy("artifact_id", F.col("call").alias("node")).agg(arg), ["artifact_id", "node"])
+        open_at = lambda i: F.exists("given", lambda a: (a["pos"] == i) & ~a["is_const"])
+        value = F.exists("arg", open_at) | (F.exists("arg", lambda i: i > F.col("n_args")) & open_at(F.col("n_args")))
+        return self._out(calls.where(value), F.col("code"), F.col("path"), F.lit(None).cast("string"))
 
     def shapes(self) -> DataFrame:
         """705 and 706 with a computed argument, 707 always (E-27)."""
@@ -168,7 +241,7 @@ class Scan:
         fns = self.functions.where("exported is not null").select("artifact_id", "fn")
         fed = self.calls.where("target is not null").select("artifact_id", F.col("target").alias("fn")).distinct()
         unfed = fns.join(fed, ["artifact_id", "fn"], "left_anti")
-        args = self.sink_args().where(~F.col("kind").isin("header", "assign", "subrequest", "expose")).where("not is_const").join(unfed, ["artifact_id", "fn"], "left_semi").withColumn("g", gid("node"))
+        args = self.sink_args().where(~F.col("kind").isin(*TAINT_ONLY, "config", "expose")).where("not is_const").join(unfed, ["artifact_id", "fn"], "left_semi").withColumn("g", gid("node"))
         seeds = self.formals.join(unfed, ["artifact_id", "fn"], "left_semi").select(gid("node").alias("node"))
         copies = self.flow_edges().where("label in ('copy', 'quote')").select("src", "dst").distinct()
         reached = semi_naive(seeds, copies, [])[0].withColumnRenamed("node", "g")
@@ -201,21 +274,23 @@ class Scan:
         return flash.unionByName(reads).unionByName(gone).unionByName(persist)
 
     def behaviour(self) -> DataFrame:
-        """Backticks, environments, growth, patterns, hooks."""
-        back = self._out(self.spots.where("kind = 'backtick'"), F.lit("711"), F.col("name"), F.lit("high"))
-        grow = self._out(self.spots.where("kind = 'growth'"), F.lit("727"), F.col("name"), F.lit("medium"))
-        env = self._out(self.calls.where(F.col("path") == "setfenv"), F.lit("725"), F.col("path"), F.lit("medium"))
-        rebound = self._out(self.binds.where(F.col("name").isin("_G", "_ENV", "package.loaded", "package.path", "package.cpath")), F.lit("725"), F.col("name"), F.lit("medium"))
+        """Backticks, environments, growth, patterns, hooks and evasion."""
+        codes = {"backtick": "711", "growth": "727", "environment": "725", "evasion": "745"}
+        spots = self.spots.where(F.col("kind").isin(*codes)).withColumn("code", F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("kind")])
+        out = self._out(spots, F.col("code"), F.col("name"), F.col("confidence"))
+        tainted = self.taint().groupBy(F.col("node").alias("g")).agg(F.min("tid").alias("tid"))
+        at = self.args.select("artifact_id", F.col("call").alias("node"), "pos", F.col("node").alias("argn"), "is_const")
         pos = F.create_map(*[F.lit(x) for kv in PATTERN_APIS.items() for x in kv])
-        asked = self.calls.where(F.col("path").isin(*PATTERN_APIS)).withColumn("pos", pos[F.col("path")]).join(self.args.select("artifact_id", F.col("call").alias("node"), "pos", F.col("node").alias("argn"), "is_const"), ["artifact_id", "node", "pos"]).where("not is_const")
-        tainted = asked.withColumn("g", gid("argn")).join(self.taint().groupBy(F.col("node").alias("g")).agg(F.min("tid").alias("tid")), "g", "left")
-        pattern = self._out(tainted, F.lit("728"), F.col("path"), F.when(F.col("tid").isNotNull(), "high").otherwise("low"), F.coalesce("tid", F.lit("")))
-        hooks = self._first_args().where(F.col("path") == "debug.sethook")
-        hook = self._out(hooks, F.lit("745"), F.col("path"), F.when(F.coalesce("value2", F.lit("")).rlike("[lcr]"), "high").otherwise("medium"))
-        out = back
-        for part in (grow, env, rebound, pattern, hook):
-            out = out.unionByName(part)
-        return out
+        plain = self.args.where("pos = 4 and tag = 'True'").select("artifact_id", F.col("call").alias("node"))
+        searches = self.calls.where(F.col("path").isin(*PATTERN_APIS)).withColumn("pos", pos[F.col("path")]).join(at, ["artifact_id", "node", "pos"]).where("not is_const")
+        finds = searches.where("path = 'string.find'").join(plain, ["artifact_id", "node"], "left_anti").unionByName(searches.where("path <> 'string.find'"))
+        asked = finds.withColumn("g", gid("argn")).join(tainted, "g", "left")
+        out = out.unionByName(self._out(asked, F.lit("728"), F.col("path"), F.when(F.col("tid").isNotNull(), "high").otherwise("medium"), F.coalesce("tid", F.lit(""))))
+        counts = self.calls.where("path = 'string.rep'").withColumn("pos", F.lit(2)).join(at, ["artifact_id", "node", "pos"]).where("not is_const").withColumn("g", gid("argn")).join(tainted, "g")
+        out = out.unionByName(self._out(counts, F.lit("727"), F.col("path"), F.lit("medium"), F.col("tid")))
+        hooks = self._first_args().where((S.last_segment(F.coalesce("path", F.lit(""))) == "sethook") & F.lower(F.element_at(F.split("path", r"\."), -2)).contains("debug") & F.col("is_const2").isNotNull())
+        seen = F.when(~F.col("is_const2"), "low").when(F.coalesce("value2", F.lit("")).rlike("[lcr]"), "high")
+        return out.unionByName(self._out(hooks.withColumn("seen", seen).where("seen is not null"), F.lit("745"), F.lit("debug.sethook"), F.col("seen")))
 
     def payloads(self) -> DataFrame:
         """Decoders into loaders and commands, machine code in strings."""
@@ -252,11 +327,25 @@ class Scan:
         return self._out(agg.where("c and r and s").select("artifact_id", "file", "p.line", "p.col"), F.lit("748"), F.lit("connect"), F.lit("medium"))
 
     def handlers(self) -> DataFrame:
-        """Functions with a command sink that are registered as handlers by table or call."""
-        sink = self.sink_args().where("kind = 'exec'").groupBy("artifact_id", "fn").agg(F.min(F.struct("line", "col", "path")).alias("p"), F.bool_and("is_const").alias("literal"))
-        passed = self.args.select("artifact_id", "call", F.col("node").alias("fn")).join(self.calls.where(S.last_segment(F.coalesce("method", "path", F.lit(""))).isin("add", "call", "register", "publish", "on", "handle")).select("artifact_id", "file", F.col("node").alias("call")), ["artifact_id", "call"])
-        hit = passed.join(sink, ["artifact_id", "fn"])
-        return self._out(hit.select("artifact_id", "file", "p.line", "p.col", "p.path", "literal"), F.lit("724"), F.col("path"), F.when(F.col("literal"), "low").otherwise("high"))
+        """Registered functions that hold an execution sink without a proven flow, one finding a registration.
+
+        A sink with a computed argument comes before a foreign-function escape,
+        and that before a command all of whose arguments are fixed, which is an
+        exposure and no injection.
+        """
+        dim = dims.sinks(self.spark, self.profiles, self.extra).where("kind in ('exec', 'dyncode')")
+        shapes = [p for p, c in dims.SHAPES if c == "707"]
+        fixed = self.args.groupBy("artifact_id", F.col("call").alias("node")).agg(F.bool_and("is_const").alias("fixed"))
+        told = self.proven().where("kind in ('exec', 'dyncode')").select("artifact_id", F.col("call").alias("node")).distinct()
+        sinks = best_match(self.calls, dim, "path", ["kind"]).join(fixed, ["artifact_id", "node"], "left").withColumn("rank", F.when(F.coalesce("fixed", F.lit(False)), 2).otherwise(0))
+        escapes = self.calls.where(F.coalesce(F.col("path"), F.lit("")).rlike("|".join(S.glob_regex(p) for p in shapes))).withColumn("rank", F.lit(1))
+        keep = ["artifact_id", "node", "fn", "line", "col", "path", "rank"]
+        every = sinks.select(*keep).unionByName(escapes.select(*keep)).join(told, ["artifact_id", "node"], "left_anti")
+        first = every.groupBy("artifact_id", "fn").agg(F.min(F.struct("rank", "line", "col", "path")).alias("p"))
+        names = self.functions.select("artifact_id", "fn", F.col("name").alias("given"))
+        hit = self.registered.join(first, ["artifact_id", "fn"]).join(names, ["artifact_id", "fn"])
+        name = F.when(F.col("given") != "", F.regexp_extract("given", r"([^.:]*)$", 1)).otherwise(F.col("key"))
+        return self._out(hit, F.lit("724"), name, F.when(F.col("p.rank") == 2, "low"), F.col("p.path"))
 
     def signatures(self, pack: list = dims.SIGNATURES) -> DataFrame:
         """J23, E-23: once per file and signature, literals before names and comments."""
@@ -305,16 +394,39 @@ class Scan:
         at = self.facts.select("artifact_id", F.col("path").alias("file"), "status", "message", "line", F.lit(1).alias("col"), "node_count")
         bad = self._out(at.where("status = 'unparsed'"), F.lit("901"), F.col("message"), F.lit("medium"))
         big = self._out(at.where("status = 'degraded'"), F.lit("904"), F.col("node_count").cast("string"), F.lit("certain"))
+        many = self.functions.groupBy("artifact_id", "file").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("*", F.lit(1).alias("line"), F.lit(1).alias("col"))
+        big = big.unionByName(self._out(many, F.lit("904"), F.concat(F.col("n").cast("string"), F.lit(" functions")), F.lit("certain")))
         unread = directives(self.facts).where("action = 'unreadable'").withColumn("col", F.lit(1))
         return bad.unionByName(big).unionByName(self._out(unread, F.lit("012"), F.lit("directive"), F.lit("medium")))
 
     def raw_findings(self) -> DataFrame:
         """All detectors together."""
         out = self.sinks()
-        for part in (self.shapes, self.exposed, self.files, self.behaviour, self.payloads, self.secrets, self.brute_force, self.handlers, self.signatures, self.capabilities, self.store_hops, self.gaps):
-            out = out.unionByName(part())
+        for part in (self.shapes, self.exposed, self.config_writes, self.files, self.behaviour, self.payloads, self.secrets, self.brute_force, self.handlers, self.signatures, self.capabilities, self.store_hops, self.gaps):
+            out = out.unionByName(part(), allowMissingColumns=True)
         return out
 
+    def diagnostics(self) -> DataFrame:
+        """``counter, n`` of the scan; a bound that was hit is a row above zero."""
+        self.taint()
+        count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+        crossing = self.sites().where("to <> artifact_id")
+        parts = [("artifacts", self.facts), ("unparsed", self.facts.where("status = 'unparsed'")), ("degraded", self.facts.where("status = 'degraded'")), ("calls", self.calls), ("sites", self.sites()), ("crossing_sites", crossing), ("cut_sites", self._cut_sites), ("taint_facts", self.taint())]
+        out = self.spark.createDataFrame([("fixpoint_bound", int(self.hit_bound))], "counter string, n long")
+        for name, df in parts:
+            out = out.unionByName(count(df, name))
+        return out
+
+    def traced(self, found: DataFrame) -> DataFrame:
+        """Proven flows with the file of their source, and ``trace``: source, the call it came in by, sink."""
+        names = self.facts.select(F.col("artifact_id").cast("string").alias("_a"), F.col("path").alias("_file"))
+        sites = self.calls.select(gid("node").alias("_s"), F.col("line").alias("_line"), F.coalesce("path", "method").alias("_path"), F.col("file").alias("_by"))
+        out = found.join(names, F.col("origin") == F.col("_a"), "left").join(sites, F.col("ctx") == F.col("_s"), "left")
+        step = lambda kind, line, name, file: F.struct(F.lit(kind).alias("kind"), line.alias("line"), name.alias("name"), file.alias("file"))
+        steps = F.array(step("source", F.col("src_line"), F.col("source"), F.col("_file")), F.when(F.col("_s").isNotNull(), step("call", F.col("_line"), F.col("_path"), F.col("_by"))), step("sink", F.col("line"), F.col("name"), F.col("file")))
+        trace = F.when(F.col("origin").isNotNull(), F.array_compact(steps))
+        return out.withColumn("trace", trace).withColumn("origin", F.when(F.col("origin").isNotNull(), F.coalesce("_file", F.lit("")))).drop("_a", "_file", "_s", "_line", "_path", "_by", "src_line", "ctx")
+
     def findings(self) -> DataFrame:
         """The report: coverage, store pairing, directives, catalogue, normal form (section 3 order)."""
         raw = stored(self.raw_findings(), "raw")
@@ -323,7 +435,12 @@ class Scan:
         kept = shaped.where("code not in ('701', '702')").unionByName(shaped.where("code in ('701', '702')").join(hop, ["file", "line", "column"], "left_anti"))
         flagged = apply_directives(kept, directives(self.facts).where("action <> 'unreadable'").select("file", "line", "action", "pattern", "push"))
         full = FI.with_catalogue(flagged.withColumn("end_column", F.col("column")).withColumn("status", F.lit(None).cast("string")))
-        return FI.normalise(full)
+        literal = (F.col("code") == "724") & (F.col("confidence") == "low")  # a fixed command is an exposure, not an injection
+        note = F.concat(F.when(literal, " - the command is a literal, so this is an exposure, not an injection").otherwise(""),
+            F.when(F.size("channels") > 0, F.concat(F.lit(" [reachable from: "), F.array_join("channels", ", "), F.lit("]"))).otherwise(""),
+            F.when(F.col("guard").isNotNull(), F.concat(F.lit(" (guarded by "), F.col("guard"), F.lit("; verify it rejects shell metacharacters)"))).otherwise(""))
+        full = full.withColumn("severity", F.when(literal, "medium").otherwise(F.col("severity"))).withColumn("message", F.concat(F.replace("message", F.lit("{note}"), F.lit("")), note))
+        return FI.normalise(self.traced(full.drop("channels", "guard")))
 
 
 def scan(artifacts: DataFrame, profiles: tuple[str, ...] = (), extra: dict | None = None) -> DataFrame:

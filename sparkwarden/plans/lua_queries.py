@@ -46,7 +46,7 @@ PROGRAMS: dict[str, list[tuple[str, list[tuple[str, int, str, str]]]]] = {
         ('local f = io.open("/etc/shadow")\n', [("723", 1, "medium", "/etc/shadow")]),
         ('os.remove("/usr/bin/x%d")\n', [("726", 1, "medium", "/usr/bin/x%d")]),
         ('setfenv(1, {})\nlocal v%d = 1\n', [("725", 1, "medium", "setfenv")]),
-        ('local s = ""\nwhile true do\n  s = s .. "x%d"\nend\n', [("727", 3, "medium", "..")]),
+        ('local s = ""\nwhile true do\n  s = s .. "x%d"\nend\n', [("727", 2, "medium", "While")]),
         ('local n = string.find("a%d", http.formvalue("p"))\n', [("728", 1, "high", "string.find")]),
         ('local f = io.open("/tmp/x%d", "w")\n', []),
     ],
@@ -59,6 +59,47 @@ PROGRAMS: dict[str, list[tuple[str, list[tuple[str, int, str, str]]]]] = {
         ('os.execute("echo x%d > /etc/rc.local")\n', [("749", 1, "high", "echo x%d > /etc/rc.local")]),
         ('local pool = "stratum+tcp://p%d"\n', [("750", 1, "certain", "miner-stratum-pool")]),
     ],
+    "config": [
+        ('local uci = require("luci.model.uci")\nlocal c = uci.cursor()\nc:set("system", "@system[0]", "host%d", luci.http.formvalue("h"))\n', [("722", 3, "certain", "uci:set")]),
+        ('local c = require("uci").cursor()\nlocal v = luci.http.formvalue("v%d")\nc:section("firewall", "rule", nil, {src = v})\nc:tset("firewall", "cfg1", {dest = v})\n', [("722", 3, "certain", "uci:section"), ("722", 4, "certain", "uci:tset")]),
+        ('local function open() return require("uci").cursor() end\nlocal c = open()\nc:set("a", "b", "c%d", luci.http.formvalue("x"))\n', [("722", 3, "certain", "uci:set")]),
+        ('local c = require("uci").cursor()\nc:set("system", "@system[0]", "hostname", "router%d")\nc:section("firewall", "rule", nil, {src = "lan"})\n', []),
+        ('local c = require("uci").cursor()\nlocal stamp = "t%d" .. tostring(os.time())\nc:set("system", "@system[0]", "note", stamp)\nc:section("firewall", "rule", nil, {name = stamp})\n', []),
+        ('local db = open_database%d()\ndb:set("a", "b", "c", luci.http.formvalue("x"))\n', []),
+        ('local c = require("uci").cursor()\nc:section("firewall", "rule%d", luci.http.formvalue("name"), {src = "lan"})\n', []),
+        ('uci.set("network", "lan", "opt%d", luci.http.formvalue("p"))\n', [("722", 1, "medium", "uci.set")]),
+        ('uci.set("network", "lan", value%d)\nuci.set("network", "lan", "proto", "static")\n', [("722", 1, "medium", "uci.set")]),
+        ('local self = {}\nself.uci = require("uci").cursor()\nself.uci:set("a", "b", "c%d", luci.http.formvalue("x"))\n', [("722", 3, "certain", "uci:set")]),
+    ],
+    "handlers": [
+        ('local ubus = require "ubus"\nlocal object = ubus.add("luci.x%d")\nlocal function doApply(self, data)\n  os.execute(data.command)\nend\nobject.doApply = doApply\nobject.ping = function(self, data)\n  io.popen(data.target)\nend\nreturn object\n', [("701", 4, "low", "os.execute"), ("702", 8, "low", "io.popen"), ("708", 8, "low", "io.popen"), ("724", 6, "medium", "doApply"), ("724", 7, "medium", "ping")]),
+        ('module("luci.controller.x%d", package.seeall)\nfunction index()\n  entry({"admin", "x"}, call("action_run"), nil, 1)\n  entry({"admin", "y"}, call("action_status"), nil, 3)\nend\nfunction action_run()\n  os.execute("/etc/init.d/x restart")\nend\nfunction action_status()\n  return {a = 1}\nend\n', [("724", 3, "low", "action_run")]),
+        ('local function call(name) return name end\nfunction action_run%d()\n  os.execute("x")\nend\nentry({"admin"}, call("action_run%d"))\n', []),
+        ('m = Map("example%d", translate("Example"))\nm.on_after_commit = function()\n  os.execute("/etc/init.d/x restart")\nend\nm.read = function(self)\n  os.execute("/bin/true")\nend\nreturn m\n', [("724", 2, "low", "on_after_commit")]),
+        ('local M = {}\nfunction M.helper%d()\n  os.execute("ls")\nend\nreturn M\n', []),
+        ('local dsp = require "luci.dispatcher"\ndsp.entry({"a%d"}, dsp.call("action_run"), nil, 1)\nfunction action_run()\n  os.execute(luci.http.formvalue("cmd"))\nend\n', [("709", 4, "certain", "os.execute")]),
+        ('ubus.add("x%d", {reboot = function() os.execute("reboot") end})\n', [("724", 1, "low", "reboot")]),
+    ],
+    "watchdog": [
+        ('while true do end\nlocal v%d = 1\n', [("745", 1, "medium", "infinite loop")]),
+        ('pcall(os.execute("rm x%d"))\n', [("745", 1, "high", "pcall(os.execute)")]),
+        ('local function go()\n  local f = load("x%d")\n  os.exit(0)\nend\n', [("745", 3, "high", "os.exit")]),
+        ('local function go()\n  local f = load("x%d")\n  if not f then os.exit(2) end\nend\n', []),
+        ('debug.sethook(f%d)\ndebug.sethook(f%d, "")\ndebug.sethook(f%d, mask%d)\n', [("745", 3, "low", "debug.sethook")]),
+        ('debug.setmetatable(_G, {})\nlocal v%d = 1\n', [("725", 1, "medium", "debug.setmetatable")]),
+        ('setfenv(form%d, getfenv(1))\nsetfenv(chunk, {io = io})\n', [("725", 2, "medium", "setfenv")]),
+        ('package.cpath[1] = "x%d"\n_G.own = 1\npackage.loaded["m"] = 1\n_G = {}\n', [("725", 1, "medium", "package.cpath"), ("725", 4, "medium", "_G")]),
+        ('local s = string.rep("x%d", http.formvalue("n"))\nlocal t = string.rep("y", n)\n', [("727", 1, "medium", "string.rep")]),
+        ('local a = string.find(s%d, p, 1, true)\nlocal b = string.find(s%d, p)\n', [("728", 2, "medium", "string.find")]),
+        ('local s = ""\nfor i = 1, 10 do s = s .. "x%d" end\nwhile #s < 9 do s = s .. "y" end\nwhile go() do s = s .. "y" if s then break end end\nfor k in next_one() do s = s .. k end\n', [("727", 5, "medium", "Forin")]),
+        ('local s = "a%d"\nfor i = 1, 30 do s = s .. s end\n', [("727", 2, "medium", "Fornum")]),
+    ],
+    "calls": [
+        ('local M = {}\nfunction M:go(c)\n  os.execute(c)\nend\nM:go(http.formvalue("x%d"))\n', [("709", 3, "certain", "os.execute")]),
+        ('local function run(c)\n  os.execute(c)\nend\nlocal routes = {a%d = run, b = print}\nroutes[key](http.formvalue("x"))\n', [("709", 2, "certain", "os.execute")]),
+        ('local function run(c)\n  os.execute(c)\nend\nlocal routes = {a = {handler = run}}\nroutes[key].handler(http.formvalue("x%d"))\n', [("709", 2, "certain", "os.execute")]),
+        ('local function run(c)\n  os.execute(c)\nend\nlocal routes = {a = run}\nroutes[key]("fixed%d")\n', [("701", 2, "low", "os.execute")]),
+    ],
     "meta": [
         ('local = %d\n', [("901", 1, "medium", "name expected near '='")]),
         ('local x = 7 // %d\n', []),
@@ -105,6 +146,10 @@ _family("quote", ("luci",), "G08, I03, I04, E-28")
 _family("shape", ids="H04, I01, J01 to J03, E-27")
 _family("firmware", ids="D16, D17, F07, J06, J08, J10 to J13")
 _family("payload", ids="D24, D25, F11, J16, J18 to J23")
+_family("config", ("openwrt", "luci"), ids="F09, J07, I02")
+_family("handlers", ("openwrt", "luci"), ids="J09, J03")
+_family("watchdog", ids="J10, J12, J13, J18")
+_family("calls", ids="H01, H10")
 _family("meta", ids="C09, C10, J05, J25, K03")
 
 

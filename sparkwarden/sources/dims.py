@@ -97,6 +97,8 @@ SINKS = [
     ("openwrt", "posix.execp", "701", "exec", [1, 2, 3], ""), ("openwrt", "posix.unistd.exec", "701", "exec", [1, 2], ""), ("openwrt", "posix.unistd.execp", "701", "exec", [1, 2], ""),
     ("openwrt", "posix.execx", "701", "exec", [1], ""), ("openwrt", "posix.spawn", "701", "exec", [1], ""), ("openwrt", "posix.popen", "701", "exec", [1], ""), ("openwrt", "posix.popen_pipeline", "701", "exec", [1], ""),
     ("openwrt", "luci.sys.call", "701", "exec", [1], ""), ("openwrt", "uci.set", "722", "config", [4], ""), ("openwrt", "uci.add", "722", "config", [4], ""), ("openwrt", "uci.sets", "722", "config", [2], ""),
+    ("openwrt", "uci:set", "722", "cursor", [3, 4], ""), ("openwrt", "uci:add_list", "722", "cursor", [4], ""), ("openwrt", "uci:set_list", "722", "cursor", [4], ""), ("openwrt", "uci:setlist", "722", "cursor", [4], ""),
+    ("openwrt", "uci:section", "722", "cursor", [4], ""), ("openwrt", "uci:tset", "722", "cursor", [3], ""), ("openwrt", "uci:add", "722", "cursor", [3], ""),
     ("openresty", "ngx.exec", "701", "exec", [1], ""), ("openresty", "ngx.pty.spawn", "701", "exec", [1], ""), ("openresty", "ngx.resp.set_header", "730", "header", [2], ""), ("openresty", "ngx.req.set_header", "730", "header", [2], ""),
     ("openresty", "ngx.req.set_uri", "730", "header", [1], ""), ("openresty", "ngx.req.set_uri_args", "730", "header", [1], ""), ("openresty", "ngx.redirect", "730", "header", [1], ""),
     ("openresty", "ngx.location.capture", "731", "subrequest", [2], ""), ("openresty", "ngx.header", "730", "assign", [1], ""),
@@ -115,6 +117,7 @@ PROPAGATORS = [
     ("openwrt", "luci.util.pcdata", [1]), ("openwrt", "luci.sys.uniqueid", []), ("openwrt", "jsonc.parse", [1]), ("openwrt", "json.decode", [1]), ("openwrt", "cjson.decode", [1]), ("openwrt", "nixio.fs.readfile", [1]),
     ("openresty", "ngx.re.gsub", [1]), ("openresty", "ngx.decode_args", [1]),
 ]
+# Sanitizers and validators (fixed values): profile, kind, pattern; profile, pattern.
 SANITIZERS = [("luci", "shell", "luci.util.shellquote"), ("openwrt", "shell", "luci.util.shellquote")]
 # Entry points (fixed values): profile, function pattern, file pattern, argument numbers (0: all), confidence, channel.
 ENTRY_POINTS = [

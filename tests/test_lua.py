@@ -45,7 +45,7 @@ def test_precedence():
     assert show(e) == "((((1+(2*(3^(4^5))))..(a..b))==6)and7)or(not 8))".replace("((((1", "(((((1", 1)
 
 
-@pytest.mark.parametrize("family,profiles", [("taint", ()), ("quote", ("luci",)), ("payload", ())])
+@pytest.mark.parametrize("family,profiles", [("taint", ()), ("quote", ("luci",)), ("payload", ()), ("firmware", ()), ("config", ("openwrt", "luci")), ("handlers", ("openwrt", "luci")), ("watchdog", ()), ("calls", ())])
 def test_programs(spark, family, profiles):
     bodies = [p.replace("%d", "7") for p, _ in PROGRAMS[family]]
     want = [sorted((c, line, conf) for c, line, conf, _ in found) for _, found in PROGRAMS[family]]

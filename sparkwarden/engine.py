@@ -48,7 +48,7 @@ class Engine:
         if "route" in artifacts.columns:
             sinks = [s[1] for s in dims.SINKS if "*" not in s[1]]
             chunks = A.triage(artifacts.where("route = 'triage'"), sinks)
-            lost = artifacts.where("route = 'unreadable'").select("artifact_id", "path", F.lit("901").alias("code"), F.lit("binary").alias("name"))
+            lost = artifacts.where("route = 'unreadable'").select("artifact_id", "path", F.lit("901").alias("code"), F.when(F.col("raw").isNull(), "unreadable").otherwise("binary").alias("name"))
             extra = chunks.unionByName(lost).select(F.col("path").alias("file"), "code", "name", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit(1).alias("end_column"), F.lit(None).cast("string").alias("confidence"), F.lit("").alias("source"), F.lit(None).cast("string").alias("status"))
             found = found.unionByName(FI.normalise(FI.with_catalogue(extra)), allowMissingColumns=True)
         return found.withColumn("fingerprint", FI.fingerprint(found))
@@ -75,11 +75,11 @@ class Engine:
         return dims.codes(self.spark)
 
     def render(self, findings: DataFrame, form: str) -> DataFrame:
-        """The report as a table of text; write it with any sink."""
+        """The report as ordered rows of text; written one after the other they are the document."""
         if form not in FORMATS:
             raise ValueError(f"format must be one of {', '.join(FORMATS)}")
         if form == "json":
-            return SU.envelope(findings.withColumn("_all", F.lit(1)), ["_all"]).select("json")
+            return SU.envelope(findings)
         return {"sarif": SU.sarif, "plain": lambda f: SU.plain_lines(FI.report_order(f)), "html": SU.html_rows}[form](findings)
 
 

@@ -43,3 +43,20 @@ def blob_shape(data: Column) -> Column:
         return pd.Series([shape_of(bytes(b)) if b is not None else "none" for b in s])
 
     return shape(data)
+
+
+def text_entropy(text: Column) -> Column:
+    """D02 for texts of any length: bits per character, 0 for none; each text is counted where it lies."""
+
+    @F.pandas_udf("double")
+    def counted(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> float | None:
+            if not isinstance(t, str):
+                return None
+            _, n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+            p = n / max(1, len(t))
+            return float(-(p * np.log2(p)).sum())
+
+        return pd.Series([one(t) for t in texts], dtype="float64")
+
+    return counted(text)

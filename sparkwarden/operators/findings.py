@@ -10,6 +10,7 @@ from ..sources import dims
 
 ORDER = ("file", "line", "column", "code", "name", "message")
 DISTINCT_KEY = ("file", "code", "line", "column", "message", "source", "status")
+# How a credential is assigned in text (fixed value): its name, then its value.
 CREDENTIAL = r"(?i)\b(password|passwd|pwd|passphrase|secret|token|credential|psk|preshared|apikey|privkey)\s*[=:]\s*\"?([^\s\"#&$*%|]+)"
 
 
@@ -33,16 +34,32 @@ def signature_hits(docs: DataFrame, pack: list, key: str = "doc_id", text: str =
 
 
 def credential_hits(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``key, keep, position, line, column, name, value``: the first qualifying assignment of each text (J20, text form).
+    """``key, keep, position, line, column, name, value``: every qualifying assignment of each text (J20, text form).
 
     Value rejects of the ladder apply: paths, URLs, numbers, all-caps words and
-    placeholders are no credentials; four characters are the floor.
+    placeholders are no credentials; four characters are the floor.  Positions
+    add up the matches and the pieces between them.
     """
-    name, value = F.regexp_extract(text, CREDENTIAL, 1), F.regexp_extract(text, CREDENTIAL, 2)
-    some = docs.where(F.col(text).rlike(CREDENTIAL)).select(key, *keep, F.col(text).alias("_t"), name.alias("name"), value.alias("value"))
-    some = some.where((F.length("value") >= 4) & ~F.col("value").rlike(r"^/|://|^[0-9.]+$|^[A-Z_]+$|^<|\{|%[sd]"))
-    at = some.withColumn("position", F.instr(F.col("_t"), F.regexp_extract("_t", CREDENTIAL, 0)).cast("int"))
-    return at.select(key, *keep, "position", S.line_of(F.col("_t"), F.col("position")).alias("line"), S.column_of(F.col("_t"), F.col("position")).alias("column"), "name", "value")
+    t = F.col(text)
+    some = docs.where(t.rlike(CREDENTIAL)).select(key, *keep, t.alias("_t"), F.regexp_extract_all(t, F.lit(CREDENTIAL), F.lit(0)).alias("_m"), F.split(t, CREDENTIAL, -1).alias("_s"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<m:string,position:int>>").alias("out"))
+
+    def add(acc, x):
+        at = acc["at"] + F.length(x["s"])
+        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), at.alias("position")))).alias("out"))
+
+    pairs = F.zip_with(F.slice("_s", F.lit(1), F.size("_m")), "_m", lambda a, b: F.struct(a.alias("s"), b.alias("m")))
+    each = some.select(key, *keep, "_t", F.explode(F.aggregate(pairs, start, add)["out"]).alias("_x"))
+    each = each.select(key, *keep, "_t", F.col("_x.position").alias("position"), F.regexp_extract("_x.m", CREDENTIAL, 1).alias("name"), F.regexp_extract("_x.m", CREDENTIAL, 2).alias("value"))
+    each = each.where((F.length("value") >= 4) & ~F.col("value").rlike(r"^/|://|^[0-9.]+$|^[A-Z_]+$|^<|\{|%[sd]"))
+    return each.select(key, *keep, "position", S.line_of(F.col("_t"), F.col("position")).alias("line"), S.column_of(F.col("_t"), F.col("position")).alias("column"), "name", "value")
+
+
+def pem_verdict(text: Column) -> Column:
+    """A block with a body is a key, markers alone are silent, a bare body is told apart."""
+    body = r"[A-Za-z0-9+/]{20,}"
+    key = text.rlike(r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----\s+" + body)
+    return F.when(key, "key").when(text.contains("-----BEGIN"), "marker").when(text.rlike("^" + body + "=*$"), "body").otherwise("none")
 
 
 def redact(value: Column) -> Column:
@@ -89,6 +106,11 @@ def distinct(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
 
 
+def file_order(findings: DataFrame) -> DataFrame:
+    """Within each file by line, column and code."""
+    return findings.orderBy("file", "line", "column", "code")
+
+
 def report_order(findings: DataFrame) -> DataFrame:
     """No status first, then file, line, column, code, name, message."""
     return findings.orderBy(F.col("status").asc_nulls_first(), *ORDER)

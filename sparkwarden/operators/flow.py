@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 20
+#: Rounds after which the facts found so far become one table.
+COMPACT = 6
 
 
 def _shared(spark: SparkSession) -> str:
@@ -51,9 +54,9 @@ def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list
         new = moved.withColumn("node", F.col("dst")).select(*identity).distinct().join(known, identity, "left_anti")
         delta = stored(new, "facts")
         parts.append(delta)
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
+        if len(parts) > COMPACT:  # so that a round reads a few tables, however many came before
+            parts = [stored(functools.reduce(DataFrame.unionByName, parts), "known")]
+        known = functools.reduce(DataFrame.unionByName, parts)
         rounds += 1
     return known, False
 
@@ -93,3 +96,11 @@ def walk_back(callers: DataFrame, most: int = 16) -> DataFrame:
         if longer.where("grown").isEmpty():
             break
     return out
+
+
+def capped(rows: DataFrame, by: list[str], order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first rows of each group up to a bound, with ``overflow`` where there are more, and the groups beyond it."""
+    nth = Window.partitionBy(*by).orderBy(*order)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
+    kept = rows.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= most).drop("_nth").join(sizes, by).withColumn("overflow", F.col("_size") > most).drop("_size")
+    return kept, sizes.where(F.col("_size") > most).withColumnRenamed("_size", "n")

@@ -8,14 +8,14 @@ edges like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import dims
 from . import findings as FI
 from .detect import blob_shape
-from .flow import semi_naive, stored, walk_back
+from .flow import capped, semi_naive, stored, walk_back
 from .frontend import directives, facts, relation
 from .match import best_match, entry_points
 from .select import apply_directives, cover
@@ -120,11 +120,9 @@ class Scan:
             named = self.routes.where("fn is null").select("artifact_id", "call", F.col("name").alias("path"))
             far = calls.where("path like '%.%'").join(only(offered), "path").unionByName(calls.join(unique, "path")).unionByName(named.join(unique, "path"))
             far = far.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")).distinct()
-            nth = Window.partitionBy("artifact_id").orderBy("call", "to", "fn")  # the calls of one file
-            far = far.withColumn("nth", F.row_number().over(nth))
-            self._cut_sites = far.where(F.col("nth") > MAX_SITES)
+            far, self._cut_sites = capped(far, ["artifact_id"], ["call", "to", "fn"], MAX_SITES)  # the calls of one file
             large = self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id")
-            found = own.unionByName(routed).unionByName(far.where(F.col("nth") <= MAX_SITES).drop("nth"))
+            found = own.unionByName(routed).unionByName(far.drop("overflow"))
             self._sites = stored(found.join(large, "artifact_id", "left_anti"), "sites")
         return self._sites
 
@@ -316,7 +314,7 @@ class Scan:
         qualified = tiered.where(F.col("q") & ~reject & (F.length(v) >= 4))
         bare = tiered.where(~F.col("q") & F.col("bare") & ~reject & (F.length(v) >= 12) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
         conf = F.when(S.is_test_path(F.col("file")) | v.rlike(r"(?i)^(?:anonymous|anon|ftp|guest|nobody)@"), "low").otherwise("high")
-        pem = self.strings.where(F.col("value").rlike(r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----\s+[A-Za-z0-9+/]{20,}"))
+        pem = self.strings.where(FI.pem_verdict(F.col("value")) == "key")
         return self._out(qualified, F.lit("747"), F.col("name"), conf).unionByName(self._out(bare, F.lit("747"), F.col("name"), F.lit("low"))).unionByName(self._out(pem, F.lit("747"), F.lit("PEM private key"), F.lit("high")))
 
     def brute_force(self) -> DataFrame:
@@ -411,7 +409,7 @@ class Scan:
         self.taint()
         count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
         crossing = self.sites().where("to <> artifact_id")
-        parts = [("artifacts", self.facts), ("unparsed", self.facts.where("status = 'unparsed'")), ("degraded", self.facts.where("status = 'degraded'")), ("calls", self.calls), ("sites", self.sites()), ("crossing_sites", crossing), ("cut_sites", self._cut_sites), ("taint_facts", self.taint())]
+        parts = [("artifacts", self.facts), ("unparsed", self.facts.where("status = 'unparsed'")), ("degraded", self.facts.where("status = 'degraded'")), ("calls", self.calls), ("sites", self.sites()), ("crossing_sites", crossing), ("files_with_cut_sites", self._cut_sites), ("taint_facts", self.taint())]
         out = self.spark.createDataFrame([("fixpoint_bound", int(self.hit_bound))], "counter string, n long")
         for name, df in parts:
             out = out.unionByName(count(df, name))

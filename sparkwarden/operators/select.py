@@ -12,11 +12,11 @@ SHAPE_ONLY = ("701", "702", "703", "704")
 COVERING = ("709", "710", "743")
 
 
-def cover(findings: DataFrame) -> DataFrame:
-    """Shape-only findings go where a proven flow has the same place."""
-    proven = findings.where(F.col("code").isin(*COVERING)).select("file", "line", "column").distinct()
-    shape = findings.where(F.col("code").isin(*SHAPE_ONLY)).join(proven, ["file", "line", "column"], "left_anti")
-    return findings.where(~F.col("code").isin(*SHAPE_ONLY)).unionByName(shape)
+def cover(findings: DataFrame, weak: tuple[str, ...] = SHAPE_ONLY, strong: tuple[str, ...] = COVERING, at: tuple[str, ...] = ("file", "line", "column")) -> DataFrame:
+    """Findings of weak codes go where one of a strong code has the same place."""
+    proven = findings.where(F.col("code").isin(*strong)).select(*at).distinct()
+    shape = findings.where(F.col("code").isin(*weak)).join(proven, list(at), "left_anti")
+    return findings.where(~F.col("code").isin(*weak)).unionByName(shape.select(*findings.columns))
 
 
 def matches(patterns: list[str], code: Column, name: Column) -> Column:

@@ -53,6 +53,23 @@ def top_files(findings: DataFrame, n: int = 10) -> DataFrame:
     return findings.groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(n)
 
 
+def counts(findings: DataFrame, by: str = "code") -> DataFrame:
+    """Findings and distinct files of each code."""
+    return findings.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+def gap_count(findings: DataFrame, by: list[str], floor: str = "certain") -> DataFrame:
+    """Gaps counted before the confidence floor, findings after it, in one pass."""
+    kept = S.confidence_rank(F.col("confidence")) >= S.CONFIDENCES.index(floor) + 1
+    return findings.groupBy(*by).agg(F.count(F.when(F.col("code").isin(*dims.DEGRADED), 1)).alias("gaps"), F.count(F.when(kept, 1)).alias("selected"))
+
+
+def with_remedies(findings: DataFrame, remedies: DataFrame, opened: DataFrame, key: str) -> DataFrame:
+    """The remedy of each code, and location kind ``file`` only where ``opened`` has the artifact."""
+    out = findings.join(F.broadcast(remedies), "code", "left").join(opened.select(key, F.lit("file").alias("kind")).distinct(), key, "left")
+    return out.withColumn("kind", F.coalesce("kind", F.lit("none")))
+
+
 def worst_and_common(findings: DataFrame, by: list[str]) -> DataFrame:
     """Worst severity, and commonest confidence with ties to the smaller name."""
     worst = findings.groupBy(*by).agg(F.max_by("severity", S.severity_rank(F.col("severity"))).alias("worst"))
@@ -110,28 +127,67 @@ def level(severity: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), severity), F.lit("none"))
 
 
-def envelope(findings: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON report per group: findings in contract order, the score, the gaps."""
-    item = F.struct(
-        (4 - S.severity_rank(F.col("severity"))).alias("rank"), F.col("code").alias("id"), "fingerprint", "severity", "confidence", S.category(F.col("code")).alias("category"), "message",
+def _item() -> Column:
+    return F.struct(
+        F.col("code").alias("id"), "fingerprint", "severity", "confidence", S.category(F.col("code")).alias("category"), "message",
         F.struct(F.lit("file").alias("kind"), F.col("file").alias("ref"), "line", "column").alias("location"),
     )
-    listed = findings.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("findings"))
-    scored = score(findings, by).select(*by, F.struct("value", "label", "coverage_gaps").alias("score"))
-    out = listed.join(scored, by)
-    return out.select(*by, F.to_json(F.struct(F.lit("report/1").alias("schema"), "score", F.transform("findings", lambda x: x.dropFields("rank")).alias("findings"))).alias("json"))
 
 
-def sarif(findings: DataFrame, tool: str = "sparkwarden") -> DataFrame:
-    """One SARIF 2.1.0 log over all findings; one row, as the format asks."""
-    result = F.struct(
+def _result(findings: DataFrame) -> Column:
+    """One SARIF result; a finding with a trace has a code flow, a compared one its baseline state."""
+    place = lambda file, line, *more: F.struct(F.struct(file.alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine"), *more).alias("region"))
+    parts = [
         F.col("code").alias("ruleId"), level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
-        F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region")).alias("physicalLocation"))).alias("locations"),
+        F.array(F.struct(place(F.col("file"), F.col("line"), F.col("column").alias("startColumn")).alias("physicalLocation"))).alias("locations"),
         F.struct(F.col("fingerprint").alias("primary/v1")).alias("fingerprints"),
-    )
-    rules = F.array_sort(F.collect_set(F.struct(F.col("code").alias("id"))))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), F.array_sort(F.collect_list(result)).alias("results"))
-    return findings.agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("json"))
+    ]
+    if "trace" in findings.columns:
+        step = lambda s: F.struct(F.struct(place(s["file"], s["line"]).alias("physicalLocation"), F.struct(F.concat_ws(" ", s["kind"], s["name"]).alias("text")).alias("message")).alias("location"))
+        flow = F.array(F.struct(F.array(F.struct(F.transform("trace", step).alias("locations"))).alias("threadFlows")))
+        parts.append(F.when(F.col("trace").isNotNull(), flow).alias("codeFlows"))
+    if "baseline_state" in findings.columns:
+        parts.append(F.when(F.col("baseline_state") == "fixed", "absent").otherwise(F.col("baseline_state")).alias("baselineState"))
+    return F.struct(*parts)
+
+
+def _fragments(findings: DataFrame, head: DataFrame, item: Column, tail: str, order: list) -> DataFrame:
+    """``part, json``: a head, each finding's text behind a comma, a tail; in report order, one after the other they are one document.
+
+    Rows are sorted across tasks, so no task holds the report.
+    """
+    first = findings.select(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("first"))
+    rows = findings.select(F.lit(1).alias("part"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("at"), F.to_json(item).alias("json"))
+    rows = rows.join(F.broadcast(first)).withColumn("json", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), "json")).drop("first")
+    ends = head.select(F.lit(0).alias("part"), "json").unionByName(head.sparkSession.createDataFrame([(2, tail)], "part int, json string"))
+    return rows.unionByName(ends, allowMissingColumns=True).orderBy("part", "at").select("part", "json")
+
+
+def _unique(order: list) -> list:
+    return [*order, F.col("file"), F.col("line"), F.col("column"), F.col("message"), F.col("name"), F.col("source"), F.coalesce("status", F.lit(""))]
+
+
+def envelope(findings: DataFrame) -> DataFrame:
+    """The JSON report over normalised findings as ``part, json`` rows in contract order: schema and score, the findings, the end."""
+    scored = score(findings).select(F.to_json(F.struct(F.lit("report/1").alias("schema"), F.struct("value", "label", "coverage_gaps").alias("score"))).alias("j"))
+    head = scored.select(F.concat(F.expr("left(j, length(j) - 1)"), F.lit(',"findings":[')).alias("json"))
+    return _fragments(findings, head, _item(), "]}", _unique([4 - S.severity_rank(F.col("severity")), F.col("code"), F.col("fingerprint")]))
+
+
+def sarif(findings: DataFrame, tool: str = "sparkwarden") -> DataFrame:
+    """The SARIF 2.1.0 log over normalised findings as ``part, json`` rows: the tool and its rules, the results, the end."""
+    rules = F.array_sort(F.collect_set(F.struct(F.col("code").alias("id"))))  # at most the catalogue's codes
+    head = findings.agg(F.to_json(F.struct(F.struct(F.lit(tool).alias("name"), rules.alias("rules")).alias("driver"))).alias("t"))
+    head = head.select(F.concat(F.lit('{"version":"2.1.0","runs":[{"tool":'), "t", F.lit(',"results":[')).alias("json"))
+    return _fragments(findings, head, _result(findings), "]}]}", _unique([F.col("code")]))
+
+
+def envelopes(findings: DataFrame, by: list[str]) -> DataFrame:
+    """O03 by group: ``by, json`` of groups of bounded size, such as the findings of one file."""
+    rank = (4 - S.severity_rank(F.col("severity"))).alias("rank")
+    listed = findings.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(rank, _item().alias("item")))).alias("findings"))
+    out = listed.join(score(findings, by).select(*by, F.struct("value", "label", "coverage_gaps").alias("score")), by)
+    return out.select(*by, F.to_json(F.struct(F.lit("report/1").alias("schema"), "score", F.transform("findings", lambda x: x["item"]).alias("findings"))).alias("json"))
 
 
 def plain_lines(findings: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def a_manifest_check(spark, sf_dir):
     """Every manifest entry with its count, and whether it reaches its floor."""
     m = spark.createDataFrame([("src0", 5), ("src1", 1_000_000), ("nowhere", 1)], "source string, floor long")
     counted = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return m.join(counted, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= F.col("floor")).alias("ok"))
+    return A.manifest_check(m, counted, "source")
 
 
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
@@ -115,14 +115,8 @@ def d_modes_ranks(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", mode.alias("mode"), S.open_mode(mode)["write"].alias("writes"), S.open_mode(mode)["truncate"].alias("truncates"), S.clamp_column((F.col("event_id") % 10).cast("int"), F.lit(7)).alias("col"), S.confidence_down(conf).alias("lowered"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(substr(html, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS safe FROM pages")
-def d_html_escape(spark, sf_dir):
-    """Markup made text."""
-    return table(spark, sf_dir, "pages").select("page_id", S.html_escape(F.substring("html", 1, 80)).alias("safe"))
-
-
 @query("SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
-def d_html_escape_whole(spark, sf_dir):
+def d_html_escape(spark, sf_dir):
     """Every page's whole markup made text; none gives an empty text."""
     return table(spark, sf_dir, "pages").select("page_id", S.html_escape(F.coalesce("html", F.lit(""))).alias("safe"))
 
@@ -160,8 +154,7 @@ def k_severity_override(spark, sf_dir):
 @query(f"WITH {F_SQL} SELECT origin, count(*) FILTER (WHERE code IN ('901', '904')) AS gaps, count(*) FILTER (WHERE confidence = 'certain') AS selected FROM findings GROUP BY origin")
 def k_gap_count(spark, sf_dir):
     """Gaps counted before the filter, findings after it, in one pass."""
-    gap, kept = F.col("code").isin(*dims.DEGRADED), S.confidence_rank(F.col("confidence")) >= 4
-    return _findings(spark, sf_dir).groupBy("origin").agg(F.count(F.when(gap, 1)).alias("gaps"), F.count(F.when(kept, 1)).alias("selected"))
+    return SU.gap_count(_findings(spark, sf_dir), ["origin"])
 
 
 @query(f"WITH {F_SQL} SELECT doc_id, code, name, row_number() OVER (ORDER BY 4 - {_WORST}, code, {_FNV('''(code || ':' || name || ':' || file)''')}, file, line, col, message) AS place FROM findings")
@@ -221,7 +214,7 @@ def n_pack_drift(spark, sf_dir):
     """Alternatives that only one of two packs has, both ways."""
     full = dims.signatures(spark)
     other = dims.signatures(spark, [s for s in dims.SIGNATURES if s[0] != "miner-stratum-pool"])
-    return full.exceptAll(other).unionByName(other.exceptAll(full))
+    return dims.pack_drift(full, other)
 
 
 def _traces(lines):
@@ -230,15 +223,9 @@ def _traces(lines):
     return lines.select("l_orderkey", "l_linenumber", F.array_join(F.transform(t, lambda s: s["kind"]), ",").alias("kinds"), F.element_at(t, -1)["file"].alias("sink_file"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'source,step,step,sink' AS kinds, 'f.lua' AS sink_file FROM lineitem WHERE l_linenumber = 1")
-def o_trace(spark, sf_dir):
-    """Traces in contract order with missing files filled in."""
-    return _traces(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
 @query("SELECT l_orderkey, l_linenumber, 'source,step,step,sink' AS kinds, 'f.lua' AS sink_file FROM lineitem")
-def o_trace_all(spark, sf_dir):
-    """The same for every line of an order."""
+def o_trace(spark, sf_dir):
+    """Traces in contract order with missing files filled in, one for every line of an order (``lua_traces`` has real ones)."""
     return _traces(table(spark, sf_dir, "lineitem"))
 
 
@@ -246,18 +233,30 @@ def o_trace_all(spark, sf_dir):
 def o_remedies(spark, sf_dir):
     """Remedies by code, and a location only where the file can be opened."""
     remedies = spark.createDataFrame([("747", "Read the credential at run time.")], "code string, remedy string")
-    opened = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("file").alias("k"))
-    f = _findings(spark, sf_dir).join(F.broadcast(remedies), "code", "left").join(opened, "doc_id", "left")
-    return f.select("doc_id", "code", "name", "remedy", F.coalesce("k", F.lit("none")).alias("kind"))
+    opened = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
+    return SU.with_remedies(_findings(spark, sf_dir), remedies, opened, "doc_id").select("doc_id", "code", "name", "remedy", "kind")
 
 
 @query()
 def o_sarif(spark, sf_dir):
-    """The whole SARIF log; its parts are compared in ``o_sarif_levels`` and tests."""
-    f = _findings(spark, sf_dir)
+    """The whole SARIF log in rows; its parts are compared in ``o_sarif_levels`` and tests."""
+    f = FI.normalise(_findings(spark, sf_dir))
     return SU.sarif(f.withColumn("fingerprint", FI.fingerprint(f)))
 
 
+@query()
+def o_envelope_rows(spark, sf_dir):
+    """The whole JSON report in rows, in contract order; tests read it back."""
+    f = FI.normalise(_findings(spark, sf_dir))
+    return SU.envelope(f.withColumn("fingerprint", FI.fingerprint(f)))
+
+
+@query(f"WITH {F_SQL} SELECT file, code, line, col AS \"column\" FROM (SELECT DISTINCT file, code, line, col, message FROM findings)")
+def l_file_order(spark, sf_dir):
+    """The findings of each file by line, column and code."""
+    return FI.file_order(FI.normalise(_findings(spark, sf_dir))).select("file", "code", "line", "column")
+
+
 @query("SELECT epoch_ms(CAST(floor(epoch(ts) / 300) * 300000 AS BIGINT)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t_stream_counts(spark, sf_dir):
     """2.R: the events as a stream, counted by type and window behind a watermark."""

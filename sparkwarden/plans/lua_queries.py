@@ -153,6 +153,23 @@ _family("calls", ids="H01, H10")
 _family("meta", ids="C09, C10, J05, J25, K03")
 
 
+# One function of a module, ten lines (J the number): a loop, a branch, a table joined and returned, its call and what is done with the result.
+FUNCTION = (
+    "local function fJ(a, b)\n  local t, n = {}, 0\n  for i = 1, 10 do t[i] = a .. i end\n  if b then n = #t else n = 1 end\n  while n > 0 do n = n - 1 end\n"
+    "  local s = table.concat(t, \",\")\n  return s .. \"wJ\"\nend\n"
+)
+
+
+def modules(ids: DataFrame, functions) -> DataFrame:
+    """``doc_id, artifact_id, path, body``: sources of ``functions`` times ten lines; every third function gets request data and runs its result."""
+    j = lambda text, n: F.replace(F.lit(text), F.lit("J"), n.cast("string"))
+    arg = lambda n: F.when(n % 3 == 0, j('http.formvalue("pJ")', n)).otherwise(F.lit('"fixed"'))
+    use = lambda n: F.when(n % 3 == 2, j("print(rJ)", n)).otherwise(j('os.execute("echo " .. rJ)', n))
+    one = lambda n: F.concat(j(FUNCTION, n), j("local rJ = fJ(", n), arg(n), F.lit(", true)\n"), use(n), F.lit("\n"))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), functions.cast("int")), one), "")
+    return ids.select("doc_id", F.col("doc_id").alias("artifact_id"), F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".lua")).alias("path"), body.alias("body"))
+
+
 def register(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -224,3 +241,33 @@ def b_routes(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("content_by_lua_block      { y = "), n, F.lit(" }"))).otherwise(F.lit("#!/bin/sh")).alias("body"))
     routed = rows.withColumn("route", A.route(F.col("path"), F.encode("body", "UTF-8"), F.col("body")))
     return A.extracted(routed).select("page_id", "route", F.regexp_replace("body", "\n$", "").alias("body"))
+
+
+@register("""WITH f AS (SELECT doc_id, unnest(range(1, doc_id % 6 + 2)) AS j FROM documents)
+  SELECT doc_id, CASE j % 3 WHEN 0 THEN '709' ELSE '701' END AS code, CAST(10 * j AS INTEGER) AS line, CASE j % 3 WHEN 0 THEN 'certain' ELSE 'low' END AS confidence FROM f WHERE j % 3 <> 2""")
+def lua_modules(spark, sf_dir):
+    """Modules of ten to sixty lines, a document each; ``bench.py`` runs larger ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    found = Scan(modules(docs, F.col("doc_id") % 6 + 1)).findings()
+    return found.select(F.regexp_extract("file", r"m(\d+)\.lua$", 1).cast("long").alias("doc_id"), "code", "line", "confidence")
+
+
+@register("""SELECT doc_id, 'app/main' || doc_id || '.lua' AS origin, 'source:2:app/main' || doc_id || '.lua,call:2:app/main' || doc_id || '.lua,sink:3:lib/util' || doc_id || '.lua' AS steps FROM documents""")
+def lua_traces(spark, sf_dir):
+    """Where the data of a finding comes from, the call that brings it into the file, and the sink."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    n = F.col("doc_id").cast("string")
+    util = docs.select((F.col("doc_id") * 2).alias("artifact_id"), F.concat(F.lit("lib/util"), n, F.lit(".lua")).alias("path"), F.lit("local M = {}\nfunction M.run(c)\n  os.execute(c)\nend\nreturn M\n").alias("body"))
+    main = docs.select((F.col("doc_id") * 2 + 1).alias("artifact_id"), F.concat(F.lit("app/main"), n, F.lit(".lua")).alias("path"), F.concat(F.lit('local u = require "util'), n, F.lit('"\nu.run(http.formvalue("c"))\n')).alias("body"))
+    found = Scan(util.unionByName(main)).findings().where("code = '709'")
+    step = F.transform("trace", lambda s: F.concat_ws(":", s["kind"], s["line"].cast("string"), s["file"]))
+    return found.select(F.regexp_extract("file", r"util(\d+)\.lua$", 1).cast("long").alias("doc_id"), "origin", F.array_join(step, ",").alias("steps"))
+
+
+@register("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 6 = 0) AS bad FROM documents)
+  SELECT unnest(['artifacts', 'unparsed', 'degraded', 'files_with_cut_sites', 'fixpoint_bound']) AS counter, unnest([n, bad, 0, 0, 0]) AS n FROM n""")
+def lua_diagnostics(spark, sf_dir):
+    """Counters of a scan and the bounds it hit."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    got = Scan(bodies(docs, "meta")).diagnostics()
+    return got.where(F.col("counter").isin("artifacts", "unparsed", "degraded", "files_with_cut_sites", "fixpoint_bound"))

@@ -48,10 +48,11 @@ _WORST = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium'
 F_SQL = f"""
   alts(sig_id, alt) AS (VALUES {_ALTS}),
   sig AS (SELECT doc_id, sig_id, min(instr(text, alt)) AS position FROM documents, alts WHERE contains(text, alt) GROUP BY ALL),
-  cred0 AS (SELECT doc_id, text, regexp_extract(text, {_CRED}, 1) AS name, regexp_extract(text, {_CRED}, 2) AS value, regexp_extract(text, {_CRED}, 0) AS whole
-    FROM documents WHERE regexp_matches(text, {_CRED})),
-  cred AS (SELECT doc_id, instr(text, whole) AS position, lower(name) AS name, value FROM cred0
-    WHERE length(value) >= 4 AND NOT regexp_matches(value, '^/|://|^[0-9.]+$|^[A-Z_]+$|^<|\\{{|%[sd]')),
+  cred0 AS (SELECT doc_id, regexp_extract_all(text, {_CRED}, 0) AS m, regexp_split_to_array(text, {_CRED}) AS s FROM documents WHERE regexp_matches(text, {_CRED})),
+  cred1 AS (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM cred0),
+  cred2 AS (SELECT doc_id, 1 + CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + coalesce(CAST(list_sum(list_transform(m[1:i-1], lambda x: length(x))) AS BIGINT), 0) AS position,
+    lower(regexp_extract(m[i], {_CRED}, 1)) AS name, regexp_extract(m[i], {_CRED}, 2) AS value FROM cred1),
+  cred AS (SELECT * FROM cred2 WHERE length(value) >= 4 AND NOT regexp_matches(value, '^/|://|^[0-9.]+$|^[A-Z_]+$|^<|\\{{|%[sd]')),
   hits AS (SELECT doc_id, '750' AS code, sig_id AS name, position, 1 AS width, 'certain' AS confidence, 'critical' AS severity, 'CWE-1203' AS cwe, 'matches a known exploit or malware signature: ' || sig_id AS message FROM sig
     UNION ALL SELECT doc_id, '747', name, position, length(value), CASE WHEN length(value) >= 20 THEN 'high' ELSE 'medium' END, 'high', 'CWE-798', 'hardcoded credential (' || name || ')' FROM cred),
   findings AS (SELECT doc_id, d.source || '/' || doc_id || '.txt' AS file, code, name, confidence, severity, cwe, message, lang, d.source AS origin,
@@ -90,15 +91,16 @@ def b_template_blocks(spark, sf_dir):
 
 
 @query("""
-  WITH s AS (SELECT page_id, html, instr(html, '<script>') AS a, instr(html, '</script>') AS b FROM pages)
-  SELECT page_id, length(k) = length(html) AS same_length, md5(k) AS kept FROM (
-    SELECT page_id, html, CASE WHEN a = 0 OR b < a THEN regexp_replace(html, '[^\\r\\n]', ' ', 'g')
-      ELSE regexp_replace(substr(html, 1, a + 7), '[^\\r\\n]', ' ', 'g') || substr(html, a + 8, b - a - 8) || regexp_replace(substr(html, b), '[^\\r\\n]', ' ', 'g') END AS k FROM s)""")
+  WITH s AS (SELECT page_id, html, string_split(html, '<script>') AS p FROM pages),
+  k AS (SELECT page_id, html, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 OR NOT contains(x, '</script>') THEN regexp_replace(x, '[^\\r\\n]', ' ', 'g')
+      ELSE substr(x, 1, instr(x, '</script>') - 1) || regexp_replace(substr(x, instr(x, '</script>')), '[^\\r\\n]', ' ', 'g') END), '        ') AS k FROM s)
+  SELECT page_id, length(k) = length(html) AS same_length, md5(k) AS kept FROM k""")
 def b_blank_outside(spark, sf_dir):
-    """B08, E-26: all but the first script block blanked, every line and column kept."""
-    a, b, html = F.instr("html", "<script>"), F.instr("html", "</script>"), F.col("html")
+    """B08, E-26: all but the closed script blocks blanked, every line and column kept."""
     blank = lambda c: F.regexp_replace(c, "[^\r\n]", " ")
-    kept = F.when((a == 0) | (b < a), blank(html)).otherwise(F.concat(blank(F.substring(html, F.lit(1), a + 7)), F.substring(html, a + 8, b - a - 8), blank(F.substring(html, b, F.length(html)))))
+    end = lambda x: F.instr(x, "</script>")
+    part = lambda x, i: F.when((i == 0) | (end(x) == 0), blank(x)).otherwise(F.concat(F.substring(x, F.lit(1), end(x) - 1), blank(F.substring(x, end(x), F.length(x)))))
+    kept = F.array_join(F.transform(F.split("html", "<script>", -1), part), " " * len("<script>"))
     return table(spark, sf_dir, "pages").withColumn("k", kept).select("page_id", (F.length("k") == F.length("html")).alias("same_length"), F.md5(F.col("k").cast("binary")).alias("kept"))
 
 
@@ -109,11 +111,10 @@ def b_blank_outside(spark, sf_dir):
   WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM n GROUP BY doc_id)
   SELECT doc_id, round(-sum(n / t * log2(n / t)), 5) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id""")
 def d_entropy(spark, sf_dir):
-    """Bits per character of every document, from partial counts per task."""
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    # sum n log n and n keep one pass: H = log2 t - sum(n log2 n) / t
-    out = chars.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return out.select("doc_id", F.round(F.log2("t") - F.col("s") / F.col("t"), 5).alias("entropy"))
+    """Bits per character of every document, one pass and no shuffle."""
+    from ..operators.detect import text_entropy
+
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.round(text_entropy(F.col("text")), 5).alias("entropy"))
 
 
 @query("""
@@ -174,12 +175,6 @@ def d_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.fnv1a64(F.concat_ws(":", "lang", "source", F.col("doc_id").cast("string"))).alias("fp"))
 
 
-@query("""SELECT doc_id, replace(replace(substr(text, 1, 60), chr(9), '\\t'), chr(10), '\\x0A') AS safe, regexp_replace(regexp_replace(substr(text, 3, 40), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS snippet FROM documents""")
-def d_sanitize(spark, sf_dir):
-    """Control characters escaped, and a slice with white space collapsed."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.substring("text", 1, 60)).alias("safe"), S.snippet(F.col("text"), F.lit(3), F.lit(42)).alias("snippet"))
-
-
 def _sanitized_sql(x: str) -> str:
     code = lambda c: f"unicode({c})"
     hidden = "c BETWEEN 128 AND 159 OR c BETWEEN 8203 AND 8207 OR c BETWEEN 8232 AND 8238 OR c BETWEEN 8294 AND 8297 OR c IN (1564, 8288, 65279)"
@@ -189,10 +184,10 @@ def _sanitized_sql(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN {x} ELSE array_to_string(list_transform({parts}, lambda p: CASE WHEN regexp_full_match(p, '{chars}') THEN list_transform([{code('p')}], lambda c: {case})[1] ELSE p END), '') END"
 
 
-@query(f"SELECT doc_id, {_sanitized_sql('text')} AS safe FROM documents")
-def d_sanitize_whole(spark, sf_dir):
-    """Control, bidi and zero-width characters of the whole text escaped."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.col("text")).alias("safe"))
+@query(f"SELECT doc_id, {_sanitized_sql('text')} AS safe, regexp_replace(regexp_replace(substr(text, 3, 40), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS snippet FROM documents")
+def d_sanitize(spark, sf_dir):
+    """Control, bidi and zero-width characters of the whole text escaped; a slice with white space collapsed."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.col("text")).alias("safe"), S.snippet(F.col("text"), F.lit(3), F.lit(42)).alias("snippet"))
 
 
 @query("WITH p AS (SELECT doc_id, text, instr(text, 'the') AS pos FROM documents) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(1 + length(regexp_replace(substr(text, 1, pos - 1), '[^\\n]', '', 'g')) AS INTEGER) AS line, CAST(1 + length(string_split(substr(text, 1, pos - 1), chr(10))[-1]) AS INTEGER) AS col FROM p WHERE pos > 0")
@@ -282,19 +277,11 @@ def _quote_labels(lines: DataFrame) -> DataFrame:
     return flags.select("o", F.when(F.col("q") & F.col("p"), "712").when(F.col("p"), "709").otherwise("709q").alias("code"), S.confidence_down(F.lit("certain"), F.when(F.col("p"), 0).otherwise(1)).alias("confidence"))
 
 
-@query("""
-  WITH g AS (SELECT l_orderkey AS o, bool_or(l_returnflag = 'R') AS quoted, bool_or(l_returnflag <> 'R') AS plain FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-  SELECT o, CASE WHEN quoted AND plain THEN '712' WHEN plain THEN '709' ELSE '709q' END AS code, CASE WHEN plain THEN 'certain' ELSE 'high' END AS confidence FROM g""")
-def g_taint_quote_labels(spark, sf_dir):
-    """Sources that reach a sink quoted or not, and what is reported."""
-    return _quote_labels(table(spark, sf_dir, "lineitem").where("l_linenumber <= 2"))
-
-
 @query("""
   WITH g AS (SELECT l_orderkey AS o, bool_or(l_returnflag = 'R') AS quoted, bool_or(l_returnflag <> 'R') AS plain FROM lineitem GROUP BY 1)
   SELECT o, CASE WHEN quoted AND plain THEN '712' WHEN plain THEN '709' ELSE '709q' END AS code, CASE WHEN plain THEN 'certain' ELSE 'high' END AS confidence FROM g""")
-def g_taint_quote_labels_all(spark, sf_dir):
-    """The same over every line of an order."""
+def g_taint_quote_labels(spark, sf_dir):
+    """G08, I03, I04 as plan primitives: labels of all sources of a sink, and what is reported (``lua_quote`` runs the operators)."""
     return _quote_labels(table(spark, sf_dir, "lineitem"))
 
 
@@ -308,22 +295,11 @@ def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.distinct()
 
 
-@query("""
-  WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-  r AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 50 = 1 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r""")
-def g_fixpoint_bounded(spark, sf_dir):
-    """Closure over orders, customers, nations and regions within the round bound."""
-    from ..operators.flow import semi_naive
-
-    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1")
-    return semi_naive(seeds.select(_node("o", "o_orderkey").alias("node")), _order_edges(spark, sf_dir), [], max_rounds=20)[0].select("node")
-
-
 @query("""
   WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
   r AS (SELECT 'o' || o_orderkey AS node, 0 AS round FROM orders UNION SELECT dst, round + 1 FROM r JOIN e ON src = node WHERE round < 20),
   d AS (SELECT node, min(round) AS round FROM r GROUP BY node) SELECT node, (SELECT max(round) FROM d) >= 20 AS bound_hit FROM d""")
-def g_fixpoint_all_orders(spark, sf_dir):
+def g_fixpoint_bounded(spark, sf_dir):
     """The closure from every order, and whether the round bound was hit."""
     from ..operators.flow import semi_naive
 
@@ -336,18 +312,18 @@ def g_fixpoint_all_orders(spark, sf_dir):
   WITH s AS (SELECT user_id, ts, max(event_id) AS last_signup FROM events WHERE event_type = 'signup' GROUP BY ALL)
   SELECT p.event_id, s.last_signup FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.ts > s.ts""")
 def g_asof_approx(spark, sf_dir):
-    """The last assignment before each use, as an as-of join by one window sort."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase"))
-    # strictly earlier: the rows of one instant are one row first, so signups of the same instant do not count
-    sign = F.when(F.col("event_type") == "signup", F.struct(F.col("ts").alias("t"), F.col("event_id").alias("e")))
-    before = ev.groupBy("user_id", "ts").agg(F.max(sign).alias("_s"), F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("_p"))
-    prior = F.max("_s").over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
-    return before.withColumn("_m", prior).select(F.explode("_p").alias("event_id"), F.col("_m.e").alias("last_signup"))
+    """The last assignment strictly before each use, as an as-of join by one window sort."""
+    from ..operators.flow import as_of
+
+    ev = table(spark, sf_dir, "events")
+    definitions = ev.where("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max("event_id").alias("value"))
+    uses = ev.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("use_id"))
+    return as_of(uses, definitions, ["user_id"], "ts").select(F.col("use_id").alias("event_id"), F.col("value").alias("last_signup"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey, p_brand, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size < 10")
 def h_call_edges(spark, sf_dir):
-    """Sites bound to callees by position; the filter reaches the scan of the dimension."""
+    """2.R: joins on keys of one fact with three dimensions, the filter in the scan (``lua_taint`` and ``lua_calls`` run H01 and H02)."""
     t = lambda n: table(spark, sf_dir, n)
     li = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     parts = t("part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -365,25 +341,30 @@ def h_module_index(spark, sf_dir):
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def h_exposed_unfed(spark, sf_dir):
-    """Candidates that nothing feeds, by anti join."""
+    """2.R: candidates that nothing feeds, by anti join (``lua_shape`` runs H04)."""
     fed = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(fed, "p_partkey", "left_anti")
 
 
-@query("SELECT conv_id, turn, least(turn - (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id), 16) AS hops, greatest(turn - 16, (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id)) AS origin FROM conversations c")
+@query("""
+  WITH RECURSIVE c AS (SELECT DISTINCT 'c' || conv_id || '.' || turn AS t, 'c' || conv_id || '.' || (turn - 1) AS b FROM conversations), e AS (SELECT t, b FROM c WHERE b IN (SELECT t FROM c)),
+  r AS (SELECT t, b, 1 AS hops FROM e UNION ALL SELECT r.t, e.b, hops + 1 FROM r JOIN e ON e.t = r.b WHERE hops < 16) SELECT t AS turn, CAST(max(hops) AS INTEGER) AS hops, arg_max(b, hops) AS origin FROM r GROUP BY t""")
 def h_chain_walkback(spark, sf_dir):
     """Each turn's chain back to its origin, at most 16 steps."""
-    w = Window.partitionBy("conv_id")
-    first = F.min("turn").over(w)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(F.col("turn") - first, F.lit(16)).cast("long").alias("hops"), F.greatest(F.col("turn") - 16, first).cast("long").alias("origin"))
+    from ..operators.flow import walk_back
+
+    turn = lambda n: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), n.cast("string"))
+    all_ = table(spark, sf_dir, "conversations").select(turn(F.col("turn")).alias("to"), turn(F.col("turn") - 1).alias("by")).distinct()
+    callers = all_.join(all_.select(F.col("to").alias("by")).distinct(), "by", "left_semi").select("to", "by")
+    return walk_back(callers).select(F.col("to").alias("turn"), F.size("chain").alias("hops"), F.element_at("chain", -1).alias("origin"))
 
 
 @query("WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, n > 64 AS overflow FROM r WHERE rn <= 64")
 def h_route_cap(spark, sf_dir):
-    """At most 64 targets of a route, the overflow told."""
-    w = Window.partitionBy("l_suppkey")
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
-    return li.withColumn("rn", F.row_number().over(w.orderBy("l_orderkey", "l_linenumber"))).withColumn("overflow", F.count("*").over(w) > 64).where("rn <= 64").drop("rn")
+    """At most 64 targets of a route, the overflow told (``lua_calls`` runs H10)."""
+    from ..operators.flow import capped
+
+    return capped(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], 64)[0]
 
 
 # ------------------------------------------------------------------ I, J: facts and detectors
@@ -404,7 +385,8 @@ def i_store_hop(spark, sf_dir):
     return pair_stores(reads, writes, ["event_id"])
 
 
-@query(f"WITH {F_SQL} SELECT doc_id, c.name AS name, CAST(length(c.value) AS INTEGER) AS n_chars, CASE WHEN length(c.value) <= 4 THEN repeat('*', length(c.value)) ELSE substr(c.value, 1, 2) || repeat('*', least(8, length(c.value) - 4)) || right(c.value, 2) END AS redacted, line FROM cred c JOIN findings f USING (doc_id) WHERE f.code = '747'")
+@query(f"""WITH {F_SQL} SELECT doc_id, c.name AS name, CAST(length(c.value) AS INTEGER) AS n_chars, CASE WHEN length(c.value) <= 4 THEN repeat('*', length(c.value)) ELSE substr(c.value, 1, 2) || repeat('*', least(8, length(c.value) - 4)) || right(c.value, 2) END AS redacted,
+  CAST(1 + length(regexp_replace(substr(text, 1, position - 1), '[^\\n]', '', 'g')) AS INTEGER) AS line FROM cred c JOIN documents d USING (doc_id)""")
 def j_secret_assign(spark, sf_dir):
     """Credentials assigned in text: name, length and redacted value, never the secret."""
     hits = FI.credential_hits(table(spark, sf_dir, "documents"))
@@ -417,10 +399,7 @@ _PEM = [(1, "-----BEGIN RSA PRIVATE KEY-----", "marker"), (2, "-----BEGIN PRIVAT
 @query("SELECT CAST(k AS BIGINT) AS k, verdict FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, _, v in _PEM) + ") t(k, verdict)")
 def j_pem_rules(spark, sf_dir):
     """Markers alone are silent, a block with a body is a key, a bare body is reported."""
-    body = r"[A-Za-z0-9+/]{20,}"
-    v = F.col("v")
-    return spark.createDataFrame([(k, v) for k, v, _ in _PEM], "k long, v string").select(
-        "k", F.when(v.rlike(r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----\s+" + body), "key").when(v.contains("-----BEGIN"), "marker").when(v.rlike("^" + body + "=*$"), "body").otherwise("none").alias("verdict"))
+    return spark.createDataFrame([(k, v) for k, v, _ in _PEM], "k long, v string").select("k", FI.pem_verdict(F.col("v")).alias("verdict"))
 
 
 @query(f"WITH {F_SQL} SELECT doc_id, sig_id, CAST(position AS INTEGER) AS position FROM sig")
@@ -431,7 +410,7 @@ def j_signature_first_match(spark, sf_dir):
 
 @query("""SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(contains(text, 'con')) AND bool_or(contains(text, 'read') OR contains(text, 'ing')) AND bool_or(contains(text, 'send') OR contains(text, 'tion'))""")
 def j_brute_force_loop(spark, sf_dir):
-    """Groups that connect, read and send, by three flags in one pass."""
+    """2.R: groups by three flags in one pass (``lua_payload`` runs J21)."""
     t = F.col("text")
     agg = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(t.contains("con")).alias("c"), F.bool_or(t.contains("read") | t.contains("ing")).alias("r"), F.bool_or(t.contains("send") | t.contains("tion")).alias("s"))
     return agg.where("c and r and s").select("conv_id")
@@ -454,9 +433,7 @@ def j_blob_shape(spark, sf_dir):
 @query(f"WITH {F_SQL} SELECT doc_id, code, name, line FROM findings f WHERE NOT (code = '747' AND EXISTS (SELECT 1 FROM findings g WHERE g.code = '750' AND g.file = f.file AND g.line = f.line))")
 def k_coverage_antijoin(spark, sf_dir):
     """Weaker findings stand down where a stronger one has the same line."""
-    f = _findings(spark, sf_dir)
-    strong = f.where("code = '750'").select("file", "line").distinct()
-    return f.where("code <> '747'").unionByName(f.where("code = '747'").join(strong, ["file", "line"], "left_anti")).select("doc_id", "code", "name", "line")
+    return SE.cover(_findings(spark, sf_dir), ("747",), ("750",), ("file", "line")).select("doc_id", "code", "name", "line")
 
 
 @query("""
@@ -555,7 +532,7 @@ def m_verdict_ladder(spark, sf_dir):
 @query(f"WITH {F_SQL} SELECT code, count(*) AS n, count(DISTINCT file) AS n_files FROM findings GROUP BY code")
 def m_counts(spark, sf_dir):
     """Findings and distinct files of every code."""
-    return _findings(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+    return SU.counts(_findings(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ N, O: diffs, reports
@@ -575,16 +552,16 @@ def n_baseline_diff(spark, sf_dir):
 @query(f"WITH {F_SQL}, m AS (SELECT code, count(*) AS n FROM findings GROUP BY code), g(code, n) AS (VALUES ('747', 0), ('750', 1), ('901', 2)) SELECT coalesce(m.code, g.code) AS code, coalesce(m.n, 0) AS measured, coalesce(CAST(g.n AS BIGINT), 0) AS golden FROM m FULL JOIN g ON m.code = g.code WHERE coalesce(m.n, 0) <> coalesce(g.n, 0)")
 def n_golden_check(spark, sf_dir):
     """Codes whose counts differ from a golden table, both ways."""
-    measured = _findings(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
+    measured = SU.counts(_findings(spark, sf_dir)).select("code", "n")
     return SU.symmetric_difference(measured, spark.createDataFrame([("747", 0), ("750", 1), ("901", 2)], "code string, n long"))
 
 
-@query(f"WITH {F_SQL} SELECT origin, 'report/1' AS schema, count(*) AS n_findings FROM findings GROUP BY origin")
+@query(f"WITH {F_SQL} SELECT file, 'report/1' AS schema, count(*) AS n_findings FROM findings GROUP BY file")
 def o_envelope_json(spark, sf_dir):
-    """The JSON report of every source, read back for its schema and count."""
+    """The JSON report of every file, read back for its schema and count."""
     f = _findings(spark, sf_dir)
-    made = SU.envelope(f.withColumn("fingerprint", FI.fingerprint(f)), ["origin"])
-    return made.select("origin", F.get_json_object("json", "$.schema").alias("schema"), F.size(F.from_json(F.get_json_object("json", "$.findings"), "array<struct<id:string>>")).cast("long").alias("n_findings"))
+    made = SU.envelopes(f.withColumn("fingerprint", FI.fingerprint(f)), ["file"])
+    return made.select("file", F.get_json_object("json", "$.schema").alias("schema"), F.size(F.from_json(F.get_json_object("json", "$.findings"), "array<struct<id:string>>")).cast("long").alias("n_findings"))
 
 
 @query(f"WITH {F_SQL} SELECT CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, code AS rule_id, count(*) AS n FROM findings GROUP BY ALL")

@@ -33,11 +33,23 @@ def read(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``artifact_id, path, raw, length`` of every file under the roots, once per path.
 
     Reads with Spark's own binary reader, so any store it can open will do; a
-    ``.git`` component is skipped.  A file that cannot be read fails the task.
+    ``.git`` component is skipped.  A file that is listed and cannot be read has
+    a null ``raw`` (A09).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(roots)
     files = files.where(~F.col("path").rlike(r"(^|/)\.git(/|$)")).dropDuplicates(["path"])
-    return files.select(F.xxhash64("path").alias("artifact_id"), "path", F.col("content").alias("raw"), "length")
+    return with_unreadable(files.select("path", "length"), files.select("path", F.col("content").alias("raw")))
+
+
+def with_unreadable(listed: DataFrame, contents: DataFrame) -> DataFrame:
+    """Every listed file, with its bytes where there are any."""
+    return listed.join(contents, "path", "left").select(F.xxhash64("path").alias("artifact_id"), "path", "raw", "length")
+
+
+def manifest_check(manifest: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``key, n, ok`` of every manifest entry: what was found for it, and whether that reaches its ``floor``."""
+    n = F.coalesce("n", F.lit(0))
+    return manifest.join(counted, key, "left").select(key, n.alias("n"), (n >= F.col("floor")).alias("ok"))
 
 
 def from_rows(df: DataFrame, path: str = "path", body: str = "body") -> DataFrame:

@@ -203,3 +203,8 @@ def signatures(spark: SparkSession, pack: list = SIGNATURES) -> DataFrame:
     if len(set(ids)) != len(ids) or any(not a for _, p in pack for a in p.split("|")):
         raise RegistryError("signature ids must be unique and alternatives not empty")
     return spark.createDataFrame(pack, "sig_id string, pattern string").select("sig_id", F.explode(F.split("pattern", r"\|")).alias("alt"))
+
+
+def pack_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``sig_id, alt`` rows that only one of two packs has, both ways."""
+    return a.exceptAll(b).unionByName(b.exceptAll(a))

@@ -107,7 +107,7 @@ class Scan:
         alone provides, as a global that one file alone defines, or as a target
         of a literal table that a computed key picks from.  Of calls into other
         files a file makes MAX_SITES at most; files with more than MAX_FUNCTIONS
-        functions bind none (B15).
+        functions bind none, nor are theirs bound (B15).
         """
         if not hasattr(self, "_sites"):
             own = self.calls.where("target is not null").select("artifact_id", F.col("node").alias("call"), F.col("artifact_id").alias("to"), F.col("target").alias("fn"), "shift")
@@ -123,7 +123,7 @@ class Scan:
             far, self._cut_sites = capped(far, ["artifact_id"], ["call", "to", "fn"], MAX_SITES)  # the calls of one file
             large = self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id")
             found = own.unionByName(routed).unionByName(far.drop("overflow"))
-            self._sites = stored(found.join(large, "artifact_id", "left_anti"), "sites")
+            self._sites = stored(found.join(large, "artifact_id", "left_anti").join(large.toDF("to"), "to", "left_anti"), "sites")
         return self._sites
 
     def bindings(self) -> DataFrame:

@@ -276,9 +276,129 @@ def bytecode_header(raw: bytes) -> dict:
         return out | {"problem": str(e)}
 
 
+class _Chunk(_Bytes):
+    """Integers and strings of a compiled chunk, as its version writes them."""
+
+    def __init__(self, raw: bytes, head: dict):
+        super().__init__(raw)
+        self.version, self.order = head["version"], "little" if head["little_endian"] else "big"
+        self.size_int, self.size_t = head["size_int"] or 4, head["size_t"] or 8
+
+    def number(self, size: int) -> int:
+        return int.from_bytes(self.take(size), self.order)
+
+    def integer(self) -> int:
+        if self.version < 0x54:
+            return self.number(self.size_int)
+        n = 0
+        for _ in range(10):  # seven bits a byte, the last one marked
+            b = self.byte()
+            n = n << 7 | b & 0x7F
+            if b & 0x80:
+                return n
+        raise ValueError("integer too long")
+
+    def string(self) -> str | None:
+        if self.version <= 0x52:
+            n = self.number(self.size_t)
+            return self.take(n)[:-1].decode("latin-1") if n else None
+        n = self.integer() if self.version == 0x54 else self.byte()
+        if self.version == 0x53 and n == 0xFF:
+            n = self.number(self.size_t)
+        return self.take(n - 1).decode("latin-1") if n else None
+
+
+def prototypes(raw: bytes, head: dict | None = None) -> list[tuple[int, int, str, str | None]]:
+    """``(proto_no, const_no, kind, value)`` of all constants of a Lua 5.1 to 5.4 chunk, prototypes in the order written.
+
+    Nothing is reserved for a claimed length; constants, prototypes and nesting
+    are bounded, and ValueError tells of a chunk that ends or goes on too early.
+    """
+    head = head or bytecode_header(raw)
+    if head["flavor"] != "lua" or head["problem"]:
+        raise ValueError(head["problem"] or "no Lua chunk")
+    c, v = _Chunk(raw, head), head["version"]
+    c.take({0x51: 12, 0x52: 18, 0x53: 33, 0x54: 31}[v])
+    if v >= 0x53:
+        c.byte()  # upvalues of the main function
+    out: list[tuple[int, int, str, str | None]] = []
+    numbered = 0
+
+    def constants(no: int) -> None:
+        for k in range(c.integer()):
+            if len(out) >= MAX_CONSTANTS:
+                raise ValueError("too many constants")
+            tag = c.byte()
+            if tag == 0:
+                out.append((no, k, "nil", None))
+            elif tag == 1 and v < 0x54:
+                out.append((no, k, "boolean", str(bool(c.byte())).lower()))
+            elif tag in (1, 0x11):
+                out.append((no, k, "boolean", "true" if tag == 0x11 else "false"))
+            elif (tag == 3 and v == 0x54) or (tag == 0x13 and v == 0x53):
+                out.append((no, k, "integer", str(int.from_bytes(c.take(8), c.order, signed=True))))
+            elif tag in (3, 0x13):
+                out.append((no, k, "number", repr(struct.unpack(("<" if c.order == "little" else ">") + "d", c.take(8))[0])))
+            elif tag in (4, 0x14):
+                out.append((no, k, "string", c.string() or ""))
+            else:
+                raise ValueError(f"unknown constant {tag}")
+
+    def function(depth: int) -> None:
+        nonlocal numbered
+        no, numbered = numbered, numbered + 1
+        if depth > MAX_DEPTH or numbered > MAX_CONSTANTS:
+            raise ValueError("too many prototypes")
+        if v != 0x52:
+            c.string()  # source
+        c.integer(), c.integer()
+        c.take(4 if v == 0x51 else 3)
+        c.take(4 * c.integer())  # code
+        constants(no)
+        pair = 3 if v == 0x54 else 2
+        if v >= 0x53:
+            c.take(pair * c.integer())  # upvalues
+        for _ in range(c.integer()):
+            function(depth + 1)
+        if v == 0x52:
+            c.take(pair * c.integer())
+            c.string()
+        lines = c.integer()
+        c.take(lines if v == 0x54 else c.size_int * lines)
+        if v == 0x54:
+            for _ in range(c.integer()):
+                c.integer(), c.integer()
+        for _ in range(c.integer()):  # local variables
+            c.string(), c.integer(), c.integer()
+        for _ in range(c.integer()):  # names of upvalues
+            c.string()
+
+    function(0)
+    return out
+
+
 def bytecode_strings(raw: bytes) -> list[str]:
-    """C08, bounded: printable constants of a chunk in order, found without trusting any claimed length."""
-    return [m.decode("latin-1") for m in re.findall(rb"[\x20-\x7e]{3,}", raw)[:MAX_CONSTANTS]]
+    """Printable constants of a chunk in order: of its prototypes, or of its bytes where those cannot be walked."""
+    try:
+        return [value for _, _, kind, value in prototypes(raw) if kind == "string" and value]
+    except (ValueError, RecursionError):
+        return [m.decode("latin-1") for m in re.findall(rb"[\x20-\x7e]{3,}", raw)[:MAX_CONSTANTS]]
+
+
+def bytecode_constants(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, proto_no, const_no, kind, value`` of the chunks that can be walked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, raw in zip(pdf["artifact_id"], pdf["raw"]):
+                try:
+                    rows += [(i, *c) for c in prototypes(bytes(raw))] if raw is not None else []
+                except (ValueError, RecursionError):
+                    continue  # triage tells of it
+            yield pd.DataFrame(rows, columns=["artifact_id", "proto_no", "const_no", "kind", "value"])
+
+    return artifacts.select("artifact_id", "raw").mapInPandas(run, "artifact_id long, proto_no int, const_no int, kind string, value string")
 
 
 def triage(artifacts: DataFrame, sinks: list[str], assumed: int = 0x54) -> DataFrame:

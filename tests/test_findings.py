@@ -98,9 +98,16 @@ def test_reports(spark, tmp_path):
     f = table(spark, finding(name="<x>", message="a < b"), finding("709", "critical", "high", line=3))
     f = f.withColumn("fingerprint", FI.fingerprint(f))
     e = Engine(spark)
-    doc = json.loads(e.render(f, "json").first()["json"])
+    whole = lambda form, df: json.loads("".join(r["json"] for r in e.render(df, form).collect()))
+    doc = whole("json", f)
+    assert [r["json"] for r in e.render(f.where("false"), "json").collect()][-1] == "]}" and whole("json", f.where("false"))["findings"] == []
     assert doc["schema"] == "report/1" and [x["id"] for x in doc["findings"]] == ["709", "701"] and doc["score"]["value"] == 69
-    log = json.loads(e.render(f, "sarif").first()["json"])
+    log = whole("sarif", f)
+    traced = f.withColumn("trace", F.when(F.col("code") == "709", F.array(F.struct(F.lit("source").alias("kind"), F.lit(1).alias("line"), F.lit("http").alias("name"), F.lit("b.lua").alias("file"))))).withColumn("baseline_state", F.lit("fixed"))
+    flows = [r.get("codeFlows") for r in whole("sarif", traced)["runs"][0]["results"]]
+    assert sum(x is not None for x in flows) == 1 and {r["baselineState"] for r in whole("sarif", traced)["runs"][0]["results"]} == {"absent"}
+    (flow,) = [x for x in flows if x]
+    assert flow[0]["threadFlows"][0]["locations"][0]["location"]["physicalLocation"]["artifactLocation"]["uri"] == "b.lua"
     assert log["version"] == "2.1.0" and {r["level"] for r in log["runs"][0]["results"]} == {"error"}
     assert "a &lt; b" in " ".join(r["html"] for r in e.render(f, "html").collect())
     assert [r["line_text"] for r in e.render(f, "plain").collect()][0] == "a.lua:1:1: high 701 a < b"

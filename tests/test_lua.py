@@ -159,3 +159,90 @@ def test_extraction_keeps_places():
 def test_headers(raw, flavor, problem):
     h = A.bytecode_header(raw)
     assert (h["flavor"], h["problem"]) == (flavor, problem)
+
+
+def chunk(version, strings, children=()):
+    """A compiled chunk of one function with string constants and child functions, written by hand."""
+    if version == 0x51:
+        head = b"\x1bLua\x51\x00\x01\x04\x08\x04\x08\x00"
+        num = lambda n: n.to_bytes(4, "little")
+        text = lambda t: (len(t) + 1).to_bytes(8, "little") + t + b"\0"
+        none, fixed, pair, tail = (0).to_bytes(8, "little"), bytes(4), None, num(0) * 3
+    else:
+        head = b"\x1bLua\x54\x00\x19\x93\r\n\x1a\n\x04\x08\x08" + (0x5678).to_bytes(8, "little") + bytes.fromhex("0000000000287740") + b"\x01"
+        num = lambda n: bytes([n | 0x80]) if n < 128 else bytes([n >> 7, n & 0x7F | 0x80])
+        text = lambda t: num(len(t) + 1) + t
+        none, fixed, pair, tail = num(0), bytes(3), num(0), num(0) * 4
+
+    def function(strings, children=()):
+        kids = b"".join(function(*x) for x in children)
+        return none + num(0) + num(0) + fixed + num(1) + bytes(4) + num(len(strings) + 1) + b"".join(b"\x04" + text(t) for t in strings) + b"\x00" + (pair or b"") + num(len(children)) + kids + tail
+
+    return head + function(strings, children)
+
+
+@pytest.mark.parametrize("version", [0x51, 0x54])
+def test_prototypes_of_chunks(spark, version):
+    raw = chunk(version, [b"os", b"execute"], [([b"io", b"popen"], ()), ([b"x" * 200], [([b"deep"], ())])])
+    got = [(p, v) for p, _, kind, v in A.prototypes(raw) if kind == "string"]
+    assert got == [(0, "os"), (0, "execute"), (1, "io"), (1, "popen"), (2, "x" * 200), (3, "deep")]
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(raw[:-9])), (3, None)], "artifact_id long, raw binary")
+    rows = A.bytecode_constants(df).collect()
+    assert {r["artifact_id"] for r in rows} == {1} and sum(r["kind"] == "nil" for r in rows) == 4
+    for n in range(12, len(raw)):
+        with pytest.raises(ValueError):
+            A.prototypes(raw[:n])
+    deep = ([b"a"], ())
+    for _ in range(80):
+        deep = ([b"a"], [deep])
+    with pytest.raises(ValueError):
+        A.prototypes(chunk(version, *deep))
+
+
+def test_chains_and_unreadable_files(spark):
+    from sparkwarden.operators.flow import walk_back
+
+    callers = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (7, 8), (8, 7)] + [(100 + i, 99 + i) for i in range(1, 30)], "to long, by long")
+    got = {r["to"]: list(r["chain"]) for r in walk_back(callers).collect()}
+    assert got[4] == [3, 2, 1] and got[7] == [8] and got[8] == [7] and len(got[129]) == 16
+    listed = spark.createDataFrame([("a", 1), ("b", 2)], "path string, length long")
+    read = A.with_unreadable(listed, spark.createDataFrame([("a", bytearray(b"x"))], "path string, raw binary"))
+    assert {r["path"]: r["raw"] for r in read.collect()} == {"a": b"x", "b": None}
+
+
+def test_bounds_of_sites_and_traces(spark, monkeypatch):
+    from sparkwarden.operators import lua_scan
+    from sparkwarden.operators.lua_scan import Scan
+
+    util = [(i, f"lib/u{i}.lua", f"local M = {{}}\nfunction M.run(c)\n  os.execute(c)\nend\nreturn M\n") for i in range(3)]
+    main = (9, "app/main.lua", "".join(f'require("u{i}").run(http.formvalue("c"))\n' for i in range(3)))
+    rows = spark.createDataFrame([*util, main], "artifact_id long, path string, body string")
+    found = Scan(rows).findings().where("code = '709'").collect()
+    assert sorted((r["file"], r["origin"]) for r in found) == [(f"lib/u{i}.lua", "app/main.lua") for i in range(3)]
+    assert all([s["kind"] for s in r["trace"]] == ["source", "call", "sink"] for r in found)
+    monkeypatch.setattr(lua_scan, "MAX_SITES", 2)
+    cut = Scan(rows)
+    assert cut.findings().where("code = '709'").count() == 2
+    assert {r["counter"]: r["n"] for r in cut.diagnostics().collect()}["files_with_cut_sites"] == 1
+    assert {r["artifact_id"]: list(r["chain"]) for r in cut.chains().collect()} == {0: [9], 1: [9]}
+    monkeypatch.setattr(lua_scan, "MAX_FUNCTIONS", 1)
+    large = Scan(rows)
+    assert {r["code"] for r in large.findings().collect()} >= {"904"} and large.findings().where("code = '709'").count() == 0
+
+
+def test_validators_channels_and_guards(spark):
+    body = 'function PingHandler(host)\n  if validations.is_ipv4_address(host) then\n    os.execute("ping " .. host)\n  end\nend\n'
+    got = scan(spark.createDataFrame([(1, "a.lua", body)], "artifact_id long, path string, body string"), ("cgilua",)).where("code = '709'").collect()
+    assert [(r["line"], r["confidence"]) for r in got] == [(3, "low")]
+    assert "[reachable from: web]" in got[0]["message"] and "guarded by validations.is_ipv4_address" in got[0]["message"]
+
+
+def test_one_source_that_fails_does_not_end_the_scan(spark, monkeypatch):
+    from sparkwarden.functions import lua_shapes
+
+    def broken(f):
+        raise KeyError("x")
+
+    monkeypatch.setattr(lua_shapes, "growth", broken)
+    got = extract(1, "a", "local x = 1\n")
+    assert got["status"] == "unparsed" and got["message"] == "analysis failed: KeyError" and got["calls"] == []

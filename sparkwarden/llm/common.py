@@ -60,3 +60,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def within(rows: list, size: int, budget: int) -> list:
+    """The rows, in order, that fit a budget together; ``row[size]`` is what a row takes.
+
+    A row that does not fit is passed over and the next ones still count, so a
+    sample is bounded by what it holds and not by what a row may hold.
+    """
+    out, left = [], budget
+    for row in rows:
+        if row[size] <= left:
+            out.append(row)
+            left -= row[size]
+    return out

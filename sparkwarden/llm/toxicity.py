@@ -4,14 +4,16 @@ A document is a bag of sentences.  A sentence has probability sigmoid(bias +
 sum of its word weights); a document is toxic with probability 1 - prod(1 - p),
 and that likelihood is trained from document labels alone, so the sentences
 that carry a label are found without being marked.  A word's weight is the sum
-of the weights of its hashed features (its beginnings, and the word if short), so
-unseen inflections score too.  A word that repeats the one before it adds nothing.
+of the weights of its hashed features (the word, its beginnings, and the inner
+parts of a long one or of a run without spaces), so unseen inflections and
+compounds score too.  A word that repeats the one before it adds nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import ne
 from zlib import crc32
 
 import numpy as np
@@ -19,25 +21,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, within
 from .mixing import unit_draw
 
-#: At most so many labelled rows of each label are fitted on, chosen by a hash of their ids.
-MAX_TRAIN = 4000
-#: Longer texts are not fitted on (they are scored like any other).
-MAX_TRAIN_CHARS = 100_000
+#: At most so many labelled rows of each label, and so many characters of them together, are fitted on, chosen by a hash of their ids.
+MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 60_000_000
 BUCKETS = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 BREAK = 1e9
 #: A sentence goes on until it has so many words.
 LEAST_WORDS = 5
+#: Words longer than this, compounds and runs without spaces, count by their inner parts as well.
+LONG_WORD = 12
 WORDS_KEPT = 500_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word: its beginnings of 3 to 6 bytes, and itself if it is shorter than 7."""
-    w = word[:40].encode("utf-8", "replace")
-    whole = [crc32(b"$", crc32(w)) % BUCKETS] if len(w) < 7 else []
-    return whole + [crc32(w[:n]) % BUCKETS for n in (3, 4, 5, 6) if len(w) >= n]
+    """Buckets of a word: itself, its beginnings of 3 to 6 bytes, and all its 5-letter parts if it is longer than LONG_WORD."""
+    w = word.encode("utf-8", "replace")
+    out = [crc32(b"$", crc32(w)) % BUCKETS, *(crc32(w[:n]) % BUCKETS for n in (3, 4, 5, 6) if len(w) >= n)]
+    if len(word) > LONG_WORD:
+        out += [crc32(b"~" + word[i : i + 5].encode("utf-8", "replace")) % BUCKETS for i in range(1, len(word) - 4)]
+    return out
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -84,7 +89,7 @@ class Scorer(dict):
         v = np.fromiter(map(self.__getitem__, tokens), "float64", len(tokens))
         is_break = v >= BREAK
         counts = ~is_break  # a word counts, unless it repeats the one before it
-        counts[1:] &= v[1:] != v[:-1]
+        counts[1:] &= np.fromiter(map(ne, tokens[1:], tokens), bool, max(0, len(tokens) - 1))
         v = np.where(counts, v, 0.0)
         words = np.concatenate(([0], np.cumsum(counts)))
         at, done = [], 0
@@ -168,16 +173,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     """Fits on a bounded, hash-chosen sample of each label.
 
     ``labels`` has ``doc_id, toxic``; null labels and ids are ignored, and an id
-    labelled twice counts as toxic if either label is.
+    labelled twice counts as toxic if either label is.  Texts are learned from
+    whole, however long; one that does not fit the sample's characters any more
+    is passed over.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     weight = (max(1.0, sizes.get(0, 0) / max_train) / max(1.0, sizes.get(1, 0) / max_train)) ** 0.5  # between the sample's balance and that of all labels
     parts = [known.where(F.col("toxic") == v).orderBy(unit_draw(F.col("doc_id"), 1), "doc_id").limit(max_train) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * max_train rows
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # a row for each chosen id, however often it is repeated
-    pdf = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    sample = cut(texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    sizes = sample.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n"), unit_draw(F.col("doc_id"), 1).alias("draw")).collect()
+    by_label = [within(sorted((r for r in sizes if r["toxic"] == v), key=lambda r: (r["draw"], r["doc_id"])), 2, MAX_TRAIN_CHARS // 2) for v in (0, 1)]
+    fits = [(r["doc_id"],) for part in by_label for r in part]
+    if len(fits) < len(sizes):
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long")), "doc_id", "left_semi")
+    pdf = sample.toPandas().sort_values("doc_id")
     return fit(pdf["text"].tolist(), pdf["toxic"].tolist(), weight)
 
 

@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, within
 from .mixing import unit_draw
 
 BUCKETS = 1 << 15
-#: About so many rows of each language are fitted on, chosen by a hash of their ids.
-MAX_TRAIN_PER_LANGUAGE = 800
-#: Longer texts are not fitted on (they count in the frequencies and are scored).
-MAX_TRAIN_CHARS = 100_000
+#: About so many rows of each language, so many in all and so many characters of them are fitted on, chosen by a hash of their ids.
+MAX_TRAIN_PER_LANGUAGE, MAX_TRAIN, MAX_TRAIN_CHARS = 800, 64_000, 60_000_000
 
 
 def buckets_of(text: str) -> np.ndarray:
@@ -136,15 +135,30 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = MAX_TRAIN_PER_LANGUAGE) -> Model:
-    """Learns from ``text`` and non-null ``lang`` of all rows given."""
+    """Learns from ``text`` and non-null ``lang`` of all rows given.
+
+    Every language is learned, of many the fewer rows each; the model has a
+    weight per bucket and language.  Texts are learned from whole, however long;
+    one that does not fit the sample's characters any more is passed over.
+    Repeated rows count as often as they stand; an empty table gives a model
+    without labels.
+    """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     idf = inverse_frequencies(known)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()  # languages, at most 1000
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return Model([], idf, np.zeros((BUCKETS, 0), "float32"), np.zeros(0), 1.0)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["n"]))])
-    chosen = known.where((unit_draw(F.col("doc_id"), 2) < share[F.col("lang")]) & (F.length("text") <= MAX_TRAIN_CHARS))
-    pdf = chosen.orderBy("doc_id", "text").limit(2 * per_language * len(sizes)).toPandas()
+    most = max(1, min(per_language, MAX_TRAIN // n_langs))
+    share = F.broadcast(sizes.select("lang", (F.lit(float(most)) / F.col("n")).alias("share")))  # a row per language
+    drawn = unit_draw(F.col("doc_id"), 2)
+    sample = known.join(share, "lang").where(drawn < F.col("share")).select("doc_id", "text", "lang", drawn.alias("draw"), F.xxhash64("doc_id", "text", "lang").alias("k"))
+    sample = cut(sample.orderBy("draw", "k").limit(2 * most * n_langs), "labelled")
+    rows = sample.select("draw", "k", F.length("text").alias("n")).collect()
+    fits = within(sorted(rows, key=lambda r: (r["draw"], r["k"])), 2, MAX_TRAIN_CHARS)
+    if len(fits) < len(rows):
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted({r["k"] for r in fits})], "k long")), "k", "left_semi")
+    pdf = sample.toPandas().sort_values(["doc_id", "text", "lang"])
     pdf = pdf[[has_letter(t) for t in pdf["text"]]]
     return fit(pdf["text"].tolist(), pdf["lang"].tolist(), idf)
 

@@ -1,10 +1,10 @@
 """URL filter: a blocked Bloom filter ahead of an exact hash join.
 
 Listed entries are canonical (host, path prefix) pairs.  Each URL offers its
-canonical candidates: every suffix of its host with its path cut at each listed
-path length.  The filter, one 256-bit block per key with eight bits set, drops
-nearly all candidates where they are made; the rest meet the list in a hash
-join, which removes the false positives.  The filter is sized by a count of the
+canonical candidates: every suffix of its host, and with the suffixes that may be
+listed its path cut at each path length listed for them.  The filter, one 256-bit
+block per key with eight bits set, drops nearly all candidates where they are
+made; the rest meet the list in hash joins, which remove the false positives.  The filter is sized by a count of the
 list and only broadcast up to ``MAX_FILTER_BYTES``; for longer lists the block
 size stays and the false-positive rate rises, which the join makes good.
 """
@@ -91,11 +91,9 @@ def match(urls: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "
     """
     spark = urls.sparkSession
     listed = cut(listed.select(F.lower("host").alias("lh"), F.col("path").alias("lp"), "kind", "verdict").where("lh is not null and lp is not null"), "listed")
-    lengths = [r[0] for r in listed.select(F.length("lp")).distinct().orderBy(F.length("lp")).limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise ValueError("more than 4096 distinct path lengths are listed")
-    hashed = listed.select(F.xxhash64("lh", "lp").alias("h"))
-    shared = spark.sparkContext.broadcast(build_filter(hashed, listed.count()).words)
+    lengths = listed.groupBy("lh").agg(F.collect_set(F.length("lp")).alias("_lengths"))
+    hashed = listed.select(F.explode(F.array(F.xxhash64("lh"), F.xxhash64("lh", "lp"))).alias("h"))
+    shared = spark.sparkContext.broadcast(build_filter(hashed, 2 * listed.count()).words)
 
     @F.pandas_udf("boolean")
     def might(h: pd.Series) -> pd.Series:
@@ -105,9 +103,9 @@ def match(urls: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "
     rows = rows.select(key, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
     distinct = rows.where("host <> ''").select("host", "path").distinct()
-    offered = distinct.select("host", "path", F.explode(tails).alias("lh")).select("*", F.explode(cuts).alias("_n"))
+    hosts = distinct.select("host", "path", F.explode(tails).alias("lh")).where(might(F.xxhash64("lh"))).join(lengths, "lh")
+    offered = hosts.select("host", "path", "lh", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
     offered = offered.select("host", "path", "lh", F.substring("path", F.lit(1), F.col("_n")).alias("lp"))
     possible = offered.where(might(F.xxhash64("lh", "lp")))
     exact = possible.join(listed, ["lh", "lp"])

@@ -321,5 +321,10 @@ def test_url_match_equals_plain_rules(spark):
     assert len(got) == len(urls) + 1
     for r in got:
         assert (r["host"], r["path"], r["entry"]) == plain(urls[r["page_id"]]), urls[r["page_id"]]
+    # any number of listed path lengths
+    many = [("h.org", "/" + "x" * n, "list", "block") for n in range(0, 5000)]
+    one = spark.createDataFrame([(1, "http://a.h.org/" + "x" * 4321 + "y", "x"), (2, "http://a.h.org/", "x"), (3, "http://g.org/xx", "x")], "page_id long, url string, host string")
+    got = {r["page_id"]: r["entry"] for r in url_filter.match(one, spark.createDataFrame(many, "host string, path string, kind string, verdict string")).collect()}
+    assert got == {1: "h.org/" + "x" * 4321, 2: "h.org/", 3: None}
     empty = spark.createDataFrame([], "host string, path string, kind string, verdict string")
     assert url_filter.match(pages, empty).where("entry is not null").count() == 0

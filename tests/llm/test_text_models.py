@@ -73,6 +73,74 @@ def test_inverse_frequencies_cover_all_rows(spark):
     assert np.allclose(idf, np.log((1 + len(texts)) / (1 + brute)) + 1)
 
 
+def test_samples_are_bounded_by_what_they_hold(spark, monkeypatch):
+    from sparkwarden.llm.common import within
+
+    assert within([(0, 5), (1, 90), (2, 4), (3, 1), (4, 1)], 1, 10) == [(0, 5), (2, 4), (3, 1)]
+    rows = docs_of(40, 3, ("vile",))
+    docs = spark.createDataFrame([(i, t + " and more" * (200 if i == 0 else 0), "en" if i % 2 else "de") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, weight: seen.update(toxic=texts))
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, idf: seen.update(lang=texts))
+    toxicity.train(docs, labels)
+    langid.train(docs)
+    assert len(seen["toxic"]) == len(seen["lang"]) == 40 and max(map(len, seen["toxic"])) > 1800  # long texts are learned from whole
+    for module in (toxicity, langid):
+        monkeypatch.setattr(module, "MAX_TRAIN_CHARS", 4000)
+    toxicity.train(docs, labels)
+    langid.train(docs)
+    assert 0 < len(seen["toxic"]) < 40 and sum(map(len, seen["toxic"])) <= 4000
+    assert 0 < len(seen["lang"]) < 40 and sum(map(len, seen["lang"])) <= 4000
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, " ".join([f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + (7 * k) % 26)}"] * 12), f"l{k:03d}") for i, k in enumerate(list(range(300)) * 3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert len(model.labels) == 300
+
+
+def test_toxicity_score_equals_a_plain_noisy_or():
+    rows = docs_of(60, 8, ("vile", "rotten"))
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows], epochs=4)
+    for _, text, _ in rows + [(0, "One. Two three. four five six seven eight! nine\nten", 0), (0, "a a a a a b. " * 3, 0)]:
+        words, sentences, last = [], [], None
+        for t in re.findall(r"[^\W\d_]+|[.!?\n]+", text.lower()):
+            if t[0] in ".!?\n":
+                if len(words) >= toxicity.LEAST_WORDS:
+                    sentences.append(words)
+                    words = []
+                last = None
+            else:
+                if t != last:
+                    words.append(t)
+                last = t
+        sentences += [words] if words else []
+        left = 1.0
+        for words in sentences:
+            z = model.bias + sum(float(model.weights[f]) for w in words for f in toxicity.features(w))
+            left *= 1 - 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        assert abs(model.scorer().score(text) - (1 - left)) < 1e-5, text
+
+
+def test_language_score_equals_a_plain_softmax():
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list(a), 4)) for _ in range(20)) for a in ("abcdef", "defghi", "ghijkl") * 10]
+    idf = rng.uniform(1, 3, langid.BUCKETS)
+    model = langid.fit(texts, ["a", "b", "c"] * 10, idf)
+    for text in texts[:6] + ["Zz 12 abc!", "q"]:
+        counts = {}
+        for b in langid.buckets_of(text):
+            counts[int(b)] = counts.get(int(b), 0) + 1
+        x = {b: (1 + np.log(c)) * idf[b] for b, c in counts.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * model.weights[b, k] for b, v in x.items()) + model.bias[k]) / model.temperature for k in range(3)]
+        p = np.exp(np.asarray(z) - max(z))
+        p /= p.sum()
+        label, score = model.predict(text)
+        assert label == model.labels[int(np.argmax(p))] and abs(score - p.max()) < 1e-5
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -1,6 +1,7 @@
 """Vector de-duplication and search against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import ann, embed_dedup
@@ -25,7 +26,9 @@ def clustered(n, dim, seed):
     return rows + hot
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize("cell_rows", [400_000, 150])
+def test_links_equal_brute_force(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", cell_rows)  # one cell, and many
     rows = clustered(600, 24, 1)
     odd = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [None] * 24, 1), (5004, [float("inf")] + [1.0] * 23, 1), (5005, rows[0][1], None), (5006, [1.0, 2.0], 1), (5007, [1.0, 2.0], 1)]
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table(spark, rows + odd), 0.93).collect()}
@@ -77,3 +80,38 @@ def test_search_edges(spark):
     assert got == [(0, 1, 20, 1.0), (0, 2, 21, 1.0), (0, 3, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 21, 1.0), (20, 3, 3, 0.0)]
     assert ann.search(few.where("false"), F.col("node") % 20 == 0).count() == 0
     assert ann.search(few.where("vec_id = 20"), F.col("node") % 20 == 0).count() == 0
+
+
+def test_lists_and_sample_grow_with_the_table():
+    assert [ann.lists_for(n) for n in (1, 999, 50_000, 4_096_000)] == [1, 1, 50, 4096]
+    assert ann.lists_for(400_000_000) > 9 * 4096 and ann.lists_for(4 * 10**8) < ann.lists_for(16 * 10**8)
+
+
+def test_near_centroids_stand_together():
+    rng = np.random.default_rng(4)
+    c = np.concatenate([rng.standard_normal((40, 8)) * 0.1 + 5 * rng.standard_normal(8) for _ in range(8)])
+    place = ann._line_up(c)
+    assert sorted(place) == list(range(len(c)))
+    spans = [np.ptp(place[40 * k : 40 * k + 40]) for k in range(8)]
+    assert np.median(spans) < 80  # a group of 40 stands in a stretch of the 320
+
+
+def test_many_lists_and_blocks_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 50)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    centres = 20 * rng.standard_normal((40, 16))
+    sent = {}
+    for n in (2000, 8000):
+        x = (centres[np.arange(n) % 40] + rng.standard_normal((n, 16))).astype("float32")
+        rows = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+        got = ann.search(rows, F.col("node") % 20 == 0, 5)
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        found = got.collect()
+        d = x.astype("float64")
+        want = {q: set(np.argsort(-np.where(np.arange(n) == q, -np.inf, d @ d[q]))[:5].tolist()) for q in range(0, n, 20)}
+        hit = sum(r["vec_id"] in want[r["query_id"]] for r in found)
+        assert hit / (5 * len(want)) >= 0.95
+        sent[n] = len(found)
+    assert sent[8000] == 4 * sent[2000]

@@ -38,12 +38,12 @@ NEIGHBOURS = 4
 MARGIN = 0.25
 #: Ids up to this count are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 250_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype="uint64")
 #: Rows and bytes of sets of a dense region in one block, about; its estimates reach so far below the threshold (four standard errors).
-BLOCK, BLOCK_BYTES, DENSE_MARGIN = 1024, 16 << 20, 0.17
+BLOCK, BLOCK_BYTES, DENSE_MARGIN = 512, 8 << 20, 0.17
 PAIR, DENSE, BORDER = 0, 1, 2
 KEYS = "tree int, k1 long, k2 long, k3 long, node long"
 

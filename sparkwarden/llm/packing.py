@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, unused
 
-#: Distinct words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-WORDS_KEPT = 500_000
+#: Distinct words and parts whose ids a worker keeps; beyond it the memory is emptied and filled anew.
+WORDS_KEPT = 300_000
 #: A word longer than this is encoded each time and not kept.
 WORD_CHARS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -149,23 +149,8 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(chr(moved.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-class _Parts(dict):
-    """Ids of a run of letters, a digit or a run of signs, straight from the vocabulary's merges."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.spell = model, _byte_letters()
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spell))]
-        value = self[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return value
-
-
 class Encoder(dict):
-    """Ids of whole texts as little-endian 32-bit words; remembers the words between white space.
+    """Ids of whole texts as little-endian 32-bit words; remembers the words between white space and their parts.
 
     Where ASCII white space always ends a token and yields none, words encode
     alone; words of plain letters, digits and signs are encoded by their parts,
@@ -182,7 +167,7 @@ class Encoder(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(tokenizer_file)
-        self.parts = _Parts(self.tok.model)
+        self.model, self.spell = self.tok.model, _byte_letters()
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.short = not any(re.search(r"\s", t) for t in special) and all(self._by_words(p) == self._exact(p) for p in self.PROBES)
@@ -190,6 +175,11 @@ class Encoder(dict):
     def _exact(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of letters, a digit or a run of signs, straight from the vocabulary's merges."""
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spell))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _by_words(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, words))
@@ -198,8 +188,12 @@ class Encoder(dict):
         if len(word) > WORD_CHARS or not _PLAIN.fullmatch(word) or (self.special and self.special.search(word)):
             value = self._exact(word)
         else:
-            parts = _PARTS.findall(word.lower())
-            value = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
+            low = word.lower()
+            parts = _PARTS.findall(low)
+            if len(parts) != 1:
+                value = b"".join([self[p] for p in parts])
+            else:
+                value = self._part(low) if low == word else self[low]
         if len(word) <= WORD_CHARS:
             if len(self) > WORDS_KEPT:
                 self.clear()

@@ -197,17 +197,18 @@ def _sig(x: np.ndarray) -> np.ndarray:
 
 
 def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool = False):
-    """States over ``x`` (batch, time) of classes; masked steps carry no state."""
+    """States over ``x`` (batch, time) of classes; masked steps carry no state.  With ``keep``, what the way back needs as well."""
     n, t, h = len(x), x.shape[1], wh.shape[0]
-    hs, cs = np.zeros((t + 1, n, h), "float32"), np.zeros((t + 1, n, h), "float32")
-    gates = np.zeros((t, n, 4 * h), "float32")
+    hs, cell = np.zeros((t + 1, n, h), "float32"), np.zeros((n, h), "float32")
+    cs, gates = (np.zeros((t + 1, n, h), "float32"), np.zeros((t, n, 4 * h), "float32")) if keep else (None, None)
     for i in range(t):
         z = wx[x[:, i]] + hs[i] @ wh + b
         g = np.concatenate((_sig(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])), 1)
         m = mask[:, i : i + 1]
-        cs[i + 1] = (g[:, h : 2 * h] * cs[i] + g[:, :h] * g[:, 3 * h :]) * m
-        hs[i + 1] = g[:, 2 * h : 3 * h] * np.tanh(cs[i + 1]) * m
-        gates[i] = g
+        cell = (g[:, h : 2 * h] * cell + g[:, :h] * g[:, 3 * h :]) * m
+        hs[i + 1] = g[:, 2 * h : 3 * h] * np.tanh(cell) * m
+        if keep:
+            cs[i + 1], gates[i] = cell, g
     return (hs[1:], (hs, cs, gates)) if keep else (hs[1:], None)
 
 
@@ -457,7 +458,16 @@ def find(texts: list[str], tagger: Tagger, at_once: int = 512) -> list[tuple[lis
     def tagged(queue: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Decodes windows ``(text, start, end)``; returns the wider ones asked for by spans that touch a cut edge."""
         wider: dict[tuple[int, int, int], None] = {}
-        for (i, a, b), spans in zip(queue, tagger.decode([char_classes(texts[i][a:b]) for i, a, b in queue])):
+        # windows of like width go together, so that a batch never holds more than `at_once` first windows would
+        queue = sorted(queue, key=lambda q: q[2] - q[1])
+        decoded, at = [], 0
+        while at < len(queue):
+            n = 1
+            while at + n < len(queue) and (n + 1) * (queue[at + n][2] - queue[at + n][1]) <= at_once * WINDOW:
+                n += 1
+            decoded += tagger.decode([char_classes(texts[i][a:b]) for i, a, b in queue[at : at + n]])
+            at += n
+        for (i, a, b), spans in zip(queue, decoded):
             for kind, u, v, score in spans:
                 low, high = u == 0 and a > 0, v == b - a and b < len(texts[i])
                 if low or high:

@@ -12,6 +12,7 @@ compounds score too.  A word that repeats the one before it adds nothing.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from operator import ne
 from zlib import crc32
@@ -33,7 +34,7 @@ BREAK = 1e9
 LEAST_WORDS = 5
 #: Words longer than this, compounds and runs without spaces, count by their inner parts as well.
 LONG_WORD = 12
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -129,9 +130,11 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, epochs:
         if len(ids) == cuts[-1]:
             cuts.pop()
         docs.append((np.asarray(ids, "int32"), np.asarray(cuts, "int64")))
-    lists = [features(w) for w in vocabulary]
-    ptr = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype("int64")
-    flat = np.fromiter((f for x in lists for f in x), "int64", int(ptr[-1]))
+    buckets, ends = array("i"), array("q", [0])  # of all words, one after the other
+    for word in vocabulary:
+        buckets.extend(features(word))
+        ends.append(len(buckets))
+    flat, ptr = np.frombuffer(buckets, "int32") if len(buckets) else np.zeros(0, "int32"), np.frombuffer(ends, "int64")
     usable = [i for i, (ids, _) in enumerate(docs) if len(ids)]
     weights, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     bias, bias_g2 = -8.0, 1e-3

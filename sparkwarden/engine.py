@@ -19,8 +19,11 @@ FORMATS = ("json", "sarif", "plain", "html")
 class Engine:
     """One set of rules over any number of artifact tables."""
 
-    def __init__(self, spark: SparkSession, profiles: tuple[str, ...] = (), rules: dict | None = None, config: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, profiles: tuple[str, ...] = (), rules: dict | None = None, config: str | None = None, **options):
+        """``options`` are those of a scan: ``detectors`` (P03) and ``progress``."""
+        if set(options) - {"detectors", "progress"}:
+            raise ValueError(f"unknown option: {', '.join(sorted(set(options) - {'detectors', 'progress'}))}")
+        self.spark, self.options = spark, options
         self.settings = documents.config(config) if config else {}
         self.profiles = tuple(dict.fromkeys([*self.settings.get("std", []), *profiles]))
         self.rules = dims.validate(rules or {})
@@ -40,11 +43,11 @@ class Engine:
         files reported; without one every row is Lua source.
         """
         lua = artifacts.where(F.col("route").isin("analyze", "template", *(["conf"] if "openresty" in self.profiles else []))) if "route" in artifacts.columns else artifacts
-        found = Scan(lua, self.profiles, self.rules).findings()
+        found = Scan(lua, self.profiles, self.rules, **self.options).findings()
         if "route" in artifacts.columns and "openresty" not in self.profiles:
             conf = artifacts.where("route = 'conf'")  # B10: server configurations bring their platform's registry
             if not conf.isEmpty():
-                found = found.unionByName(Scan(conf, (*self.profiles, "openresty"), self.rules).findings())
+                found = found.unionByName(Scan(conf, (*self.profiles, "openresty"), self.rules, **self.options).findings())
         if "route" in artifacts.columns:
             sinks = [s[1] for s in dims.SINKS if "*" not in s[1]]
             chunks = A.triage(artifacts.where("route = 'triage'"), sinks)

@@ -46,7 +46,8 @@ def is_hex_blob(text: Column) -> Column:
 
 def line_of(text: Column, position: Column) -> Column:
     """1-based line of a 1-based position."""
-    return (1 + F.length(F.regexp_replace(F.substring(text, F.lit(1), position - 1), "[^\n]", ""))).cast("int")
+    head = F.substring(text, F.lit(1), position - 1)
+    return (1 + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).cast("int")
 
 
 def column_of(text: Column, position: Column) -> Column:

@@ -124,7 +124,7 @@ def fingerprint(findings: DataFrame) -> Column:
 def normalise(findings: DataFrame) -> DataFrame:
     """The contract's columns, absent text as empty, distinct."""
     text = ("code", "severity", "confidence", "cwe", "message", "name", "source", "file")
-    more = [c for c in ("origin", "trace") if c in findings.columns]
+    more = [c for c in ("origin", "trace", "enabled") if c in findings.columns]
     out = findings.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text], "line", "column", "end_column", "status", *more)
     return distinct(out)
 

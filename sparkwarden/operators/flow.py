@@ -39,11 +39,14 @@ def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list
 
     ``seeds`` has ``keys``, ``node`` and ``labels``; ``edges`` has ``keys``,
     ``src``, ``dst`` and what ``transform`` needs.  A round joins only the facts
-    that the last one found.  Facts are sets: cycles end by themselves.
+    that the last one found.  Facts are sets: cycles end by themselves, and an
+    edge may be repeated.
     """
     identity = [*keys, "node", *labels]
     known = delta = stored(seeds.select(*identity).distinct(), "facts")
     parts, rounds = [known], 0
+    if delta.isEmpty():
+        return known, False
     edges = edges if edges_stored else stored(edges, "edges")
     while not delta.isEmpty():
         if max_rounds is not None and rounds == max_rounds:

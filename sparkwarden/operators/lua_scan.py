@@ -8,6 +8,9 @@ edges like any other.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +54,11 @@ def gid(node: str | Column) -> Column:
 class Scan:
     """Relations and taint of a set of artifacts, each computed once and stored."""
 
-    def __init__(self, artifacts: DataFrame, profiles: tuple[str, ...] = (), extra: dict | None = None):
+    def __init__(self, artifacts: DataFrame, profiles: tuple[str, ...] = (), extra: dict | None = None, detectors: Sequence[Callable[[Scan], DataFrame]] = (), progress: Callable[[str], object] | None = None):
+        """``detectors`` take the scan and return findings as its own do (P03); ``progress`` is told of each stage."""
         self.spark: SparkSession = artifacts.sparkSession
+        self.detectors, self.progress = tuple(detectors), progress
+        self._tell("parse")
         self.profiles, self.extra = profiles, dims.validate(extra or {})
         self.facts = facts(artifacts)
         r = lambda n: relation(self.facts, n)
@@ -60,6 +66,11 @@ class Scan:
         self.reads, self.strings, self.binds, self.spots, self.names = r("reads"), r("strings"), r("binds"), r("spots"), r("names")
         self.registered, self.routes = r("handlers"), r("routes")
 
+    def _tell(self, stage: str) -> None:
+        if self.progress is not None:
+            with contextlib.suppress(Exception):  # a listener that fails is no failure of the scan
+                self.progress(stage)
+
     # ---- G: seeds and edges
     def seeds(self) -> DataFrame:
         """Dotted, method, value and global sources, and entry points."""
@@ -85,7 +96,7 @@ class Scan:
     def flow_edges(self) -> DataFrame:
         """``src, dst, label, site`` with labels copy, quote, bind and ret; made once."""
         if not hasattr(self, "_edges"):
-            self._edges = stored(self._flow_edges().distinct(), "edges")
+            self._edges = stored(self._flow_edges(), "edges")
         return self._edges
 
     def _flow_edges(self) -> DataFrame:
@@ -165,7 +176,12 @@ class Scan:
 
     # ---- I: sinks
     def sink_args(self) -> DataFrame:
-        """Calls and assignments of sinks with each argument that matters."""
+        """Calls and assignments of sinks with each argument that matters; made once."""
+        if not hasattr(self, "_sink_args"):
+            self._sink_args = stored(self._find_sink_args(), "sinks")
+        return self._sink_args
+
+    def _find_sink_args(self) -> DataFrame:
         dim = dims.sinks(self.spark, self.profiles, self.extra)
         calls = best_match(self.calls.select("artifact_id", "file", F.col("node").alias("call"), "path", "fn", "line", "col"), dim.where("kind <> 'assign'"), "path", ["pattern", "code", "kind", "arg", "filters"])
         args = self.args.select("artifact_id", "call", "pos", "node", "is_const")
@@ -241,7 +257,7 @@ class Scan:
         unfed = fns.join(fed, ["artifact_id", "fn"], "left_anti")
         args = self.sink_args().where(~F.col("kind").isin(*TAINT_ONLY, "config", "expose")).where("not is_const").join(unfed, ["artifact_id", "fn"], "left_semi").withColumn("g", gid("node"))
         seeds = self.formals.join(unfed, ["artifact_id", "fn"], "left_semi").select(gid("node").alias("node"))
-        copies = self.flow_edges().where("label in ('copy', 'quote')").select("src", "dst").distinct()
+        copies = self.flow_edges().where("label in ('copy', 'quote')").select("src", "dst")
         reached = semi_naive(seeds, copies, [])[0].withColumnRenamed("node", "g")
         live = args.join(reached, "g", "left_semi").join(self.taint().select(F.col("node").alias("g")), "g", "left_anti")
         return self._out(live, F.lit("708"), F.col("path"), F.lit("low"))
@@ -251,9 +267,13 @@ class Scan:
         return df.select("artifact_id", "file", code.alias("code"), name.alias("name"), "line", F.col("col").alias("column"), confidence.alias("confidence"), (source if source is not None else F.lit("")).alias("source"))
 
     # ---- J: detectors
-    def _first_args(self, most: int = 2) -> DataFrame:
-        a = self.args.where(F.col("pos") <= most).groupBy("artifact_id", F.col("call").alias("node")).agg(*[F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"{c}{i}") for i in range(1, most + 1) for c in ("value", "lead", "is_const")])
-        return self.calls.join(a, ["artifact_id", "node"], "left")
+    def _first_args(self) -> DataFrame:
+        """Every call with what is known of its first two arguments; made once."""
+        if not hasattr(self, "_firsts"):
+            a = self.args.where("pos <= 2").groupBy("artifact_id", F.col("call").alias("node")).agg(*[F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("value", "lead", "is_const")])
+            wanted = self.calls.where(F.col("path").isin("io.open", "os.remove", "os.rename", "os.execute", "io.popen", "io.lines") | F.col("path").endswith("sethook"))
+            self._firsts = stored(wanted.join(a, ["artifact_id", "node"], "left"), "firsts")
+        return self._firsts
 
     def files(self) -> DataFrame:
         """Opens, removals and shell writes of protected paths."""
@@ -286,7 +306,7 @@ class Scan:
         out = out.unionByName(self._out(asked, F.lit("728"), F.col("path"), F.when(F.col("tid").isNotNull(), "high").otherwise("medium"), F.coalesce("tid", F.lit(""))))
         counts = self.calls.where("path = 'string.rep'").withColumn("pos", F.lit(2)).join(at, ["artifact_id", "node", "pos"]).where("not is_const").withColumn("g", gid("argn")).join(tainted, "g")
         out = out.unionByName(self._out(counts, F.lit("727"), F.col("path"), F.lit("medium"), F.col("tid")))
-        hooks = self._first_args().where((S.last_segment(F.coalesce("path", F.lit(""))) == "sethook") & F.lower(F.element_at(F.split("path", r"\."), -2)).contains("debug") & F.col("is_const2").isNotNull())
+        hooks = self._first_args().where((S.last_segment(F.coalesce("path", F.lit(""))) == "sethook") & F.lower(F.try_element_at(F.split("path", r"\."), F.lit(-2))).contains("debug") & F.col("is_const2").isNotNull())
         seen = F.when(~F.col("is_const2"), "low").when(F.coalesce("value2", F.lit("")).rlike("[lcr]"), "high")
         return out.unionByName(self._out(hooks.withColumn("seen", seen).where("seen is not null"), F.lit("745"), F.lit("debug.sethook"), F.col("seen")))
 
@@ -294,7 +314,7 @@ class Scan:
         """Decoders into loaders and commands, machine code in strings."""
         by_name = S.decoder_name(F.coalesce("path", "method", F.lit(""))) | F.col("path").isin("string.char", "string.unpack", "bit.bxor", "bit32.bxor")
         seeds = self.calls.where(by_name).select(gid("node").alias("node"))
-        moved = self.edges.where(F.col("label").isin("copy", "receiver") | F.col("label").startswith("arg")).select(gid("src").alias("src"), gid("dst").alias("dst")).distinct()
+        moved = self.edges.where(F.col("label").isin("copy", "receiver") | F.col("label").startswith("arg")).select(gid("src").alias("src"), gid("dst").alias("dst"))
         decoded = semi_naive(seeds, moved, [], max_rounds=24)[0].withColumnRenamed("node", "g")
         first = self.args.where("pos = 1").select("artifact_id", F.col("call").alias("node"), gid("node").alias("g"))
         fed = self.calls.where(F.col("path").isin(*LOADERS, *EXEC_SINKS)).join(first, ["artifact_id", "node"]).join(decoded, "g", "left_semi")
@@ -381,7 +401,7 @@ class Scan:
         tainted = self.taint().select(F.col("node").alias("g")).distinct()
         writes = wide.where("dir = 'write'").withColumn("g", gid("vnode")).join(tainted, "g", "left_semi").select("table", "column", F.format_string("%s:%09d", "file", "line").alias("writer"))
         reads = wide.where("dir = 'read'").select(gid("node").alias("node"), "table", "column")
-        reached, _ = semi_naive(reads.select("node", F.concat_ws(".", "table", "column").alias("tid")), self.flow_edges().select("src", "dst").distinct(), [], ["tid"])
+        reached, _ = semi_naive(reads.select("node", F.concat_ws(".", "table", "column").alias("tid")), self.flow_edges().select("src", "dst"), [], ["tid"])
         args = self.sink_args().where("kind = 'exec'").withColumn("g", gid("node"))
         pending = args.join(reached.withColumnRenamed("node", "g"), "g").select("artifact_id", "file", "line", "col", "path", F.substring_index("tid", ".", 1).alias("table"), F.substring_index("tid", ".", -1).alias("column"))
         paired = pair_stores(pending, writes, ["artifact_id", "file", "line", "col", "path"])
@@ -402,6 +422,8 @@ class Scan:
         out = self.sinks()
         for part in (self.shapes, self.exposed, self.config_writes, self.files, self.behaviour, self.payloads, self.secrets, self.brute_force, self.handlers, self.signatures, self.capabilities, self.store_hops, self.gaps):
             out = out.unionByName(part(), allowMissingColumns=True)
+        for detector in self.detectors:
+            out = out.unionByName(detector(self), allowMissingColumns=True)
         return out
 
     def diagnostics(self) -> DataFrame:
@@ -427,11 +449,15 @@ class Scan:
 
     def findings(self) -> DataFrame:
         """The report: coverage, store pairing, directives, catalogue, normal form (section 3 order)."""
+        self._tell("flow")
+        self.taint()
+        self._tell("detect")
         raw = stored(self.raw_findings(), "raw")
+        self._tell("report")
         shaped = cover(raw)
         hop = raw.where("code = '729'").select("file", "line", "column").distinct()
         kept = shaped.where("code not in ('701', '702')").unionByName(shaped.where("code in ('701', '702')").join(hop, ["file", "line", "column"], "left_anti"))
-        flagged = apply_directives(kept, directives(self.facts).where("action <> 'unreadable'").select("file", "line", "action", "pattern", "push"))
+        flagged = apply_directives(kept, directives(self.facts).where("action <> 'unreadable'").select("file", "line", "action", "pattern", "push"), mark=True)
         full = FI.with_catalogue(flagged.withColumn("end_column", F.col("column")).withColumn("status", F.lit(None).cast("string")))
         literal = (F.col("code") == "724") & (F.col("confidence") == "low")  # a fixed command is an exposure, not an injection
         note = F.concat(F.when(literal, " - the command is a literal, so this is an exposure, not an injection").otherwise(""),
@@ -441,6 +467,6 @@ class Scan:
         return FI.normalise(self.traced(full.drop("channels", "guard")))
 
 
-def scan(artifacts: DataFrame, profiles: tuple[str, ...] = (), extra: dict | None = None) -> DataFrame:
-    """Findings of ``artifact_id, path, body`` rows."""
-    return Scan(artifacts, profiles, extra).findings()
+def scan(artifacts: DataFrame, profiles: tuple[str, ...] = (), extra: dict | None = None, **options) -> DataFrame:
+    """Findings of ``artifact_id, path, body`` rows; ``options`` as :class:`Scan` takes them."""
+    return Scan(artifacts, profiles, extra, **options).findings()

@@ -38,11 +38,14 @@ def ladder(findings: DataFrame, ignore: list[str] = (), enable: list[str] = (),
     """Ignore, enable, only, category, severity, confidence, in this order (E-13).
 
     Codes that report gaps pass ``only``, categories and the severity floor
-    (K08), not the confidence floor.
+    (K08), not the confidence floor.  What the source itself enables is not
+    ignored by an option (K04).
     """
     code, name = F.col("code"), F.col("name")
     degraded = code.isin(*dims.DEGRADED)
     keep = ~matches(ignore, code, name) | matches(enable, code, name)
+    if "enabled" in findings.columns:
+        keep = keep | F.coalesce("enabled", F.lit(False))
     if only:
         keep = keep & (matches(only, code, name) | degraded)
     if categories:
@@ -71,8 +74,8 @@ def clamped_depth(events: DataFrame, by: list[str], order: list[str], delta: str
     return summed.withColumn(name, (F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).cast("int")).drop("_s")
 
 
-def apply_directives(findings: DataFrame, directives: DataFrame) -> DataFrame:
-    """Findings that the in-source directives leave.
+def apply_directives(findings: DataFrame, directives: DataFrame, mark: bool = False) -> DataFrame:
+    """Findings that the in-source directives leave; with ``mark`` and whether one of them enables it.
 
     ``directives`` has ``file, line, action, pattern, push``: ``ignore`` works
     from its line on; between a ``push`` and its ``pop`` it ends with the
@@ -91,7 +94,7 @@ def apply_directives(findings: DataFrame, directives: DataFrame) -> DataFrame:
     seen = F.max(F.coalesce(here & (F.col("action") == "only"), F.lit(False)))
     out = joined.groupBy(*findings.columns).agg(flag("ignore").alias("_i"), flag("enable").alias("_e"), flag("only").alias("_o"), seen.alias("_s"))
     keep = (F.col("code") == "012") | F.col("_e") | F.when(F.col("_s"), F.col("_o")).otherwise(~F.col("_i"))
-    return out.where(keep).select(*findings.columns)
+    return out.where(keep).select(*findings.columns, *([F.col("_e").alias("enabled")] if mark else []))
 
 
 def in_scope(findings: DataFrame, roots: list[str]) -> DataFrame:

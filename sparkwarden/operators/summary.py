@@ -58,6 +58,14 @@ def counts(findings: DataFrame, by: str = "code") -> DataFrame:
     return findings.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
+def digest(findings: DataFrame) -> DataFrame:
+    """``section, name, n``: findings by severity, confidence, category and code, and how many files have any."""
+    views = {"severity": F.col("severity"), "confidence": F.col("confidence"), "category": S.category(F.col("code")), "code": F.col("code")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), v.alias("name")) for k, v in views.items()]))
+    out = findings.select(each.alias("e")).groupBy("e.section", "e.name").agg(F.count("*").alias("n"))
+    return out.unionByName(findings.agg(F.countDistinct("file").alias("n")).select(F.lit("files").alias("section"), F.lit("all").alias("name"), "n"))
+
+
 def gap_count(findings: DataFrame, by: list[str], floor: str = "certain") -> DataFrame:
     """Gaps counted before the confidence floor, findings after it, in one pass."""
     kept = S.confidence_rank(F.col("confidence")) >= S.CONFIDENCES.index(floor) + 1

@@ -237,6 +237,13 @@ def o_remedies(spark, sf_dir):
     return SU.with_remedies(_findings(spark, sf_dir), remedies, opened, "doc_id").select("doc_id", "code", "name", "remedy", "kind")
 
 
+@query(f"""WITH {F_SQL} SELECT 'severity' AS section, severity AS name, count(*) AS n FROM findings GROUP BY severity UNION ALL SELECT 'confidence', confidence, count(*) FROM findings GROUP BY confidence
+  UNION ALL SELECT 'category', {_CAT}, count(*) FROM findings GROUP BY {_CAT} UNION ALL SELECT 'code', code, count(*) FROM findings GROUP BY code UNION ALL SELECT 'files', 'all', count(DISTINCT file) FROM findings""")
+def o_digest(spark, sf_dir):
+    """The digest of a report in one pass over its findings."""
+    return SU.digest(_findings(spark, sf_dir))
+
+
 @query()
 def o_sarif(spark, sf_dir):
     """The whole SARIF log in rows; its parts are compared in ``o_sarif_levels`` and tests."""

@@ -154,7 +154,7 @@ def route(path: Column, raw: Column, body: Column) -> Column:
     """What happens to an artifact: triage, unreadable, template, conf, analyze or skip."""
     kind, low = binary_kind(raw), F.lower(path)
     return (
-        F.when(kind.isin("bytecode", "luajit-bytecode"), "triage").when(kind.isNotNull(), "unreadable").when(~is_source(path, body), "skip")
+        F.when(raw.isNull(), "unreadable").when(kind.isin("bytecode", "luajit-bytecode"), "triage").when(kind.isNotNull(), "unreadable").when(~is_source(path, body), "skip")
         .when(low.endswith(".conf"), "conf").when(low.rlike(r"\.(?:html|htm|lp)$"), "template").otherwise("analyze")
     )
 

@@ -246,3 +246,34 @@ def test_one_source_that_fails_does_not_end_the_scan(spark, monkeypatch):
     monkeypatch.setattr(lua_shapes, "growth", broken)
     got = extract(1, "a", "local x = 1\n")
     assert got["status"] == "unparsed" and got["message"] == "analysis failed: KeyError" and got["calls"] == []
+
+
+def test_custom_detectors_progress_and_source_enabled_findings(spark):
+    from sparkwarden.engine import Engine
+
+    stages = []
+
+    def listener(stage):
+        stages.append(stage)
+        raise RuntimeError("ignored")
+
+    def shouting(s):
+        return s.calls.where("path = 'print'").select("artifact_id", "file", F.lit("726").alias("code"), F.col("path").alias("name"), "line", F.col("col").alias("column"), F.lit("high").alias("confidence"), F.lit("").alias("source"))
+
+    body = "print(1)\nos.execute(x)\n-- sparkwarden: enable 702\nio.popen(y)\n"
+    rows = spark.createDataFrame([(1, "a.lua", body)], "artifact_id long, path string, body string")
+    e = Engine(spark, detectors=[shouting], progress=listener)
+    got = e.scan(rows)
+    assert sorted((r["code"], r["line"]) for r in got.collect()) == [("701", 2), ("702", 4), ("726", 1)] and stages == ["parse", "flow", "detect", "report"]
+    assert [r["code"] for r in e.select(got, ignore=["70%d"]).where("code <> '726'").collect()] == ["702"]
+    with pytest.raises(ValueError):
+        Engine(spark, colour=True)
+
+
+def test_server_configurations_bring_their_registry(spark):
+    from sparkwarden.engine import Engine
+
+    conf = "content_by_lua_block {\n  ngx.exec(ngx.var.arg_x)\n}\n"
+    rows = A.extracted(A.from_rows(spark.createDataFrame([("nginx.conf", conf), ("a.lua", "ngx.exec(x)\n")], "path string, body string")).withColumn("body", F.decode("raw", "UTF-8")).withColumn("route", A.route(F.col("path"), F.col("raw"), F.decode("raw", "UTF-8"))))
+    got = {(r["file"], r["code"]) for r in Engine(spark).scan(rows).collect()}
+    assert {f for f, c in got if c in ("701", "709")} == {"nginx.conf"}

@@ -204,7 +204,7 @@ def test_model_finds_hand_written_spans_and_leaves_clean_lines(tagger):
         (base, added), = pii.find([line], tagger)
         got = {line[a:b] for _, a, b in base + added}
         right, found, total = right + len(got & set(want)), found + len(got), total + len(want)
-    assert right / total >= 0.85 and right / found >= 0.85  # 0.90 and 0.90 as stored
+    assert right / total >= 0.85 and right / found >= 0.85  # 17 of 19 found, 18 reported, as stored
     assert pii.find(["write to jo.smith (at) example.org today"], tagger)[0][1] == [("email", 9, 34)]
     assert pii.find(["please call (212) 555-0134 today"], tagger)[0][1] == [("phone", 12, 26)]
     assert all(b == [] and a == [] for b, a in pii.find(CLEAN, tagger))

@@ -34,6 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(frames: list[DataFrame], name: str) -> DataFrame:
+    """The union of frames, missing columns null, each written by itself: no plan holds more than one of them."""
+    whole = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    path = f"{_shared(whole.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for df in frames:
+        df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in whole.dtypes]).write.mode("append").parquet(path)
+    return whole.sparkSession.read.schema(whole.schema).parquet(path)
+
+
 def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list[str] = (), transform=None, max_rounds: int | None = MAX_ROUNDS, edges_stored: bool = False) -> tuple[DataFrame, bool]:
     """Closure of ``seeds`` over ``edges`` (G01); returns the facts and whether the bound was hit.
 

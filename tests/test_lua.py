@@ -277,3 +277,17 @@ def test_server_configurations_bring_their_registry(spark):
     rows = A.extracted(A.from_rows(spark.createDataFrame([("nginx.conf", conf), ("a.lua", "ngx.exec(x)\n")], "path string, body string")).withColumn("body", F.decode("raw", "UTF-8")).withColumn("route", A.route(F.col("path"), F.col("raw"), F.decode("raw", "UTF-8"))))
     got = {(r["file"], r["code"]) for r in Engine(spark).scan(rows).collect()}
     assert {f for f, c in got if c in ("701", "709")} == {"nginx.conf"}
+
+
+def test_no_plan_holds_all_detectors(spark):
+    """The driver's memory follows the largest plan; one of all detectors had 878 nodes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.range(1).collect()
+    seen = store.executionsCount()
+    rows = [(i, f"src/m{i}.lua", body) for i, (body, _) in enumerate(PROGRAMS["handlers"] + PROGRAMS["firmware"])]
+    got = scan(spark.createDataFrame(rows, "artifact_id long, path string, body string"), ("openwrt", "luci")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(got) > 10
+    ran = store.executionsList()
+    sizes = [store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(seen, ran.size())]
+    assert sizes and max(sizes) < 400

@@ -36,7 +36,7 @@ HASHES = TREES * PREFIX
 NEIGHBOURS = 4
 #: Estimates this far below the threshold are dropped: over five standard errors of HASHES hashes.
 MARGIN = 0.25
-#: Ids up to this count are broadcast to pick texts; more are joined by shuffle.
+#: Ids up to this count are broadcast to pick or drop texts; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 WORDS_KEPT = 120_000
 _RNG = np.random.default_rng(20_240_501)
@@ -388,8 +388,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keyed = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(t, text_key(F.col("text")))
     pick = lambda x: x.select(F.col("doc_id").alias(other), F.col("th").alias(its))
     at = F.col(i).eqNullSafe(F.col(other)) & (F.col(t) == F.col(its))
-    kept = keyed.join(pick(of.where("gone")), at, "left_anti")
-    again = pick(of.where("not gone"))
+    listed = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x  # noqa: E731  the texts are not shuffled
+    kept = keyed.join(listed(pick(of.where("gone"))), at, "left_anti")
+    again = listed(pick(of.where("not gone")))
     if again.isEmpty():
         return kept.select(*docs.columns)
     cols = [F.col(f"`{c}`") for c in docs.columns]

@@ -328,3 +328,20 @@ def test_url_match_equals_plain_rules(spark):
     assert got == {1: "h.org/" + "x" * 4321, 2: "h.org/", 3: None}
     empty = spark.createDataFrame([], "host string, path string, kind string, verdict string")
     assert url_filter.match(pages, empty).where("entry is not null").count() == 0
+
+
+def test_dropping_copies_does_not_shuffle_texts(spark, monkeypatch):
+    """A list of up to BROADCAST_IDS ids goes to the texts, whatever Spark thinks of its size; a longer one gives the same rows."""
+    rows = [(i, " ".join(f"w{i % 40}x{k}" for k in range(30))) for i in range(60)] + [(7, "twice the same id and text"), (7, "twice the same id and text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash_forest.one_of_each(docs)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(minhash_forest, "BROADCAST_IDS", 0)
+        by_shuffle = minhash_forest.one_of_each(docs)
+        assert "SortMergeJoin" in by_shuffle._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_shuffle.collect())) == sorted({*rows[:40], rows[-1]})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

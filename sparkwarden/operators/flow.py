@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 20
 #: Rounds after which the facts found so far become one table.
 COMPACT = 6
+#: A driver whose heap may not grow beyond so many bytes gives back what it does not use after every so many stored frames.
+SMALL_HEAP, RELIEF = 2 << 30, 4
+_frames = itertools.count(1)
 
 
 def _shared(spark: SparkSession) -> str:
@@ -27,10 +32,40 @@ def _shared(spark: SparkSession) -> str:
     return got
 
 
+def relieve(spark: SparkSession) -> bool:
+    """Collects a small driver's garbage, plans and their broadcasts, and returns freed native memory to the system; tells whether it did.
+
+    Every plan is compiled and optimized anew as its stages end, which leaves
+    much behind in the heap and in the allocator's arenas; both keep it.
+    """
+    jvm = spark.sparkContext._jvm
+    if jvm.Runtime.getRuntime().maxMemory() > SMALL_HEAP:
+        return False
+    jvm.System.gc()
+    with contextlib.suppress(Exception):  # only some Java versions on Linux can
+        _trim(spark)
+    return True
+
+
+def _trim(spark: SparkSession) -> str:
+    """What ``jcmd PID System.trim_native_heap`` does and says; the server's own class is not open to calls, its interface is."""
+    jvm = spark.sparkContext._jvm
+    invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def _written(spark: SparkSession) -> None:
+    if next(_frames) % RELIEF == 0:
+        relieve(spark)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A frame written to the shared folder and read back: its lineage is cut."""
     path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,6 +75,7 @@ def gathered(frames: list[DataFrame], name: str) -> DataFrame:
     path = f"{_shared(whole.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for df in frames:
         df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in whole.dtypes]).write.mode("append").parquet(path)
+        _written(whole.sparkSession)
     return whole.sparkSession.read.schema(whole.schema).parquet(path)
 
 
@@ -57,7 +93,7 @@ def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list
     if delta.isEmpty():
         return known, False
     edges = edges if edges_stored else stored(edges, "edges")
-    while not delta.isEmpty():
+    while True:
         if max_rounds is not None and rounds == max_rounds:
             return known, True
         moved = delta.withColumnRenamed("node", "src").join(edges, [*keys, "src"])
@@ -70,7 +106,8 @@ def semi_naive(seeds: DataFrame, edges: DataFrame, keys: list[str], labels: list
             parts = [stored(functools.reduce(DataFrame.unionByName, parts), "known")]
         known = functools.reduce(DataFrame.unionByName, parts)
         rounds += 1
-    return known, False
+        if delta.isEmpty():
+            return known, False
 
 
 def pair_stores(reads: DataFrame, writes: DataFrame, by: list[str]) -> DataFrame:

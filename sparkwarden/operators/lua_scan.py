@@ -130,7 +130,7 @@ class Scan:
             calls = self.calls.where("target is null").select("artifact_id", F.col("node").alias("call"), "path")
             named = self.routes.where("fn is null").select("artifact_id", "call", F.col("name").alias("path"))
             far = calls.where("path like '%.%'").join(only(offered), "path").unionByName(calls.join(unique, "path")).unionByName(named.join(unique, "path"))
-            far = far.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")).distinct()
+            far = stored(far.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")).distinct(), "far")  # its count and its rows are both asked for
             far, self._cut_sites = capped(far, ["artifact_id"], ["call", "to", "fn"], MAX_SITES)  # the calls of one file
             large = self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id")
             found = own.unionByName(routed).unionByName(far.drop("overflow"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions.lua_facts import extract
 from sparkwarden.functions.lua_syntax import LuaError, parse, tokenize
 from sparkwarden.operators.flow import as_of, pair_stores, semi_naive
-from sparkwarden.operators.lua_scan import scan
+from sparkwarden.operators.lua_scan import Scan, scan
 from sparkwarden.operators.match import best_match, longest_prefix
 from sparkwarden.plans.lua_queries import PROGRAMS
 from sparkwarden.sources import artifacts as A
@@ -291,3 +291,42 @@ def test_no_plan_holds_all_detectors(spark):
     ran = store.executionsList()
     sizes = [store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(seen, ran.size())]
     assert sizes and max(sizes) < 400
+
+
+def test_calls_into_other_files_are_found_once(spark):
+    """The plan of the sites held the search for them twice, for their rows and for their count."""
+    util, main = "local M = {}\nfunction M.run(c)\n  os.execute(c)\nend\nreturn M\n", 'local u = require "util"\nu.run(http.formvalue("c"))\n'
+    s = Scan(spark.createDataFrame([(1, "lib/util.lua", util), (2, "app/main.lua", main)], "artifact_id long, path string, body string"))
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    assert [(r["artifact_id"], r["to"]) for r in s.sites().collect()] == [(2, 1)]
+    assert s._cut_sites.collect() == []
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    assert max(store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(seen, ran.size())) < 160
+
+
+def test_a_small_driver_gives_memory_back(spark, monkeypatch):
+    from sparkwarden.operators import flow
+
+    beans = lambda: spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and b.getName() != "Copy")
+    for most, least in ((0, 0), (1 << 50, 2)):
+        monkeypatch.setattr(flow, "SMALL_HEAP", most)
+        before = whole()
+        for i in range(2 * flow.RELIEF):
+            assert flow.stored(spark.range(i), "few").count() == i
+        assert (whole() - before >= least) if least else (flow.relieve(spark) is False)
+    assert flow.relieve(spark) is True
+
+
+def test_rounds_ask_once_whether_they_found_anything(spark):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    seeds, edges = spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    got, hit = semi_naive(seeds, edges, [])
+    bus.waitUntilEmpty(30_000)
+    assert store.executionsCount() - seen == 7  # seeds, edges and two rounds written, three times asked
+    assert not hit and sorted(r["node"] for r in got.collect()) == ["a", "b"]

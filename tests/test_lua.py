@@ -297,14 +297,10 @@ def test_calls_into_other_files_are_found_once(spark):
     """The plan of the sites held the search for them twice, for their rows and for their count."""
     util, main = "local M = {}\nfunction M.run(c)\n  os.execute(c)\nend\nreturn M\n", 'local u = require "util"\nu.run(http.formvalue("c"))\n'
     s = Scan(spark.createDataFrame([(1, "lib/util.lua", util), (2, "app/main.lua", main)], "artifact_id long, path string, body string"))
-    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
-    bus.waitUntilEmpty(30_000)
-    seen = store.executionsCount()
     assert [(r["artifact_id"], r["to"]) for r in s.sites().collect()] == [(2, 1)]
     assert s._cut_sites.collect() == []
-    bus.waitUntilEmpty(30_000)
-    ran = store.executionsList()
-    assert max(store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(seen, ran.size())) < 160
+    read = s._cut_sites.inputFiles()
+    assert read and all("/far-" in f for f in read)  # what was found, not the facts again
 
 
 def test_a_small_driver_gives_memory_back(spark, monkeypatch):

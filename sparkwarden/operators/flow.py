@@ -8,6 +8,7 @@ import functools
 import itertools
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,10 @@ MAX_ROUNDS = 20
 #: Rounds after which the facts found so far become one table.
 COMPACT = 6
 #: A driver whose heap may not grow beyond so many bytes gives back what it does not use after every so many stored frames.
-SMALL_HEAP, RELIEF = 2 << 30, 4
-_frames = itertools.count(1)
+SMALL_HEAP, RELIEF = 2 << 30, 1
+#: Percent of its heap that it may keep free then; the JVM's own bounds hold again afterwards.
+KEPT_FREE = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "20"}
+_frames, _relieving = itertools.count(1), threading.Lock()
 
 
 def _shared(spark: SparkSession) -> str:
@@ -33,7 +36,7 @@ def _shared(spark: SparkSession) -> str:
 
 
 def relieve(spark: SparkSession) -> bool:
-    """Collects a small driver's garbage, plans and their broadcasts, and returns freed native memory to the system; tells whether it did.
+    """Collects a small driver's garbage, plans and their broadcasts, and returns freed heap and native memory to the system; tells whether it did.
 
     Every plan is compiled and optimized anew as its stages end, which leaves
     much behind in the heap and in the allocator's arenas; both keep it.
@@ -41,18 +44,39 @@ def relieve(spark: SparkSession) -> bool:
     jvm = spark.sparkContext._jvm
     if jvm.Runtime.getRuntime().maxMemory() > SMALL_HEAP:
         return False
-    jvm.System.gc()
-    with contextlib.suppress(Exception):  # only some Java versions on Linux can
-        _trim(spark)
+    with _relieving:
+        old = {}
+        with contextlib.suppress(Exception):  # a JVM whose bounds can't be changed only collects its garbage
+            old = {name: _option(spark, name) for name in KEPT_FREE}
+        try:
+            with contextlib.suppress(Exception):
+                for name in old:
+                    _bean(spark, "HotSpotDiagnostic", "setVMOption", name, KEPT_FREE[name])
+            jvm.System.gc()
+        finally:
+            with contextlib.suppress(Exception):
+                for name, value in reversed(old.items()):  # the least is never above the most
+                    _bean(spark, "HotSpotDiagnostic", "setVMOption", name, value)
+        with contextlib.suppress(Exception):  # only some Java versions on Linux can
+            _bean(spark, "DiagnosticCommand", "systemTrimNativeHeap")  # as jcmd PID System.trim_native_heap does
     return True
 
 
-def _trim(spark: SparkSession) -> str:
-    """What ``jcmd PID System.trim_native_heap`` does and says; the server's own class is not open to calls, its interface is."""
-    jvm = spark.sparkContext._jvm
+def _option(spark: SparkSession, name: str) -> str:
+    return _bean(spark, "HotSpotDiagnostic", "getVMOption", name).get("value")
+
+
+def _bean(spark: SparkSession, bean: str, call: str, *given: str):
+    """What a management bean says; the server's own class is not open to calls, its interface is."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    asked, kinds = gateway.new_array(jvm.Object, len(given)), gateway.new_array(jvm.String, len(given))
+    for i, x in enumerate(given):
+        asked[i], kinds[i] = x, "java.lang.String"
     invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
-    args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
-    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    args = gateway.new_array(jvm.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}"), call
+    if given:
+        args[2], args[3] = asked, kinds
     return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 

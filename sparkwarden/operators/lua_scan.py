@@ -82,24 +82,24 @@ class Scan:
         conf = F.create_map(*[F.lit(x) for m, (i, c) in methods.items() for x in (m, c)])[F.col("method")]
         called = calls.select("artifact_id", "node", "line", F.coalesce("id", by_method).alias("tid"), F.when(F.col("id").isNotNull(), F.col("confidence")).otherwise(conf).alias("confidence")).where("tid is not null")
         read = best_match(self.reads.select("artifact_id", "node", "path", "line"), dim.where("pattern like '%.*'"), "path", ["id", "confidence"])
-        out = called.unionByName(read.select("artifact_id", "node", "line", F.col("id").alias("tid"), "confidence")).withColumn("channel", F.lit(""))
+        out = [called.withColumn("channel", F.lit("")), read.select("artifact_id", "node", "line", F.col("id").alias("tid"), "confidence", F.lit("").alias("channel"))]
         names = {g: (i, c) for p, g, i, c in dims.GLOBAL_SOURCES if p in on}
         if names:
             glob = self.reads.where(F.col("path").isin(*names))
-            out = out.unionByName(glob.select("artifact_id", "node", "line", F.col("path").alias("tid"), F.create_map(*[F.lit(x) for g, (i, c) in names.items() for x in (g, c)])[F.col("path")].alias("confidence"), F.lit("").alias("channel")))
+            out.append(glob.select("artifact_id", "node", "line", F.col("path").alias("tid"), F.create_map(*[F.lit(x) for g, (i, c) in names.items() for x in (g, c)])[F.col("path")].alias("confidence"), F.lit("").alias("channel")))
         if any(p in self.profiles for p, *_ in dims.ENTRY_POINTS):
             fns = entry_points(self.functions.where("name <> ''").select("artifact_id", "fn", "file", "line", F.element_at(F.split("name", "[.:]"), -1).alias("name")), self.profiles).where("entry is not null")
             formal = fns.join(self.formals.select("artifact_id", "fn", "pos", "node"), ["artifact_id", "fn"]).where(F.array_contains("arg", 0) | F.array_contains("arg", F.col("pos")))
-            out = out.unionByName(formal.select("artifact_id", "node", "line", F.col("entry").alias("tid"), "confidence", "channel"))
-        return out.select(gid("node").alias("node"), "tid", F.col("line").alias("src_line"), "confidence", F.lit(False).alias("quoted"), F.lit("").alias("ctx"), F.col("artifact_id").cast("string").alias("origin"), "channel")
+            out.append(formal.select("artifact_id", "node", "line", F.col("entry").alias("tid"), "confidence", "channel"))
+        return gathered([df.select(gid("node").alias("node"), "tid", F.col("line").alias("src_line"), "confidence", F.lit(False).alias("quoted"), F.lit("").alias("ctx"), F.col("artifact_id").cast("string").alias("origin"), "channel") for df in out], "seeds")
 
     def flow_edges(self) -> DataFrame:
         """``src, dst, label, site`` with labels copy, quote, bind and ret; made once."""
         if not hasattr(self, "_edges"):
-            self._edges = stored(self._flow_edges(), "edges")
+            self._edges = gathered(self._flow_edges(), "edges")
         return self._edges
 
-    def _flow_edges(self) -> DataFrame:
+    def _flow_edges(self) -> list[DataFrame]:
         plain = self.edges.where("label = 'copy'").select(gid("src").alias("src"), gid("dst").alias("dst"), F.lit("copy").alias("label"), F.lit("").alias("site"))
         rows = [(i, 0, p, S.glob_regex(p), S.wildcards(p), a) for i, (pr, p, a) in enumerate(dims.PROPAGATORS) if pr == "base" or pr in self.profiles]
         rows += [(10_000 + i, 0, r["pattern"], S.glob_regex(r["pattern"]), S.wildcards(r["pattern"]), r.get("arg", [1])) for i, r in enumerate(self.extra.get("propagators", []))]
@@ -109,7 +109,7 @@ class Scan:
         args = self.args.select("artifact_id", "call", "pos", "node")
         propagated = carried.join(args, ["artifact_id", "call"]).where(F.array_contains("take", F.col("pos")))
         passed = propagated.select(gid("node").alias("src"), gid("call").alias("dst"), F.when(F.col("path").isin(*quoting) if quoting else F.lit(False), "quote").otherwise("copy").alias("label"), F.lit("").alias("site"))
-        return plain.unionByName(passed).unionByName(self.bindings())
+        return [plain, passed, *self.bindings()]
 
     def sites(self) -> DataFrame:
         """``artifact_id, call, to, fn, shift`` of calls whose function is known.
@@ -129,15 +129,14 @@ class Scan:
             unique = only(self.functions.where("global is not null").select(F.col("artifact_id").alias("to"), "fn", F.col("global").alias("path")))
             calls = self.calls.where("target is null").select("artifact_id", F.col("node").alias("call"), "path")
             named = self.routes.where("fn is null").select("artifact_id", "call", F.col("name").alias("path"))
-            far = calls.where("path like '%.%'").join(only(offered), "path").unionByName(calls.join(unique, "path")).unionByName(named.join(unique, "path"))
-            far = stored(far.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")).distinct(), "far")  # its count and its rows are both asked for
-            far, self._cut_sites = capped(far, ["artifact_id"], ["call", "to", "fn"], MAX_SITES)  # the calls of one file
-            large = self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id")
-            found = own.unionByName(routed).unionByName(far.drop("overflow"))
-            self._sites = stored(found.join(large, "artifact_id", "left_anti").join(large.toDF("to"), "to", "left_anti"), "sites")
+            ways = [calls.where("path like '%.%'").join(only(offered), "path"), calls.join(unique, "path"), named.join(unique, "path")]
+            ways = gathered([w.where("to <> artifact_id").select("artifact_id", "call", "to", "fn", F.lit(0).alias("shift")) for w in ways], "ways")
+            far, self._cut_sites = capped(stored(ways.distinct(), "far"), ["artifact_id"], ["call", "to", "fn"], MAX_SITES)  # the calls of one file; its count and its rows are both asked for
+            large = stored(self.functions.groupBy("artifact_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_FUNCTIONS).select("artifact_id"), "large")
+            self._sites = gathered([found.join(large, "artifact_id", "left_anti").join(large.toDF("to"), "to", "left_anti") for found in (own, routed, far.drop("overflow"))], "sites")
         return self._sites
 
-    def bindings(self) -> DataFrame:
+    def bindings(self) -> list[DataFrame]:
         """Arguments to formals, the rest to the vararg, returns back to their site; a method's first formal is its object."""
         there = lambda n: F.concat(F.col("to").cast("string"), F.lit(":"), F.col(n).cast("string"))
         sites = self.sites().select("artifact_id", "call", "to", "fn", "shift", gid("call").alias("site"))
@@ -149,7 +148,7 @@ class Scan:
         bind = bound.select(gid("node").alias("src"), there("fnode").alias("dst"), F.lit("bind").alias("label"), "site")
         rets = self.functions.select(F.col("artifact_id").alias("to"), "fn", "ret")
         ret = sites.join(rets, ["to", "fn"]).select(there("ret").alias("src"), F.col("site").alias("dst"), F.lit("ret").alias("label"), "site")
-        return bind.unionByName(ret)
+        return [bind, ret]
 
     def chains(self, most: int = 16) -> DataFrame:
         """``artifact_id, chain``: the files from each file back to where its calls come from, first caller first, without cycles."""
@@ -178,16 +177,16 @@ class Scan:
     def sink_args(self) -> DataFrame:
         """Calls and assignments of sinks with each argument that matters; made once."""
         if not hasattr(self, "_sink_args"):
-            self._sink_args = stored(self._find_sink_args(), "sinks")
+            self._sink_args = gathered(self._find_sink_args(), "sinks")
         return self._sink_args
 
-    def _find_sink_args(self) -> DataFrame:
+    def _find_sink_args(self) -> list[DataFrame]:
         dim = dims.sinks(self.spark, self.profiles, self.extra)
         calls = best_match(self.calls.select("artifact_id", "file", F.col("node").alias("call"), "path", "fn", "line", "col"), dim.where("kind <> 'assign'"), "path", ["pattern", "code", "kind", "arg", "filters"])
         args = self.args.select("artifact_id", "call", "pos", "node", "is_const")
         out = calls.join(args, ["artifact_id", "call"]).where(F.array_contains("arg", F.col("pos"))).drop("arg")
         target = best_match(self.binds.select("artifact_id", "file", F.col("node").alias("call"), F.regexp_replace("name", r"\.[^.]*$", "").alias("path"), F.lit(-1).alias("fn"), "line", "col", F.lit(1).alias("pos"), "node", "is_const"), dim.where("kind = 'assign'"), "path", ["pattern", "code", "kind", "filters"])
-        return out.unionByName(target.select(*out.columns))
+        return [out, target.select(*out.columns)]
 
     def validated(self) -> DataFrame:
         """``origin, tid, src_line, guard`` of sources that a validator was asked about."""
@@ -358,7 +357,7 @@ class Scan:
         sinks = best_match(self.calls, dim, "path", ["kind"]).join(fixed, ["artifact_id", "node"], "left").withColumn("rank", F.when(F.coalesce("fixed", F.lit(False)), 2).otherwise(0))
         escapes = self.calls.where(F.coalesce(F.col("path"), F.lit("")).rlike("|".join(S.glob_regex(p) for p in shapes))).withColumn("rank", F.lit(1))
         keep = ["artifact_id", "node", "fn", "line", "col", "path", "rank"]
-        every = sinks.select(*keep).unionByName(escapes.select(*keep)).join(told, ["artifact_id", "node"], "left_anti")
+        every = gathered([df.select(*keep).join(told, ["artifact_id", "node"], "left_anti") for df in (sinks, escapes)], "held")
         first = every.groupBy("artifact_id", "fn").agg(F.min(F.struct("rank", "line", "col", "path")).alias("p"))
         names = self.functions.select("artifact_id", "fn", F.col("name").alias("given"))
         hit = self.registered.join(first, ["artifact_id", "fn"]).join(names, ["artifact_id", "fn"])
@@ -453,8 +452,8 @@ class Scan:
         shaped = cover(raw)
         hop = raw.where("code = '729'").select("file", "line", "column").distinct()
         kept = shaped.where("code not in ('701', '702')").unionByName(shaped.where("code in ('701', '702')").join(hop, ["file", "line", "column"], "left_anti"))
-        flagged = apply_directives(kept, directives(self.facts).where("action <> 'unreadable'").select("file", "line", "action", "pattern", "push"), mark=True)
-        full = FI.with_catalogue(flagged.withColumn("end_column", F.col("column")).withColumn("status", F.lit(None).cast("string")))
+        flagged = apply_directives(stored(kept, "kept"), directives(self.facts).where("action <> 'unreadable'").select("file", "line", "action", "pattern", "push"), mark=True)
+        full = FI.with_catalogue(stored(flagged, "flagged").withColumn("end_column", F.col("column")).withColumn("status", F.lit(None).cast("string")))
         literal = (F.col("code") == "724") & (F.col("confidence") == "low")  # a fixed command is an exposure, not an injection
         note = F.concat(F.when(literal, " - the command is a literal, so this is an exposure, not an injection").otherwise(""),
             F.when(F.size("channels") > 0, F.concat(F.lit(" [reachable from: "), F.array_join("channels", ", "), F.lit("]"))).otherwise(""),

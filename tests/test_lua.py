@@ -326,3 +326,34 @@ def test_rounds_ask_once_whether_they_found_anything(spark):
     bus.waitUntilEmpty(30_000)
     assert store.executionsCount() - seen == 7  # seeds, edges and two rounds written, three times asked
     assert not hit and sorted(r["node"] for r in got.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("family, profiles", [("config", ("openwrt", "luci")), ("taint", ())])
+def test_parts_of_a_scan_are_planned_one_by_one(spark, family, profiles):
+    """Edges, sites, seeds, sinks and the report were plans of several searches each; the driver's memory follows the largest."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    rows = [(i, f"src/m{i}.lua", body.replace("%d", str(i))) for i, (body, _) in enumerate(PROGRAMS[family])]
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    got = scan(spark.createDataFrame(rows, "artifact_id long, path string, body string"), profiles).collect()
+    assert sorted((int(r["file"][5:-4]), r["code"], r["line"], r["confidence"]) for r in got) == sorted((i, c, line, conf) for i, (_, found) in enumerate(PROGRAMS[family]) for c, line, conf, _ in found)
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    sizes = [store.planGraph(ran.apply(i).executionId()).allNodes().size() for i in range(seen, ran.size())]
+    assert sizes and max(sizes) < 100  # up to 127 before
+
+
+def test_a_small_driver_keeps_little_of_its_heap_free(spark, monkeypatch):
+    import gc
+
+    from sparkwarden.operators import flow
+
+    monkeypatch.setattr(flow, "SMALL_HEAP", 1 << 50)
+    jvm = spark.sparkContext._jvm
+    heap = lambda: jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage()
+    held = [spark.sparkContext._gateway.new_array(jvm.byte, 8 << 20) for _ in range(40)]
+    del held
+    gc.collect()
+    assert flow.relieve(spark)
+    assert heap().getCommitted() < 1.6 * heap().getUsed()
+    assert [flow._option(spark, name) for name in flow.KEPT_FREE] == ["40", "70"]  # as they were

@@ -85,12 +85,26 @@ def _written(spark: SparkSession) -> None:
         relieve(spark)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A frame written to the shared folder and read back: its lineage is cut."""
+def measuring(spark: SparkSession) -> SparkSession:
+    """A session like this one whose joins broadcast only what a shuffle has measured, up to the same bound.
+
+    Facts repeat each other, so their files are a small part of their rows, and
+    what is planned by the size of a file is gathered by the driver at any size.
+    """
+    _shared(spark)
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    if own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+        own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", own.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return own
+
+
+def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """A frame written to the shared folder and read back, by another session if one is given: its lineage is cut."""
     path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def gathered(frames: list[DataFrame], name: str) -> DataFrame:

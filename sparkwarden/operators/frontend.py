@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lua_facts, lua_syntax
@@ -18,8 +18,8 @@ from .flow import stored
 MAX_RAW = 50
 
 
-def facts(artifacts: DataFrame, max_nodes: int = lua_facts.MAX_NODES) -> DataFrame:
-    """One row of ``lua_facts.SCHEMA`` per artifact of ``artifact_id, path, body``; null bodies are empty chunks."""
+def facts(artifacts: DataFrame, max_nodes: int = lua_facts.MAX_NODES, session: SparkSession | None = None) -> DataFrame:
+    """One row of ``lua_facts.SCHEMA`` per artifact of ``artifact_id, path, body``, read by ``session``; null bodies are empty chunks."""
     columns = [c.split()[0].split(":")[0] for c in lua_facts.SCHEMA.replace("<", " ").split(", ")]
     columns = [c for c in ("artifact_id path status message line node_count nesting calls args edges functions formals reads strings binds spots handlers routes names comments").split() if c in columns]
 
@@ -28,7 +28,7 @@ def facts(artifacts: DataFrame, max_nodes: int = lua_facts.MAX_NODES) -> DataFra
             rows = [lua_facts.extract(i, p, b if isinstance(b, str) else "", max_nodes) for i, p, b in zip(pdf["artifact_id"], pdf["path"], pdf["body"])]
             yield pd.DataFrame(rows, columns=columns)
 
-    return stored(artifacts.select("artifact_id", "path", "body").mapInPandas(run, lua_facts.SCHEMA), "facts")
+    return stored(artifacts.select("artifact_id", "path", "body").mapInPandas(run, lua_facts.SCHEMA), "facts", session)
 
 
 def relation(found: DataFrame, name: str) -> DataFrame:

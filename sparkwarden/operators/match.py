@@ -17,9 +17,9 @@ def best_match(calls: DataFrame, dim: DataFrame, path: str = "path", take: list[
     the nested-loop join sees a vocabulary, the calls themselves join by key.
     """
     paths = calls.select(F.col(path).alias("_path")).distinct()
-    exact = dim.where("n_wild = 0").join(paths, F.col("_path") == F.col("pattern"))
-    wild = dim.where("n_wild > 0")
-    loose = paths.join(F.broadcast(wild), F.rlike("_path", F.col("regex")))  # a registry: tens of rows
+    exact, wild = (F.broadcast(dim.where(kind)) for kind in ("n_wild = 0", "n_wild > 0"))  # a registry: tens of rows
+    exact = paths.join(exact, F.col("_path") == F.col("pattern"))
+    loose = paths.join(wild, F.rlike("_path", F.col("regex")))
     cols = ["_path", "scope_rank", "n_wild", "decl_no", *take]
     both = exact.select(*cols).unionByName(loose.select(*cols))
     best = both.groupBy("_path").agg(F.min_by(F.struct(*take), F.struct("scope_rank", "n_wild", "decl_no")).alias("_m"))

@@ -357,3 +357,31 @@ def test_a_small_driver_keeps_little_of_its_heap_free(spark, monkeypatch):
     assert flow.relieve(spark)
     assert heap().getCommitted() < 1.6 * heap().getUsed()
     assert [flow._option(spark, name) for name in flow.KEPT_FREE] == ["40", "70"]  # as they were
+
+
+def test_no_relation_is_broadcast_by_the_size_of_its_file(spark):
+    """Facts that repeat each other have small files: their rows were gathered by the driver however many there were."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    programs = PROGRAMS["config"]
+    n = 300 * len(programs)
+    rows = [(i, f"src/m{i}.lua", programs[i % len(programs)][0].replace("%d", str(i))) for i in range(n)]
+    artifacts = spark.createDataFrame(rows, "artifact_id long, path string, body string").repartition(2)
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = scan(artifacts, ("openwrt", "luci")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert len(found) == 300 * sum(len(f) for _, f in programs)
+    bus.waitUntilEmpty(30_000)
+    ran, sent = store.executionsList(), {}
+    for i in range(seen, ran.size()):
+        at = ran.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                ids = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                sent |= {m.accumulatorId(): int(values.apply(m.accumulatorId()).replace(",", "")) for m in ids if m.name() == "number of output rows" and values.contains(m.accumulatorId())}
+    assert sent and max(sent.values()) < 2000  # 64 kB are at most some 1,600 rows
